@@ -2,17 +2,18 @@
 
 Every document of a source should be copied ``target / source size`` times on
 average.  The whole part is certain; the fractions are rounded together: two
-documents with fractions a and b play one duel, in which one passes its mass to
-the other until one of them is 0 or 1, and the undecided one plays the next
-document.  Sums of copies are kept exactly through every duel, and each
-document's expectation stays its fraction.  Duels pair neighbours in size, so
-words are kept nearly as well as copies.
+documents play a duel, in which one passes mass (words) to the other until one
+of them is at 0 or 1, and the undecided one plays the next document.  Mass is
+counted in words, so every duel keeps the words of the mix exactly, and the
+direction is drawn so that each document's expectation stays its fraction.
 
 Duels run as a reduction tree: a fold within blocks of about ``BLOCK``
-documents, then a fold over the blocks' residuals, and so on until one residual
-for each source remains; it is rounded by its own draw.  Blocks are dealt by a
-hash within a size class, so a hot source is as many blocks as it needs.  All
-draws are hashes of ``seed``, the tree's level and the two keys: reruns agree.
+documents, largest first so that what is left over is small, then a fold over
+the blocks' residuals, and so on until one residual for each source remains; it
+goes to the nearer side, so a source's words are off by half of that document
+at most.  Blocks are dealt by a hash, so a hot source is as many blocks as it
+needs.  All draws are hashes of ``seed``, the tree's level and the two keys:
+reruns agree.
 """
 
 from __future__ import annotations
@@ -72,63 +73,56 @@ def _fold(seed: int, level: int) -> Column:
 
     def duel(state: Column, new: Column) -> Column:
         old = state["left"]
-        mass = old["p"] + new["p"]
-        u = draw(seed + level, old["key"], new["key"])
-        small = mass < 1
-        # under 1 in all, one of them gets everything; else one gets 1 and the other what is over
-        old_wins = F.when(small, u * mass < old["p"]).otherwise(u * (2 - mass) < 1 - new["p"])
-        high = F.when(small, mass).otherwise(mass - 1)
-        item = lambda who, p: F.struct(who["key"].alias("key"), p.cast("double").alias("p"))
+        # words that can pass to the old one, and from it
+        gain = F.least((1 - old["p"]) * old["size"], new["p"] * new["size"])
+        loss = F.least(old["p"] * old["size"], (1 - new["p"]) * new["size"])
+        rises = draw(seed + level, old["key"], new["key"]) * (gain + loss) < loss
+        item = lambda who, p: F.struct(who["key"].alias("key"), p.cast("double").alias("p"), who["size"].alias("size"))
         zero, one = F.lit(0.0), F.lit(1.0)
-        decided = F.when(small, F.when(old_wins, item(new, zero)).otherwise(item(old, zero))).otherwise(F.when(old_wins, item(old, one)).otherwise(item(new, one)))
-        left = F.when(small, F.when(old_wins, item(old, high)).otherwise(item(new, high))).otherwise(F.when(old_wins, item(new, high)).otherwise(item(old, high)))
+        fills = (1 - old["p"]) * old["size"] <= new["p"] * new["size"]
+        empties = old["p"] * old["size"] <= (1 - new["p"]) * new["size"]
+        decided = F.when(rises, F.when(fills, item(old, one)).otherwise(item(new, zero))).otherwise(F.when(empties, item(old, zero)).otherwise(item(new, one)))
+        up, down = old["p"] + gain / old["size"], old["p"] - loss / old["size"]
+        new_up, new_down = new["p"] + loss / new["size"], new["p"] - gain / new["size"]
+        left = F.when(rises, F.when(fills, item(new, new_down)).otherwise(item(old, up))).otherwise(F.when(empties, item(new, new_up)).otherwise(item(old, down)))
         return F.struct(F.concat(state["done"], F.array(decided)).alias("done"), left.alias("left"))
 
     head = F.element_at("_items", 1)
-    first = F.struct(head["key"].alias("key"), head["p"].alias("p"))
+    first = F.struct(head["key"].alias("key"), head["p"].alias("p"), head["size"].alias("size"))
     rest = F.slice("_items", 2, F.size("_items"))
     start = F.struct(F.filter(F.array(first), lambda x: F.lit(False)).alias("done"), first.alias("left"))
     return F.aggregate(rest, start, duel)
 
 
 def rounded(rows: DataFrame, group: str, key: str, p: str, size: str, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """Round the fractions ``p`` (0 < p < 1) of each ``group`` together.
+    """Round the fractions ``p`` (0 < p < 1) of each ``group`` together; ``size`` is over 0 and ``key`` unique.
 
-    Returns ``_key`` and ``_up`` (0 or 1).  ``key`` is unique; sums of ``p`` in a
-    group are kept to within one.  Each level of the tree shuffles one narrow row
-    for a document or residual, and each has ``block`` times fewer rows.
+    Returns ``_key`` and ``_up`` (0 or 1); sums of ``p * size`` in a group are
+    kept to within one row's size.  Each level of the tree shuffles one narrow
+    row for a document or residual, and each has ``block`` times fewer rows.
     """
-    spark = rows.sparkSession
     pending = rows.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(p).cast("double").alias("p"), F.col(size).cast("double").alias("size"))
-    largest = pending.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    levels = max(1, math.ceil(math.log(max(largest, 2)) / math.log(block))) + 1
+    counts = common.written(pending.groupBy("g").agg(F.count("*").alias("_n")).select(F.col("g").alias("_g"), "_n"), "groups")
+    largest = counts.agg(F.max("_n")).first()[0] or 0
+    levels = max(1, math.ceil(math.log(max(largest, 2)) / math.log(block / 2)))
     out = None
-    stages = []
     for level in range(levels):
         last = level == levels - 1
         if last:
-            pending = pending.withColumn("_class", F.lit(0)).withColumn("_block", F.lit(0))
+            pending = pending.withColumn("_block", F.lit(0).cast("long"))
         else:
-            # size classes of a quarter octave at first; residuals mix wider ones
-            counted = pending.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * (4.0 / 4**level)).cast("int"))
-            counts = counted.groupBy("g", "_class").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("_blocks"))
-            counts = counts.select(F.col("g").alias("_g"), F.col("_class").alias("_c"), "_blocks")
-            pending = counted.join(counts, F.col("g").eqNullSafe(F.col("_g")) & (F.col("_class") == F.col("_c")))
-            pending = pending.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + level), "key"), F.col("_blocks")))
-        blocks = pending.groupBy("g", "_class", "_block").agg(
-            F.sort_array(F.collect_list(F.struct("size", "key", "p"))).alias("_items"), F.max("size").alias("size")
-        )
-        folded = blocks.select("g", "size", _fold(seed, level).alias("f"))
-        folded = common.written(folded, "rounding")
-        stages.append(folded)
+            blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / float(block / 2) / float(block / 2) ** level)).cast("long")
+            pending = pending.join(counts, F.col("g").eqNullSafe(F.col("_g")))
+            pending = pending.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + level), "key"), blocks))
+        gathered = pending.groupBy("g", "_block").agg(F.sort_array(F.collect_list(F.struct("size", "key", "p")), asc=False).alias("_items"))
+        folded = common.written(gathered.select("g", _fold(seed, level).alias("f")), "rounding")
         decided = folded.select(F.explode("f.done").alias("d")).select(F.col("d.key").alias("_key"), F.col("d.p").cast("int").alias("_up"))
         out = decided if out is None else out.unionByName(decided)
-        left = folded.select("g", F.col("f.left.key").alias("key"), F.col("f.left.p").alias("p"), "size")
+        left = folded.select("g", F.col("f.left.key").alias("key"), F.col("f.left.p").alias("p"), F.col("f.left.size").alias("size"))
         settled = (F.col("p") <= 1e-9) | (F.col("p") >= 1 - 1e-9)
-        ends = left if last else left.where(settled)
-        # what is integral up to rounding errors is decided; the last residual of a source draws for itself
-        up = F.when(settled, F.round("p").cast("int")).otherwise((draw(seed - 1, F.col("key")) < F.col("p")).cast("int"))
-        out = out.unionByName(ends.select(F.col("key").alias("_key"), up.alias("_up")))
+        # what is integral up to rounding errors is decided; the last residual of a source goes to the nearer side
+        up = (F.col("p") >= 0.5).cast("int")
+        out = out.unionByName((left if last else left.where(settled)).select(F.col("key").alias("_key"), up.alias("_up")))
         pending = left.where(~settled)
     return out
 
@@ -142,34 +136,28 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
     others.  Repeated rows and null ids are separate documents.  An empty table
     gives an empty result.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("_id"))
-    rows = rows.withColumn("size", words)
-    slim = rows.select("source", "size", "_id")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, most)
-    clash = slim.groupBy("_id").count().where("count > 1 OR _id IS NULL").limit(1).count()
+    words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"), F.col(f"`{source_col}`").alias("source"), words.alias("size"))
+    clash = docs.groupBy(F.col(f"`{id_col}`").alias("i")).count().where("count > 1 OR i IS NULL").limit(1).count()
     if clash:  # rows are told apart by a number, fixed in a written copy
         rows = common.written(rows.withColumn("_key", F.monotonically_increasing_id()), "mixing")
-        slim = rows.select("source", "size", "_key")
-    else:
-        rows = rows.withColumn("_key", F.col("_id"))
-        slim = slim.withColumnRenamed("_id", "_key")
-    targets = common.written(targets, "targets")
+    slim = common.written(rows.select("_key", "source", "size"), "sizes")  # words are counted once
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = common.written(source_targets(sizes, weights, most), "targets")
     named = targets.select(F.col("source").alias("_source"), "source_size", "target")
     small = targets.limit(100_001).count() <= 100_000  # one narrow row a source; joined by shuffle beyond
     named = F.broadcast(named) if small else named
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.round(rate)
     rate = F.when(F.abs(rate - near) < 1e-9, near).otherwise(rate)
-    with_rate = lambda df: df.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_rate", rate)
-    play = with_rate(slim).withColumn("p", F.col("_rate") - F.floor("_rate")).where((F.col("p") > 0) & (F.col("size") > 0))
-    ups = rounded(play, "source", "_key", "p", "size", seed)
-    ups = ups.withColumnRenamed("_key", "_up_key")
-    out = with_rate(rows.drop("text")).join(ups, F.col("_key") == F.col("_up_key"), "left")
+    rated = slim.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_rate", rate)
+    play = rated.withColumn("p", F.col("_rate") - F.floor("_rate")).where((F.col("p") > 0) & (F.col("size") > 0))
+    ups = rounded(play, "source", "_key", "p", "size", seed).withColumnRenamed("_key", "_up_key")
     copies = (F.floor("_rate") + F.coalesce("_up", F.lit(0))).cast("int")
-    names = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("size")}
-    return out.select("_row", *[c.alias(f"mix_{n}") for n, c in names.items()]).select("_row.*", *[f"mix_{n}" for n in names])
+    named_out = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("size")}
+    decided = rated.join(ups, F.col("_key") == F.col("_up_key"), "left").select(F.col("_key").alias("_own"), *[c.alias(f"mix_{n}") for n, c in named_out.items()])
+    names = [f"mix_{n}" for n in named_out]
+    return rows.select("_row", "_key").join(decided, F.col("_key") == F.col("_own")).select("_row", *names).select("_row.*", *names)
 
 
 def repeated(mix: DataFrame, columns: list[str]) -> DataFrame:

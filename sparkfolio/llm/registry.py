@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, mixing, substrings, suffixes
 
 
 def queries() -> dict:
     return {
+        "op6_substrings": substrings.query,
+        "op7_suffixes": suffixes.query,
         "op9_bpe": bpe.query,
+        "op10_mixing": mixing.query,
     }
 
 
