@@ -43,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A second frame over the files of a ``written`` one, for a join of it with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._written_at)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of intermediate ``written`` frames and let Spark clean finished shuffles."""
     jvm = spark._jvm
@@ -69,20 +74,22 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key`` (long, unique, in the order of ids), ``id`` and ``text``.
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``key`` (long, unique, in the order of ids), ``id`` and ``text``; with ``whole`` also ``row``, all columns as a struct.
 
     Where ids are unique and never null, the id is the key.  Otherwise rows are
     sorted by id (null last) and text and numbered, and that copy is written, since
     numbers must not change between passes; repeated rows then stay separate rows.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = df.select(F.col(id_col).cast("long").alias("id"))
-    clash = ids.groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).count()
+    own = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    if whole:
+        own.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = df.select(*own)
+    clash = rows.select("id").groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).count()
     if not clash:
-        return rows.select(F.col("id").alias("key"), "id", "text")
+        return rows.withColumn("key", F.col("id"))
     ordered = rows.sort(F.col("id").asc_nulls_last(), F.col("text").asc_nulls_last())
-    return written(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
+    return written(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

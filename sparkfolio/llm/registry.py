@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, substrings, suffixes
+from . import ann, bpe, html, minhash, mixing, neardup, quality, sharding, substrings, suffixes
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.query,
+        "op2_ann": ann.query,
+        "op3_quality": quality.query,
+        "op4_neardup": neardup.query,
+        "op5_minhash": minhash.query,
         "op6_substrings": substrings.query,
         "op7_suffixes": suffixes.query,
+        "op8_html": html.query,
         "op9_bpe": bpe.query,
         "op10_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sharding.ORACLE_SQL}

@@ -159,8 +159,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none), the order of texts decides which is earlier; null ids come last.
     """
     rows = common.keyed(docs, id_col, text_col)
-    spans = repeats(rows, window)
-    joined = rows.join(spans, "key", "left").select("id", "text", "spans")
+    joined = rows.join(repeats(rows, window), "key", "left").select("id", "text", "spans")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.StringType())])
 
@@ -168,20 +167,46 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             counts, removed, kept = [], [], []
             for text, spans in zip(batch.column("text"), exchange.pairs(batch.column("spans")), strict=True):
-                own = text.as_py().encode().split() if text.is_valid else []
-                counts.append(len(own))
+                count, rest = _without(text, spans)
+                counts.append(count)
                 removed.append([{"start": a, "end": b} for a, b in spans.tolist()])
-                rest, at = [], 0
-                for a, b in spans.tolist():
-                    rest += own[at:a]
-                    at = b
-                kept.append(b" ".join(rest + own[at:]).decode())
+                kept.append(rest)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string())], names=["id", "n_words", "removed", "kept"])
 
     return joined.mapInArrow(run, schema)
 
 
+def _without(text: pa.Scalar, spans: np.ndarray) -> tuple[int, str]:
+    """Number of words, and the words outside the spans joined by one space."""
+    own = text.as_py().encode().split() if text.is_valid else []
+    rest, at = [], 0
+    for a, b in spans.tolist():
+        rest += own[at:a]
+        at = b
+    return len(own), b" ".join(rest + own[at:]).decode()
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated windows removed from their texts; texts that lose nothing stay as they are.
+
+    Other columns stay, but for ``n_chars``, which follows the text where there
+    is such a column.  A text that repeats as a whole becomes empty.
+    """
+    rows = common.keyed(docs, id_col, text_col, whole=True)
+    joined = rows.join(repeats(rows, window), "key", "left").select("row", "text", "spans")
+    schema = T.StructType([*joined.schema.fields[:1], T.StructField("kept", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_without(text, spans)[1] if len(spans) else text.as_py() for text, spans in zip(batch.column("text"), exchange.pairs(batch.column("spans")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], names=["row", "kept"])
+
+    out = joined.mapInArrow(run, schema)
+    new = {text_col: F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: every document without the 20-word windows that occur earlier."""
     out = deduplicated(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
