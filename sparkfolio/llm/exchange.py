@@ -26,7 +26,7 @@ ROWS = "bucket int, batch long, kind int, payload binary"
 ENTRIES, ANSWER, DOCS, SAMPLE = 0, 1, 2, 3
 SPANS = "key long, spans binary"
 #: Bytes of text that are fingerprinted together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 24 << 20
 

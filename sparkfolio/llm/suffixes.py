@@ -39,6 +39,8 @@ LENGTH = 200
 GRAM, SPREAD = 8, 128
 #: Prefixes that a batch offers for the choice of range borders, and borders' sample.
 OFFERED, SAMPLED = 16, 20_000
+#: Bytes of whole groups whose strings are compared together.
+FLUSH_BYTES = 1 << 20
 UNITS = 4  # kind of the rows that keep what a batch's numbers mean
 
 
@@ -273,52 +275,62 @@ def _repeated(length: int, spread: int):
     prefix = length - spread + 1
     roller = Roller(5)
 
+    def strings(texts: list[bytes], group: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of some whole groups' units, and from where to where, start strings found twice."""
+        weight = np.bincount(group - group[0], weights=times)[group - group[0]]
+        keep = np.flatnonzero(weight > 1)  # the others stand alone
+        if not len(keep):
+            return keep, keep, keep
+        sizes = np.array([len(texts[i]) for i in keep.tolist()], np.int64)
+        data = np.frombuffer(b"".join([texts[i] for i in keep.tolist()]), np.uint8)
+        places = sizes - length + 1
+        which = np.repeat(np.arange(len(keep)), places)
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(places) - places, places)
+        at = (np.cumsum(sizes) - sizes)[which] + inner
+        hashes = roller.ranges(roller.bytes_prefix(data), at, at + length) ^ mix64(group[keep][which].astype(U64))
+        _, same = np.unique(hashes, return_inverse=True)
+        found = np.bincount(same, weights=times[keep][which])[same] > 1
+        unit, low, high = exchange.merged(which[found], inner[found], inner[found] + 1)
+        return keep[unit], low, high
+
     def reduce(batches: list[int], payloads: list[list[np.ndarray]]) -> list:
         lefts = []
         for p in payloads:
-            at = np.append(0, np.cumsum(p[3].astype(np.int64)))
-            body = p[4].tobytes()
-            lefts.append((body, at.tolist()))
-        runs = [Run(p[0], p[1], p[2]) for p in payloads]
-        group, texts, left_sizes, owner, number = [], [], [], [], []
-        open_group = -1
-        for r, i, right, share in merge(runs):
+            lefts.append((p[4].tobytes(), [0, *np.cumsum(p[3].astype(np.int64)).tolist()], p[5].tolist()))
+        got: list[tuple[np.ndarray, ...]] = []
+        texts, group, times, owner, number = [], [], [], [], []
+        held, open_group = 0, -1
+
+        def flush() -> None:
+            unit, low, high = strings(texts, np.array(group), np.array(times, np.int64))
+            got.append((np.array(owner)[unit], np.array(number)[unit], low, high))
+            for x in (texts, group, times, owner, number):
+                x.clear()
+
+        for r, i, right, share in merge([Run(p[0], p[1], p[2]) for p in payloads]):
             if share < prefix:
                 open_group += 1
-            body, at = lefts[r]
+                if held > FLUSH_BYTES:
+                    flush()
+                    held = 0
+            body, at, counts = lefts[r]
             texts.append(body[at[i] : at[i + 1]] + right)
-            left_sizes.append(at[i + 1] - at[i])
+            held += len(texts[-1])
             group.append(open_group)
+            times.append(counts[i])
             owner.append(r)
             number.append(i)
-        if not texts:
-            return []
-        group, owner, number = np.array(group), np.array(owner), np.array(number)
-        times = np.concatenate([p[5] for p in payloads])
-        firsts = np.append(0, np.cumsum([len(p[5]) for p in payloads]))
-        times = times[firsts[owner] + number].astype(np.int64)
-        weight = np.bincount(group, weights=times)[group]
-        keep = np.flatnonzero(weight > 1)  # the others stand alone
-        if not len(keep):
+        if texts:
+            flush()
+        if not got:
             return []
-        sizes = np.array([len(texts[i]) for i in keep.tolist()], np.int64)
-        data = np.frombuffer(b"".join([texts[i] for i in keep.tolist()]), np.uint8)
-        starts = np.append(0, np.cumsum(sizes))[:-1]
-        places = sizes - length + 1
-        which = np.repeat(np.arange(len(keep)), places)
-        inner = np.arange(len(which)) - np.repeat(np.append(0, np.cumsum(places))[:-1], places)
-        at = starts[which] + inner
-        hashes = roller.ranges(roller.bytes_prefix(data), at, at + length) ^ mix64(group[keep][which].astype(U64))
-        _, same = np.unique(hashes, return_inverse=True)
-        found = np.bincount(same, weights=times[keep][which])[same] > 1
-        which, inner = which[found], inner[found]
-        doc, lo, hi = exchange.merged(which, inner, inner + 1)
-        own = owner[keep][doc]
-        entry = np.concatenate([p[6] for p in payloads])[firsts[own] + number[keep][doc]]
+        own, at, low, high = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(4))
+        firsts = np.cumsum([0, *(len(p[5]) for p in payloads)])
+        entry = np.concatenate([p[6] for p in payloads])[firsts[own] + at]
         order = np.argsort(own, kind="stable")
-        own, entry, lo, hi = own[order], entry[order], lo[order], hi[order]
+        own, entry, low, high = own[order], entry[order], low[order], high[order]
         cuts = np.searchsorted(own, np.arange(len(batches) + 1))
-        return [(0, batches[b], exchange.ANSWER, exchange.pack(*(x[cuts[b] : cuts[b + 1]].astype(np.uint32) for x in (entry, lo, hi)))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        return [(0, batches[b], exchange.ANSWER, exchange.pack(*(x[cuts[b] : cuts[b + 1]].astype(np.uint32) for x in (entry, low, high)))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
     return reduce
 
