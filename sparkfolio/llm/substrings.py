@@ -141,10 +141,12 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     slim = rows.select("key", "text")
     anchors = exchange.answered(exchange.dealt(slim, _anchors(window, buckets)), _shared)
     near = common.written(exchange.returned(anchors, PERIOD - 1, 1), "anchors")
+    del anchors  # else its shuffle files would stay
     common.swept(spark)
     around = slim.join(near, "key")
     wide = exchange.answered(exchange.dealt(around, _windows(window, buckets)), _later)
     out = common.written(exchange.returned(wide, 0, window), "windows")
+    del around, wide
     common.dropped(spark, near)
     common.swept(spark)
     return out

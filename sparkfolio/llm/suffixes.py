@@ -380,6 +380,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, spread: int | None = None) ->
 
     first = exchange.answered(exchange.dealt(slim, _candidates(length, spread, buckets)), _shared)
     near = common.written(exchange.returned(first, 0, 1), "prefixes")
+    del first  # else its shuffle files would stay
     common.swept(spark)
     around = common.written(slim.join(near, "key"), "candidates")
     sample = around.mapInArrow(_samples(length, spread), "sample binary")
@@ -388,6 +389,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, spread: int | None = None) ->
     runs = exchange.answered(exchange.dealt(around, _runs(length, spread, borders)), _repeated(length, spread))
     out = common.written(runs.groupBy("batch").applyInArrow(_byte_spans(length), exchange.SPANS), "repeats")
     common.dropped(spark, near, around)
+    del near, around, runs
     common.swept(spark)
     return out
 
