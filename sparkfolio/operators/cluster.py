@@ -80,7 +80,8 @@ def chapters(df: DataFrame, keys: list[str], time: str, lat: str, lon: str, tie:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([time, tie], na_position="last")
-        places = [None if pd.isna(a) or pd.isna(b) else (a, b) for a, b in zip(group[lat], group[lon], strict=True)]
+        undated = group[time].isna().all()  # these stay together
+        places = [None if undated or pd.isna(a) or pd.isna(b) else (a, b) for a, b in zip(group[lat], group[lon], strict=True)]
         return group.assign(_part=place_chapters(list(group[time]), places, km))
 
     from pyspark.sql import Window as W

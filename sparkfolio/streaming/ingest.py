@@ -29,8 +29,8 @@ def ingest(stream: DataFrame, known: Callable[[], DataFrame], key: str, work: Ca
         df = df.dropDuplicates([key]).persist()
         fresh = df.join(known().select(key), key, "left_anti")
         done = work(fresh).persist()
+        scanned, saved = df.count(), done.count()  # before saving: a write to what ``known`` reads drops the cache
         save(done)
-        scanned, saved = df.count(), done.count()
         for name, n in (("scanned", scanned), ("cached", scanned - saved), ("saved", saved)):
             total[name] += n
         done.unpersist()
