@@ -154,8 +154,9 @@ def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", ve
     An empty table gives an empty result.
     """
     spark = df.sparkSession
-    rows = vectors.cleaned(df, id_col, vec_col)
-    asked = vectors.cleaned(df.where(query), id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec"))
+    rows = vectors.cleaned(df, id_col, vec_col, query)
+    asked = rows.where("marked").groupBy("id").agg(F.min("vec").alias("vec"))
+    rows = rows.drop("marked")
     count, many = rows.count(), asked.count()
     coder = spark.sparkContext.broadcast(fit(vectors.sample(rows, SAMPLE), k))
     blocks, chunks = common.parts(spark, count, BLOCK_ROWS), common.parts(spark, many, CHUNK_QUERIES)

@@ -40,12 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now = common.written(edges.where("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct(), "edges")
     mark = None
-    while True:
+    while now.limit(1).count():
         after = common.written(_small_star(_large_star(now)), "edges")
         common.dropped(spark, now)
         now = after
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(seen) == mark or not seen[0]:
+        if tuple(seen) == mark:
             break
         mark = tuple(seen)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

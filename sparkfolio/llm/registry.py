@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE_SQL}
+    return {"op1_sharding": sharding.ORACLE_SQL, "op4_neardup": neardup.ORACLE_SQL, "op6_substrings": substrings.ORACLE_SQL}

@@ -214,3 +214,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = deduplicated(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0), lambda a, s: a + s["end"] - s["start"]).cast("long")
     return out.select(F.col("id").alias("doc_id"), "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+  p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
+  k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) AS n FROM p),
+  g AS (SELECT DISTINCT doc_id, i + o.range AS j FROM k, range(20) o WHERE n > 1),
+  w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+  s AS (SELECT w.doc_id, count(*) AS removed FROM w JOIN g ON g.doc_id = w.doc_id AND g.j = w.j GROUP BY 1),
+  t AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.j) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = w.doc_id AND g.j = w.j) GROUP BY 1)
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""

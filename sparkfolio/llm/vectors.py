@@ -14,13 +14,16 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def cleaned(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id`` and ``vec`` (array<double>) of the rows that take part.
+def cleaned(df: DataFrame, id_col: str, vec_col: str, mark: Column | None = None) -> DataFrame:
+    """``id`` and ``vec`` (array<double>) of the rows that take part; with ``mark`` also ``marked``.
 
     Vectors of another length than most (the smaller length on ties) can't be
     compared and take no part, nor do rows without an id.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kept = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")]
+    if mark is not None:
+        kept.append(F.coalesce(mark, F.lit(False)).alias("marked"))
+    rows = df.select(*kept)
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
     common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("vec") == (common["n"] if common else 0))
