@@ -402,3 +402,90 @@ def photo_state(spark, sf_dir):
     known = table(spark, sf_dir, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("key"))
     failed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
     return joins.state_of(scan, known, failed, "key").select("o_orderkey", "state")
+
+
+@query(f"""WITH c AS (SELECT c_nationkey, CAST(round(({LAT}) / 10) AS INTEGER) AS la, CAST(round(({LON}) / 10) AS INTEGER) AS lo FROM customer), n AS (SELECT c_nationkey, la, lo, count(*) AS n FROM c GROUP BY ALL)
+  SELECT c_nationkey, la, lo, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, la DESC, lo DESC) AS place FROM n) WHERE place = 1""")
+def busiest_cell(spark, sf_dir):
+    """The cell of ten degrees with most customers of each nation; ties to the greatest cell."""
+    cells = table(spark, sf_dir, "customer").select("c_nationkey", F.struct(F.round(F.expr(f"cast(({LAT}) as double)") / 10).cast("int").alias("la"), F.round(F.expr(f"cast(({LON}) as double)") / 10).cast("int").alias("lo")).alias("cell"))
+    return aggregates.mode(cells, ["c_nationkey"], "cell").select("c_nationkey", "cell.la", "cell.lo", F.col("votes").alias("n"))
+
+
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'mixed' ELSE coalesce(min(o_orderstatus), '') END AS label FROM orders GROUP BY 1")
+def format_label(spark, sf_dir):
+    """The one status of a customer's orders, or mixed."""
+    low, high = F.min("o_orderstatus"), F.max("o_orderstatus")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.when(low != high, "mixed").otherwise(F.coalesce(low, F.lit(""))).alias("label"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_tax, l_linenumber) AS place FROM lineitem""")
+def reading_order(spark, sf_dir):
+    """Slots of each page by x, then y."""
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_discount", "l_tax", "l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", place.alias("place"))
+
+
+@query("""SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b,
+    round((least(a.l_discount + 0.05, b.l_discount + 0.05) - greatest(a.l_discount, b.l_discount)) * (least(a.l_tax + 0.05, b.l_tax + 0.05) - greatest(a.l_tax, b.l_tax)), 6) AS area
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
+  WHERE least(a.l_discount + 0.05, b.l_discount + 0.05) - greatest(a.l_discount, b.l_discount) > 0.000001 AND least(a.l_tax + 0.05, b.l_tax + 0.05) - greatest(a.l_tax, b.l_tax) > 0.000001""")
+def overlaps(spark, sf_dir):
+    """Pairs of boxes of one page that overlap; discounts and taxes are their corners."""
+    box = geo.rect(F.col("l_discount"), F.col("l_tax"), F.lit(0.05), F.lit(0.05))
+    rows = lambda n: table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias(n), box.alias(f"box_{n}"))
+    pairs = rows("a").join(rows("b"), "l_orderkey").where("a < b").withColumn("shared", geo.intersect(F.col("box_a"), F.col("box_b")))
+    return pairs.where("shared.w > 0.000001 AND shared.h > 0.000001").select("l_orderkey", "a", "b", F.round(geo.area(F.col("shared")), 6).alias("area"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS weight FROM lineitem")
+def normalised_weights(spark, sf_dir):
+    total = F.sum("l_quantity").over(W.partitionBy("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / total, 6).alias("weight"))
+
+
+@query("""SELECT n_nationkey, count(s_suppkey) AS n, n_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) >= 2) AS enough FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+def placed_per_event(spark, sf_dir):
+    """Suppliers of every nation, also of those without any, against a floor of two."""
+    counts = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("n"))
+    return counts.withColumn("enough", F.col("n") >= 2)
+
+
+@query("""WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS p, lag(event_type, 2) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  SELECT user_id, event_id, event_type IS DISTINCT FROM p AS varied, coalesce(event_type = p AND p = q, false) AS third FROM l""")
+def variety(spark, sf_dir):
+    """Whether an event differs from the one before, and whether it is the third of its type in a row."""
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    one, two = F.lag("event_type").over(order), F.lag("event_type", 2).over(order)
+    same = F.coalesce((F.col("event_type") == one) & (one == two), F.lit(False))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", (~F.col("event_type").eqNullSafe(one)).alias("varied"), same.alias("third"))
+
+
+@query("""WITH n AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)
+  SELECT p_brand, 0 AS line, CAST(count(*) AS VARCHAR) AS cells FROM n GROUP BY 1 UNION ALL
+  SELECT p_brand, CAST(n // 5 + 1 AS INTEGER), string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY n) FROM n GROUP BY p_brand, n // 5""")
+def sheet_rows(spark, sf_dir):
+    """A header line with the number of parts of each brand, and lines of five parts."""
+    rows = windows.chunks(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_partkey")], 5)
+    head = rows.groupBy("p_brand").agg(F.lit(0).alias("line"), F.count("*").cast("string").alias("cells"))
+    cells = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("place", "p_partkey"))), lambda s: s["p_partkey"].cast("string")))
+    lines = rows.groupBy("p_brand", "chunk").agg(cells.alias("cells")).select("p_brand", (F.col("chunk") + 1).alias("line"), "cells")
+    return head.unionByName(lines)
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_at FROM orders GROUP BY ALL)
+  SELECT o_custkey, o_orderpriority, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY first_at) AS place FROM f) WHERE place <= 3""")
+def first_seen(spark, sf_dir):
+    """The first three priorities that each customer used."""
+    first = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first_at"))
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("first_at"))
+    return first.withColumn("place", place).where("place <= 3").select("o_custkey", "o_orderpriority", "place")
+
+
+@query("""WITH c AS (SELECT count(*) AS n FROM customer), o AS (SELECT count(DISTINCT o_custkey) AS n FROM orders) SELECT c.n AS known, o.n AS placed, greatest(0, c.n - o.n) AS left_out FROM c, o""")
+def funnel(spark, sf_dir):
+    """Customers in all, those with orders, and the others."""
+    known = table(spark, sf_dir, "customer").agg(F.count("*").alias("known"))
+    placed = table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").alias("placed"))
+    both = known.withColumn("one", F.lit(1)).join(placed.withColumn("one", F.lit(1)), "one")
+    return both.select("known", "placed", F.greatest(F.lit(0), F.col("known") - F.col("placed")).alias("left_out"))
