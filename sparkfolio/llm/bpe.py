@@ -262,11 +262,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encoded(df: DataFrame, text_col: str = "text", vocab: str | None = None, ids_as: str = "array", prefix: str = "") -> DataFrame:
+def encoded(df: DataFrame, text_col: str = "text", vocab: str | None = None, ids_as: str = "array") -> DataFrame:
     """``df`` with ``n_tokens``, ``ids`` (array<int>, or text joined by spaces) and ``decoded``.
 
     A null text counts as empty: no tokens, an empty list, an empty string.  Rows
-    keep their other columns; ``prefix`` avoids clashes with columns named alike.
+    keep their other columns; a new column gets underscores in front of its name
+    while another has it.
     No shuffle.  ``vocab`` is a file that every executor can open; None ships the
     installed public vocabulary with the job.
     """
@@ -276,9 +277,7 @@ def encoded(df: DataFrame, text_col: str = "text", vocab: str | None = None, ids
         source = common.vocabulary_file("word_bpe_49k.json")
         df.sparkSession.sparkContext.addFile(source)
         shipped = source.rsplit("/", 1)[-1]
-    names = [prefix + n for n in ("n_tokens", "ids", "decoded")]
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already; give a prefix")
+    names = [common.free(n, df.columns) for n in ("n_tokens", "ids", "decoded")]
     schema = T.StructType(list(df.schema.fields))
     for name, kind in zip(names, ("long", T.ArrayType(T.IntegerType()) if ids_as == "array" else "string", "string"), strict=True):
         schema = schema.add(name, kind)

@@ -92,6 +92,14 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
     return written(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front while a column is called so: columns that exist keep their names."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

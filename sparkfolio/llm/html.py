@@ -233,15 +233,16 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     """``pages`` with ``main_text``; a null or empty page has an empty text.
 
     Pages without a host (null or odd urls) share one template count.  Repeated
-    pages are rows of their own and each counts as a page.
+    pages are rows of their own and each counts as a page.  ``name`` gets
+    underscores in front while another column has it.
     """
-    if name in pages.columns:
-        raise ValueError(f"there is a column {name} already")
+    name = common.free(name, pages.columns)
+    at, host, own_template = (common.free(n, pages.columns) for n in ("_at", "_host", "_template"))
     common.small_batches(pages.sparkSession)
-    found = common.written(templates(pages, url_col, html_col, least_pages, least_share), "templates").withColumnRenamed("host", "_host")
-    size = found.agg(F.sum(F.size("template"))).first()[0] or 0
-    own = pages.withColumn("_page_host", host_of(url_col))
-    joined = own.join(F.broadcast(found) if size <= BROADCAST_MOST else found, F.col("_page_host") == F.col("_host"), "left").drop("_host", "_page_host")
+    found = common.written(templates(pages, url_col, html_col, least_pages, least_share), "templates").select(F.col("host").alias(host), F.col("template").alias(own_template))
+    size = found.agg(F.sum(F.size(own_template))).first()[0] or 0
+    own = pages.withColumn(at, host_of(url_col))
+    joined = own.join(F.broadcast(found) if size <= BROADCAST_MOST else found, F.col(at) == F.col(host), "left").drop(at, host)
     schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])
     columns = pages.columns
 

@@ -130,6 +130,8 @@ def rounded(rows: DataFrame, group: str, key: str, p: str, size: str, seed: int
 def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 0) -> DataFrame:
     """``docs`` with the columns of a mix, prefixed ``mix_``: size, source_size, target, copies, taken.
 
+    The prefix gets underscores in front while a column of ``docs`` has such a name.
+
     ``copies`` (0 to ``ceil(most)``) tells how often the document is taken.  Null
     texts have no words; documents of no words take no part in the rounding and
     keep the whole copies of their source.  A null source is a source, after all
@@ -157,12 +159,16 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
     named_out = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("size")}
     decided = rated.join(ups, F.col("_key") == F.col("_up_key"), "left").select(F.col("_key").alias("_own"), *[c.alias(f"mix_{n}") for n, c in named_out.items()])
     names = [f"mix_{n}" for n in named_out]
-    return rows.select("_row", "_key").join(decided, F.col("_key") == F.col("_own")).select("_row", *names).select("_row.*", *names)
+    prefix = "mix_"
+    while {prefix + n for n in named_out} & {c.lower() for c in docs.columns}:
+        prefix = "_" + prefix
+    return rows.select("_row", "_key").join(decided, F.col("_key") == F.col("_own")).select("_row", *names).select("_row.*", *[F.col(f"mix_{n}").alias(prefix + n) for n in named_out])
 
 
 def repeated(mix: DataFrame, columns: list[str]) -> DataFrame:
     """The documents of a mix, each as often as it is taken."""
-    return mix.where("mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*columns)
+    copies = F.col(mix.columns[-2])
+    return mix.where(copies > 0).select(*columns, F.explode(F.sequence(F.lit(1), copies)).alias(common.free("_copy", columns))).select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

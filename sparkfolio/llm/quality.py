@@ -143,10 +143,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "q
     """``docs`` with a score between 0 and 1 (higher: label 1 is likelier).
 
     Texts without terms (null, empty) get the model's prior.  Other columns,
-    nulls among them, stay as they are; ``name`` must be new.
+    nulls among them, stay as they are; ``name`` gets underscores in front while
+    another column has it.
     """
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
+    name = common.free(name, docs.columns)
     common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
@@ -167,7 +167,8 @@ def held_out(id_col: str = "doc_id"):
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose score is ``least`` or more; columns stay as they are."""
     model = fit(docs, labels.where(~held_out()))
-    return scored(docs, model, name="_quality_score").where(F.col("_quality_score") >= least).drop("_quality_score")
+    out = scored(docs, model)
+    return out.where(F.col(out.columns[-1]) >= least).drop(out.columns[-1])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -257,8 +257,7 @@ def test_quality(spark):
     empty = quality.fit(df, labels.limit(0))
     assert {r.s for r in quality.scored(df, empty, name="s").collect()} == {0.5}
     assert quality.scored(df.limit(0), model, name="s").collect() == []
-    with pytest.raises(ValueError, match="already"):
-        quality.scored(df, model, name="text")
+    assert quality.scored(df, model, name="text").columns == [*df.columns, "_text"]
 
 
 # pages
@@ -280,7 +279,7 @@ def test_html_marks():
 def test_html_templates(spark):
     rows = [(i, f"http://Site.org/{i}", f"<body><div class=top><p>Our site</p></div><div><p>Own text {i}</p><p>Common words</p></div><div><p>Link list</p></div></body>") for i in range(10)]
     rows += [(20, "http://other.org/1", rows[0][2]), (21, None, None), (22, "odd", ""), (3, "http://site.org/3", rows[3][2])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, _template string")
     got = collections.defaultdict(list)
     for r in html.extracted(df).collect():
         got[r.page_id].append(r.main_text)
@@ -325,8 +324,7 @@ def test_bpe_frame(spark, library, monkeypatch):
     for r in bpe.encoded(df).collect():
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
         assert r.n_tokens == len(r.ids)
-    with pytest.raises(ValueError, match="prefix"):
-        bpe.encoded(df.withColumn("ids", F.lit(1)))
+    assert bpe.encoded(df.withColumn("ids", F.lit(1))).limit(1).columns == [*df.columns, "ids", "n_tokens", "_ids", "decoded"]
     assert bpe.encoded(df.limit(0)).collect() == []
 
 
@@ -371,8 +369,11 @@ def test_mixing_odd(spark):
     assert {(r.source, r.mix_size, r.mix_source_size) for r in rows} == {("a", 0, 2), ("a", 2, 2), (None, 1, 1), ("b", 0, 0)}
     assert mixing.mixed(df.limit(0)).collect() == []
     assert all(r.mix_taken == 0 for r in mixing.mixed(df.where("text IS NULL")).collect())
-    again = mixing.repeated(mixing.mixed(df), df.columns)
-    assert again.columns == df.columns
+    more = df.withColumn("mix_copies", F.lit(7))
+    assert mixing.mixed(more).columns[-2:] == ["_mix_copies", "_mix_taken"]
+    again = mixing.repeated(mixing.mixed(more), more.columns)
+    assert again.columns == more.columns
+    assert {r.mix_copies for r in again.collect()} <= {7}
 
 
 # shards
