@@ -91,7 +91,8 @@ def date_range(low: Column, high: Column) -> Column:
     full = lambda t: F.concat_ws(" ", day(t), month(t), year(t))
     same_year, same_month = year(a) == year(b), month(a) == month(b)
     return (
-        F.when(F.to_date(a) == F.to_date(b), full(a))
+        F.when(low.isNull() | high.isNull(), F.lit(None).cast("string"))
+        .when(F.to_date(a) == F.to_date(b), full(a))
         .when(same_year & same_month, F.concat(day(a), F.lit("-"), full(b)))
         .when(same_year, F.concat(day(a), F.lit(" "), month(a), F.lit(" - "), full(b)))
         .otherwise(F.concat(full(a), F.lit(" - "), full(b)))
