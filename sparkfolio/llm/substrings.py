@@ -143,7 +143,8 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     near = common.written(exchange.returned(anchors, PERIOD - 1, 1), "anchors")
     del anchors  # else its shuffle files would stay
     common.swept(spark)
-    around = slim.join(near, "key")
+    # in the order of keys, as a merge join leaves them: a task that runs again makes the same batches
+    around = slim.join(near, "key").sortWithinPartitions("key")
     wide = exchange.answered(exchange.dealt(around, _windows(window, buckets)), _later)
     out = common.written(exchange.returned(wide, 0, window), "windows")
     del around, wide
