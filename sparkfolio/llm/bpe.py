@@ -30,7 +30,9 @@ from . import common
 
 SCAN_MOST = 256
 #: Distinct words, and distinct chunks of more than a word, that a worker remembers; a memo starts anew beyond it, results don't change.
-MEMO_MOST = 250_000
+MEMO_MOST = 80_000
+#: Bytes of text that are encoded together.
+TOGETHER = 3 << 20
 
 #: The white space of the tokenizer's pattern, and its word pattern.
 WHITE = "\t\n\x0b\x0c\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -218,6 +220,10 @@ class Codec:
         for token, i in self.special.items():
             known[token] = 1, str(i), token
 
+    def forget(self) -> None:
+        """Drop what is remembered; the vocabulary stays."""
+        self.chunks, self.words = {}, {}
+
     def _cut(self, text: str) -> list[str]:
         """The text's chunks: special tokens, and what lies between white space."""
         if "<|" in text and self.specials.search(text):
@@ -284,9 +290,15 @@ def encoded(df: DataFrame, text_col: str = "text", vocab: str | None = None, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(SparkFiles.get(shipped) if shipped else vocab)
+        try:
+            yield from encode_batches(own, batches)
+        finally:  # the worker may serve other operators next
+            own.forget()
+
+    def encode_batches(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            step = max(1, min(len(texts), int(common.STEP_BYTES * max(len(texts), 1) / max(texts.nbytes, 1))))
+            step = max(1, min(len(texts), int(TOGETHER * max(len(texts), 1) / max(texts.nbytes, 1))))
             for at in range(0, len(texts), step):
                 part = batch.slice(at, step)
                 got = own.encode_texts([t or "" for t in texts.slice(at, step).to_pylist()])

@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     data, offsets = text_buffer(texts)
-    for a, b in slices(offsets, 2 << 20):
+    for a, b in slices(offsets, 1 << 20):
         for c in range(a, b, 1000):  # short texts: bound the rows too
             d = min(b, c + 1000)
             yield c, d, features(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c])
