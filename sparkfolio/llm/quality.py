@@ -107,8 +107,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Of an id labelled twice the smaller label counts.  Without any labels every
     score is the prior, 0.5.
     """
-    from pyspark.sql import Window as W
-
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
     # the smallest hashes of each label: two top-k, each bounded
     first = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
