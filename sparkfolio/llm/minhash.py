@@ -8,11 +8,12 @@ make the buckets.  Two documents are linked if they share a bucket and their
 words align with an edit similarity (1 - edits / longer length) of ``ALIKE`` at
 least, computed in a band of that width.
 
-No bucket is expanded into pairs.  Exact copies are one row from the start.
-Members of a bucket are compared with its leader, and with the leader of the
-finer bucket of two sketches together; whoever isn't linked to its bucket's
-leader by then meets the others that aren't under a new leader, round by round,
-until a round finds no link.
+Exact copies are one row from the start.  Members of a bucket are first compared
+with its leader, and with the leader of the finer bucket of two sketches
+together; those that aren't of the leader's class meet under a new leader, for
+``STARS`` rounds at most.  That joins large groups by few alignments.  In the end
+all pairs of a bucket that are of different classes and of lengths that fit are
+compared, in blocks, so the classes are those of all pairs that share a bucket.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .components import components
 from .hashing import U64, Roller, _salted, mix64, slices, text_buffer, words
 
 SHINGLE, TAKEN, SKETCHES, ALIKE = 5, 2, 32, 0.8
+#: Rounds of leaders before the pairs that are left, and members of a bucket in a block of these.
+STARS, BLOCK = 3, 512
 _PLACE = 24  # bits of a hash that hold the shingle's place; a text has under 2**24 words
 
 
@@ -135,6 +138,43 @@ def _verified(pairs: DataFrame, codes: DataFrame, alike: float) -> DataFrame:
     return joined.where(F.expr("levenshtein(a, b, narrow) >= 0 OR levenshtein(a, b, most) >= 0")).select("rep", "leader")
 
 
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    pairs = pairs.distinct()
+    return pairs if tested is None else pairs.join(tested, ["rep", "leader"], "left_anti")
+
+
+def _joined(found: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components with the new links; what is connected already is a star."""
+    edges = new.select(F.col("rep").alias("u"), F.col("leader").alias("v"))
+    if found is not None:
+        edges = edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(edges)
+
+
+def _labelled(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members with their class so far."""
+    if found is None:
+        return members.withColumn("class", F.col("rep"))
+    return members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+
+
+def _across(labelled: DataFrame, alike: float) -> DataFrame:
+    """All pairs of a bucket's members of different classes whose lengths allow a link; a large bucket is many blocks."""
+    spark = labelled.sparkSession
+    labelled = common.written(labelled.select("rep", "n_words", "i", "value", "class"), "labelled")
+    mixed = labelled.groupBy("i", "value").agg(F.count("*").alias("_n"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
+    mixed = mixed.select(F.col("i").alias("_i"), F.col("value").alias("_value"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    rows = common.written(labelled.join(mixed, (F.col("i") == F.col("_i")) & (F.col("value") == F.col("_value"))).drop("_i", "_value"), "mixed")
+    common.dropped(spark, labelled)
+    own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.withColumn("row", own).withColumn("column", every).drop("blocks")
+    right = common.again(rows).withColumn("column", own).withColumn("row", every).select("i", "value", "row", "column", F.col("rep").alias("leader"), F.col("n_words").alias("_words"), F.col("class").alias("_class"))
+    longer, shorter = F.greatest("n_words", "_words"), F.least("n_words", "_words")
+    keys = ["i", "value", "row", "column"]
+    on = [left[k] == right[k] for k in keys] + [left["rep"] > right["leader"], left["class"] != right["_class"], longer - shorter <= F.floor(longer * (1 - alike) + 1e-9)]
+    return left.join(right, on).select("rep", "leader")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, sketches: int = SKETCHES, alike: float = ALIKE) -> DataFrame:
     """One row for each document: ``key``, ``id``, ``class_key``, ``class_id`` and ``n_words``.
 
@@ -164,30 +204,29 @@ def _classes(rows: DataFrame, size: int, sketches: int, alike: float) -> DataFra
 
     tested, found, open_members = None, None, members
     used = [members, codes]  # files that the result doesn't read
-    while True:
+    for star in range(STARS):
         stars = [_leaders(open_members, ["i", "value"]).select("rep", "leader")]
-        if tested is None:
+        if star == 0:
             stars.append(_leaders(open_members, ["i", "value", "next"]).select("rep", "leader"))
         pairs = stars[0] if len(stars) == 1 else stars[0].unionByName(stars[1])
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["rep", "leader"], "left_anti")
-        pairs = common.written(pairs, "pairs")
+        pairs = common.written(_untested(pairs, tested), "pairs")
         new = common.written(_verified(pairs, codes, alike), "links")
         used += [pairs, new]
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.limit(1).count():
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = new.select(F.col("rep").alias("u"), F.col("leader").alias("v"))
-        if found is not None:  # what is connected already is a star
-            edges = edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        found = components(edges)
-        # who isn't of its bucket's leader's class meets the others under a new leader
-        labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+        found = _joined(found, new)
+        # who isn't of its leader's class meets the others under a new leader
+        labelled = _labelled(open_members, found)
         heads = labelled.groupBy("i", "value").agg(F.min_by("class", "rep").alias("_class"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
         heads = heads.select(F.col("i").alias("_i"), F.col("value").alias("_value"), "_class")
         open_members = common.written(labelled.join(heads, (F.col("i") == F.col("_i")) & (F.col("value") == F.col("_value"))).where("class != _class").select("rep", "n_words", "i", "value", "next"), "buckets")
         used.append(open_members)
+    pairs = common.written(_untested(_across(_labelled(members, found), alike), tested), "pairs")
+    new = common.written(_verified(pairs, codes, alike), "links")
+    used += [pairs, new]
+    if new.limit(1).count():
+        found = _joined(found, new)
     common.dropped(spark, *used)
     own = made.select("key", "id", "digest", "n_words")
     own = own.join(reps.select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("key")))

@@ -164,6 +164,39 @@ def test_minhash(spark):
     assert found == own
 
 
+def fixed_sketches(spark, monkeypatch, docs):
+    """Classes of ``docs`` (id, bucket, text) where all sketches of a document are its bucket."""
+
+    def sketched(data, offsets, size=0, sketches=2):
+        bucket = [int(bytes(data[x:y]).split()[0][1:]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.diff(minhash.words(data, offsets)[2]), np.repeat(np.array(bucket, np.uint64)[:, None], sketches, axis=1)
+
+    monkeypatch.setattr(minhash, "sketched", sketched)  # goes to the workers with the closure
+    return {r.id: r.class_id for r in minhash.classes(spark.createDataFrame(docs, DOCS), sketches=2).collect()}
+
+
+def family(name, n=20):
+    return [f"{name}{i}" for i in range(n)]
+
+
+def test_minhash_bucket_of_many_families(spark, monkeypatch):
+    texts = [" ".join(["b7", *family(name), tail]) for name in "pqrstu" for tail in "xy"]
+    found = fixed_sketches(spark, monkeypatch, list(enumerate(texts, 1)))
+    assert found == {i: i - 1 + i % 2 for i in range(1, 13)}
+
+
+def test_minhash_round_without_links(spark, monkeypatch):
+    texts = [" ".join(["b7", *family(name), tail]) for name, tail in ("px", "qx", "qy", "rx", "ry")]
+    assert fixed_sketches(spark, monkeypatch, list(enumerate(texts, 1))) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_minhash_links_of_a_leaders_class(spark, monkeypatch):
+    # 1~2 and 2~3, but not 1~3: who is of the leader's class still meets the others
+    w = ["b7", *family("p", 39)]
+    two, three = w[:34] + family("q", 6), w[:28] + family("r", 6) + family("q", 6)
+    assert fixed_sketches(spark, monkeypatch, [(i, " ".join(x)) for i, x in enumerate((w, two, three), 1)]) == {1: 1, 2: 1, 3: 1}
+
+
 def test_minhash_odd(spark):
     rows = minhash.classes(spark.createDataFrame([*ODD, (20, ""), (21, "one"), (22, "a b " * 400 + "c")], DOCS)).collect()
     assert len(rows) == len(ODD) + 3
