@@ -4,7 +4,8 @@ Shingles are ``SHINGLE`` consecutive words, each labelled with its number among
 equal ones of the document.  A sketch takes the ``TAKEN`` shingles of smallest
 hash and keeps them in the order of the text, so it is sensitive to edits that
 move text, not only to the set of shingles; ``SKETCHES`` independent sketches
-make the buckets.  Two documents are linked if they share a bucket and their
+make the buckets.  Shingles of three words and 64 sketches let nearly all pairs at
+the border of ``ALIKE`` share a bucket, scattered edits included.  Two documents are linked if they share a bucket and their
 words align with an edit similarity (1 - edits / longer length) of ``ALIKE`` at
 least, computed in a band of that width.
 
@@ -29,7 +30,7 @@ from . import common
 from .components import components
 from .hashing import U64, Roller, _salted, mix64, slices, text_buffer, words
 
-SHINGLE, TAKEN, SKETCHES, ALIKE = 5, 2, 32, 0.8
+SHINGLE, TAKEN, SKETCHES, ALIKE = 3, 2, 64, 0.8
 #: Rounds of leaders before the pairs that are left, and members of a bucket in a block of these.
 STARS, BLOCK = 3, 512
 _PLACE = 24  # bits of a hash that hold the shingle's place; a text has under 2**24 words

@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import ann, bpe, common, components, html, minhash, mixing, neardup, quality, sharding, substrings, suffixes
+from sparkfolio.llm import ann, bpe, common, components, hashing, html, minhash, mixing, neardup, quality, sharding, substrings, suffixes
 
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "é 😀 ß" * 3), (None, "no id"), (4, "one"), (4, "two words"), (9, "x" * 3000), (10, "a b " * 400)]
@@ -197,6 +198,21 @@ def test_minhash_links_of_a_leaders_class(spark, monkeypatch):
     assert fixed_sketches(spark, monkeypatch, [(i, " ".join(x)) for i, x in enumerate((w, two, three), 1)]) == {1: 1, 2: 1, 3: 1}
 
 
+@pytest.mark.parametrize("low, high, least", [(0.8, 0.85, 0.99), (0.85, 0.9, 0.999), (0.9, 1.0, 1.0)])
+def test_minhash_recall_by_similarity(low, high, least):
+    draw, vocabulary = random.Random(12), [f"w{i}" for i in range(3000)]
+    one, two = [], []
+    for _ in range(1000):
+        text = draw.choices(vocabulary, k=draw.randint(60, 300))
+        edited = list(text)
+        for at in draw.sample(range(len(text)), int((1 - draw.uniform(low, high)) * len(text))):
+            edited[at] = draw.choice(vocabulary)
+        one.append(" ".join(text))
+        two.append(" ".join(edited))
+    sketches = [minhash.sketched(*hashing.text_buffer(pa.array(t)))[1] for t in (one, two)]
+    assert (sketches[0] == sketches[1]).any(axis=1).mean() >= least
+
+
 def test_minhash_odd(spark):
     rows = minhash.classes(spark.createDataFrame([*ODD, (20, ""), (21, "one"), (22, "a b " * 400 + "c")], DOCS)).collect()
     assert len(rows) == len(ODD) + 3
