@@ -135,25 +135,25 @@ def vector_mean(spark, sf_dir):
     return means.select("label", F.posexplode("mean").alias("place", "m")).select("label", "place", F.round("m", 6).alias("mean"))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = joins.band_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "vec_id", 120, ["embedding"]).withColumn("distance", sc.l2(F.col("a_embedding"), F.col("b_embedding")))
+    return pairs.where("distance <= 1.19").select("a", "b", "distance")
+
+
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance
   FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 120
   WHERE list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 1.19""")
 def near_links(spark, sf_dir):
     """Links of vectors that stand at most 120 numbers apart."""
-    pairs = joins.band_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "vec_id", 120, ["embedding"]).withColumn("distance", sc.l2(F.col("a_embedding"), F.col("b_embedding")))
-    return pairs.where("distance <= 1.19").select("a", "b", F.round("distance", 6).alias("distance"))
+    return _links(spark, sf_dir).withColumn("distance", F.round("distance", 6))
 
 
 @query()
 def complete_linkage(spark, sf_dir):
     """Clusters in which every pair is linked, numbered by their smallest vector."""
-    from ..operators.cluster import complete_linkage as run
+    from ..operators import cluster
 
-    links = near_links(spark, sf_dir)
-    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("label").alias("component"))
-    other = label.withColumnsRenamed({"_v": "_w", "component": "_other"})
-    grouped = links.join(label, F.col("a") == F.col("_v")).join(other, F.col("b") == F.col("_w")).where("component = _other")
-    return run(grouped.select("component", "a", "b", "distance"))
+    return cluster.complete_linkage(cluster.connected(_links(spark, sf_dir)))
 
 
 @query("""SELECT doc_id, bit_count(xor(doc_id * 2654435761, n_chars * 40503)) AS bits FROM documents""")
