@@ -2,11 +2,12 @@
 
 Equal vectors are one row with a count from the start.  Centroids come from a
 bounded sample; every vector has the cell of its nearest centroid as home and
-visits its ``VISITS`` - 1 next ones.  A home's members are compared with all of
-its members and visitors by blocked products in double precision, so a pair is
-found if one of the two visits the other's home: near copies differ little, and
-their nearest centroids are nearly the same.  With ``VISITS`` cells or fewer
-every pair is compared.
+visits every cell that can hold a partner: one within the angle of ``alike``
+lies on its own centroid's side of the plane between the two centroids, and
+within the cell's widest angle of its centroid.  Vectors that fail either test
+by more than the angle are no link, so no link is missed, whatever the number of
+cells.  A home's members are compared with all of its members and visitors by
+blocked products in double precision.
 
 Cells are cut into blocks of members and blocks of others, so a hot cell is many
 tasks.  A task returns counts of links, and for connectivity a star forest of
@@ -27,10 +28,13 @@ from . import common, vectors
 from .components import components
 
 ALIKE = 0.9
-#: Vectors a cell on average, cells that a vector takes part in, and most centroids (they are broadcast).
-CELL, VISITS, MOST_CELLS = 4096, 8, 1024
+#: Vectors a cell on average, cells that a vector takes part in at least, and most centroids (they are broadcast).
+CELL, VISITS, MOST_CELLS = 4096, 1, 1024
 SAMPLE = 20_000
-MEMBERS, OTHERS = 2048, 4096
+#: Rows of a block of members and of others, and members that are multiplied at once.
+MEMBERS, OTHERS, STEP = 8192, 8192, 512
+#: What rounding may add to an angle or a cosine.
+SLACK = 1e-7
 
 
 def centroids(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -87,16 +91,55 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.binary())], names=["id", "vec", "digest"])
 
 
-def _assigned(shared, visits: int):
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            yield batch.slice(i, 2048)
+
+
+def _homes(shared):
+    """Home cell of each vector, and its angle to the centroid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            rows = vectors.matrix(batch.column("vec"))
+            fit = _unit(rows) @ shared.value.T
+            yield pa.RecordBatch.from_arrays([pa.array(fit.argmax(axis=1).astype(np.int32)), pa.array(np.arccos(np.clip(fit.max(axis=1), -1, 1)))], names=["cell", "angle"])
+
+    return run
+
+
+def visited(unit: np.ndarray, own: np.ndarray, widest: np.ndarray, alike: float, visits: int = VISITS) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each unit vector, and the cells (``own`` centroids, ``widest`` angles of their members) that can hold a partner."""
+    fit = unit @ own.T
+    home, at = fit.argmax(axis=1), np.arange(len(unit))
+    angle = np.arccos(np.clip(alike, -1, 1))
+    # a partner in cell c is no nearer to the home's centroid than to c's
+    apart = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))
+    reach = np.sin(angle) if angle < np.pi / 2 else 1.0
+    can = fit[at, home][:, None] - fit <= reach * apart[home] + SLACK
+    can &= np.arccos(np.clip(fit, -1, 1)) <= widest[None] + angle + SLACK
+    can[at, home] = True
+    if visits > 1:
+        np.put_along_axis(can, np.argsort(-fit, axis=1, kind="stable")[:, :visits], True, axis=1)
+    return home, can
+
+
+def _assigned(shared, widest, alike: float, visits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = vectors.matrix(batch.column("vec"))
-            if not len(rows):
-                continue
-            fit = rows @ shared.value.T
-            p = min(visits, fit.shape[1])
-            cells = np.argsort(-fit, axis=1, kind="stable")[:, :p]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * p), pa.array(cells.reshape(-1).astype(np.int32)))
+            home, can = visited(_unit(rows), shared.value, widest.value, alike, visits)
+            can[np.arange(len(rows)), home] = False
+            row, cell = np.nonzero(can)
+            cells = np.insert(cell, np.searchsorted(row, np.arange(len(rows))), home)  # home first
+            ends = np.concatenate([[0], np.cumsum(can.sum(axis=1) + 1)])
+            flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(cells.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["rep", "vec", "n", "cells"])
 
     return run
@@ -108,9 +151,11 @@ def _compared(alike: float):
         if not left.num_rows or not right.num_rows:
             return none
         a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-        link = linked(vectors.matrix(left["vec"]), vectors.matrix(right["vec"]), alike)
-        link &= a[:, None] != b[None, :]
-        links = link @ right["n"].to_numpy()
+        rows, others, n = vectors.matrix(left["vec"]), vectors.matrix(right["vec"]), right["n"].to_numpy()
+        link, links = np.empty((len(a), len(b)), bool), np.empty(len(a), np.int64)
+        for i in range(0, len(a), STEP):
+            link[i : i + STEP] = linked(rows[i : i + STEP], others, alike) & (a[i : i + STEP, None] != b[None, :])
+            links[i : i + STEP] = link[i : i + STEP] @ n
         u, v = forest(link, a, b)
         some, edge = links > 0, u != v
         return pa.table({"u": np.concatenate([a[some], u[edge]]), "v": pa.array(np.concatenate([np.zeros(some.sum(), np.int64), v[edge]]), mask=np.arange(some.sum() + edge.sum()) < some.sum()), "links": np.concatenate([links[some], np.zeros(edge.sum(), np.int64)])})
@@ -133,7 +178,11 @@ def linked_rows(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     # the sample and the number of cells are bounded, so what is broadcast is
     own = centroids(vectors.sample(distinct.withColumnRenamed("rep", "id"), SAMPLE), min(MOST_CELLS, common.parts(spark, count, CELL))) if count else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(own)
-    placed = common.written(distinct.select("rep", "vec", "n").mapInArrow(_assigned(shared, visits), "rep long, vec array<double>, n long, cells array<int>"), "cells")
+    widest = np.full(len(own), -1.0)
+    for r in distinct.select("vec").mapInArrow(_homes(shared), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():
+        widest[r.cell] = r.angle  # MOST_CELLS rows at most
+    widest = spark.sparkContext.broadcast(widest)
+    placed = common.written(distinct.select("rep", "vec", "n").mapInArrow(_assigned(shared, widest, alike, visits), "rep long, vec array<double>, n long, cells array<int>"), "cells")
     sizes = placed.select(F.posexplode("cells").alias("at", "cell")).groupBy("cell").agg(F.sum((F.col("at") == 0).cast("long")).alias("members"), F.count("*").alias("others"))
     sizes = sizes.select(F.col("cell").alias("_cell"), F.greatest(F.lit(1), F.ceil(F.col("members") / MEMBERS)).cast("int").alias("rows"), F.ceil(F.col("others") / OTHERS).cast("int").alias("columns"))
     sizes = F.broadcast(sizes)  # MOST_CELLS rows at most

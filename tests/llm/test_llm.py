@@ -262,6 +262,23 @@ def test_neardup(spark, monkeypatch):
     assert neardup.linked_rows(frame(spark, x).limit(0)).collect() == []
 
 
+def test_neardup_loses_no_link_at_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 10)
+    draw = np.random.default_rng(13)
+    x = draw.standard_normal((1500, 64)) + 0.5 * draw.standard_normal((4, 64))[draw.integers(0, 4, 1500)]
+    side = draw.standard_normal(x.shape)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * unit).sum(axis=1, keepdims=True) * unit
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([unit, 0.901 * unit + np.sqrt(1 - 0.901**2) * side])  # each has a partner just over 0.9
+    both = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = both @ both.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = {r.id: r.n_links for r in neardup.linked_rows(frame(spark, x)).collect()}
+    assert [got[i] for i in range(len(x))] == link.sum(axis=1).tolist()
+    assert link.sum() >= len(x)
+
+
 def test_ann(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 90)
     monkeypatch.setattr(ann, "CHUNK_QUERIES", 8)
