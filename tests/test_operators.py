@@ -1,6 +1,7 @@
 import base64
 import datetime
 import json
+import random
 import struct
 
 import pytest
@@ -198,3 +199,25 @@ def test_streams(spark, tmp_path):
     run.awaitTermination()
     assert {r.k for r in spark.read.parquet(table).collect()} == {0, 1, 2}
     assert seen[-1] == {"scanned": 3, "cached": 1, "saved": 2}
+
+
+def test_band_pairs_of_rows_without_a_time(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 5)
+    draw = random.Random(3)
+    rows = [(i, draw.choice([None, None, *range(0, 900, 7)]), draw.choice([None, 0.2, 0.4, 0.45, 0.9]), draw.randrange(1 << 6)) for i in range(40)]
+
+    def fits(p, q):  # the reference's rule: only two dated rows can be too far apart
+        return p[1] is None or q[1] is None or abs(p[1] - q[1]) <= 120
+
+    def linked(p, q):
+        d = None if p[2] is None or q[2] is None else abs(p[2] - q[2])
+        near = bin(p[3] ^ q[3]).count("1") <= 1
+        return near if d is None else d <= 0.1 or (near and d <= 0.5)
+
+    pairs = joins.band_pairs(spark.createDataFrame(rows, "id long, t long, x double, h long"), "id", "t", 120, ["x", "h"])
+    found = sorted((min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect())
+    assert found == [(p[0], q[0]) for i, p in enumerate(rows) for q in rows[i + 1 :] if fits(p, q)]
+    scored = pairs.selectExpr("a", "b", "abs(a_x - b_x) AS d", "bit_count(a_h ^ b_h) AS bits")
+    got = cluster.near_links(scored, "d", "bits", close=0.1, most_bits=1)
+    want = [(p[0], q[0]) for i, p in enumerate(rows) for q in rows[i + 1 :] if fits(p, q) and linked(p, q)]
+    assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got.collect()) == want
