@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset, a folder of its own on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="shared-"))
         found = _OWN[0]
@@ -30,6 +35,41 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
+def trimmed() -> None:
+    """Give freed memory back: a Python worker serves one operator after the other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with memory given back at the end of each task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return df.mapInArrow(whole, schema)
+
+
+def grouped(df: DataFrame, by: str, run: Callable, schema) -> DataFrame:
+    """``df.groupBy(by).applyInArrow``, with memory given back after each group of some size."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        large = table.nbytes > STEP_BYTES
+        out = run(table)
+        if large:
+            del table
+            trimmed()
+        return out
+
+    return df.groupBy(by).applyInArrow(whole, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage.
 

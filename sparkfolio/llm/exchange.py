@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .hashing import slices, text_buffer
 
 ROWS = "bucket int, batch long, kind int, payload binary"
@@ -74,7 +75,7 @@ def dealt(frame: DataFrame, emit: Callable[..., list], schema: str = ROWS) -> Da
             if found := emit(number, part, data, offsets):
                 yield rows(found)
 
-    return frame.mapInArrow(run, schema)
+    return common.mapped(frame, run, schema)
 
 
 def to_buckets(batch: int, bucket: np.ndarray, buckets: int, *arrays: np.ndarray) -> list[tuple[int, int, int, bytes]]:
@@ -83,8 +84,12 @@ def to_buckets(batch: int, bucket: np.ndarray, buckets: int, *arrays: np.ndarray
     return [(b, batch, ENTRIES, pack(*(a[cuts[b] : cuts[b + 1]] for a in arrays))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def answered(frame: DataFrame, reduce: Callable[[list[int], list[list[np.ndarray]]], list[tuple[int, int, int, bytes]]]) -> DataFrame:
-    """``reduce`` sees the packed entries of one bucket with their batch numbers; other rows pass."""
+def answered(frame: DataFrame, reduce: Callable[[list[int], list[list[np.ndarray]]], list[tuple[int, int, int, bytes]]], buckets: int) -> DataFrame:
+    """``reduce`` sees the packed entries of one bucket with their batch numbers; other rows pass.
+
+    There are as many tasks as buckets, whatever the session's number of shuffle
+    partitions, so what a task reads doesn't grow with the data.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
@@ -95,7 +100,7 @@ def answered(frame: DataFrame, reduce: Callable[[list[int], list[list[np.ndarray
         rest = table.take(pa.array(np.flatnonzero(kinds != ENTRIES)))
         return pa.concat_tables([pa.Table.from_batches([rows(found)]), rest.cast(rows([]).schema)])
 
-    return frame.groupBy("bucket").applyInArrow(run, ROWS)
+    return common.grouped(frame.repartition(buckets, "bucket"), "bucket", run, ROWS)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -149,7 +154,7 @@ def returned(frame: DataFrame, back: int, ahead: int) -> DataFrame:
         numbers = np.concatenate(got) if got else np.zeros(0, np.int64)
         return span_rows(keys, *spans_of(numbers, starts.astype(np.int64), back, ahead))
 
-    return frame.where(F.col("kind").isin(ANSWER, DOCS)).groupBy("batch").applyInArrow(run, SPANS)
+    return common.grouped(frame.where(F.col("kind").isin(ANSWER, DOCS)), "batch", run, SPANS)
 
 
 def pairs(column: pa.Array) -> list[np.ndarray]:

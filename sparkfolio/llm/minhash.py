@@ -4,21 +4,21 @@ Shingles are ``SHINGLE`` consecutive words, each labelled with its number among
 equal ones of the document.  A sketch takes the ``TAKEN`` shingles of smallest
 hash and keeps them in the order of the text, so it is sensitive to edits that
 move text, not only to the set of shingles; ``SKETCHES`` independent sketches
-make the buckets.  Shingles of three words and 64 sketches let nearly all pairs at
-the border of ``ALIKE`` share a bucket, scattered edits included.  Two documents are linked if they share a bucket and their
+make the buckets.  Two documents are linked if they share a bucket and their
 words align with an edit similarity (1 - edits / longer length) of ``ALIKE`` at
-least, computed in a band of that width.
+least, computed on the words themselves in a band of that width.
 
 Exact copies are one row from the start.  Members of a bucket are first compared
-with its leader, and with the leader of the finer bucket of two sketches
-together; those that aren't of the leader's class meet under a new leader, for
-``STARS`` rounds at most.  That joins large groups by few alignments.  In the end
-all pairs of a bucket that are of different classes and of lengths that fit are
-compared, in blocks, so the classes are those of all pairs that share a bucket.
+with its leader, and those that aren't of the leader's class with a second one;
+that joins large groups by few alignments.  Then all members of a bucket that
+are of different classes are compared, in blocks: lengths and bags of words rule
+out nearly all of these pairs inside the block's task, and only the others become
+rows and are aligned.  So the classes are those of all pairs that share a bucket.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,50 +26,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import alignment, common
 from .components import components
-from .hashing import U64, Roller, _salted, mix64, slices, text_buffer, words
+from .hashing import U64, mix64, salted, slices, text_buffer, windows, word_hashes
 
-SHINGLE, TAKEN, SKETCHES, ALIKE = 3, 2, 64, 0.8
-#: Rounds of leaders before the pairs that are left, and members of a bucket in a block of these.
-STARS, BLOCK = 3, 512
-_PLACE = 24  # bits of a hash that hold the shingle's place; a text has under 2**24 words
+SHINGLE, TAKEN, SKETCHES, ALIKE = 5, 2, 96, 0.8
+#: Rounds of leaders, members of a bucket in one block, and block members that a task compares.
+STARS, BLOCK, BIN = 2, 4096, 100_000
+#: Pairs of a block that are looked at together, and pairs of bags.
+_PAIRS, _BAGS = 1 << 19, 1 << 13
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, words before each row, and the labelled shingles of every row with words (a short text is one shingle)."""
-    start, end, first = words(data, offsets)
-    by_byte, by_word = _rollers()
-    hashes = by_byte.ranges(by_byte.bytes_prefix(data), start, end)
-    return hashes, first, by_word.prefix(hashes)
-
-
-_ROLLERS: list[Roller] = []
-
-
-def _rollers() -> list[Roller]:
-    if not _ROLLERS:
-        _ROLLERS.extend((Roller(11), Roller(12)))
-    return _ROLLERS
-
-
-def sketched(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words of each row, and its sketches (a row of zeros where there are no words)."""
-    _, first, prefix = _shingles(data, offsets, size)
+def _shingles(hashes: np.ndarray, first: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The shingles of the rows, one after the other; a row of fewer words is one shingle."""
+    count = np.diff(first)[rows]
+    full = windows(hashes, size, 12)
+    places = np.maximum(count - size + 1, 1)
+    ends = np.cumsum(places)
+    at = np.arange(ends[-1]) - np.repeat(ends - places, places) + np.repeat(first[rows], places)
+    out = np.empty(len(at), U64)
+    whole = np.repeat(count >= size, places)
+    out[whole] = full[at[whole]]
+    for n in range(1, size):
+        few = rows[count == n]
+        if len(few):
+            out[(ends - places)[count == n]] = windows(hashes[first[few][:, None] + np.arange(n)].reshape(-1), n, 12 + n)[::n]
+    return out
+
+
+def sketched(hashes: np.ndarray, first: np.ndarray, size: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
+    """The sketches of each row of word hashes (a row of zeros where there are no words)."""
     count = np.diff(first)
     out = np.zeros((len(count), sketches), U64)
     rows = np.flatnonzero(count)
     if not len(rows):
-        return count, out
+        return out
+    plain = _shingles(hashes, first, rows, size)
     places = np.maximum(count[rows] - size + 1, 1)
-    ends = np.cumsum(places)
-    begins = ends - places
-    inner = np.arange(ends[-1]) - np.repeat(begins, places)
-    at = inner + np.repeat(first[rows], places)
-    plain = _rollers()[1].ranges(prefix, at, at + np.repeat(np.minimum(count[rows], size), places))
+    begins = np.cumsum(places) - places
     # label equal shingles of a document by their order in it
-    row = np.repeat(np.arange(len(rows), dtype=U64), places)
-    own = mix64(plain ^ (row * U64(0x9E3779B97F4A7C15)))
+    own = mix64(plain ^ np.repeat(mix64(np.arange(len(rows), dtype=U64)), places))
     order = np.argsort(own, kind="stable")
     new = np.ones(len(own), dtype=bool)
     new[1:] = own[order[1:]] != own[order[:-1]]
@@ -77,103 +73,178 @@ def sketched(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE, sketche
     run = np.flatnonzero(new)
     label[order] = (np.arange(len(own)) - np.repeat(run, np.diff(np.append(run, len(own))))).astype(U64)
     labelled = mix64(plain + label * U64(0xD1B54A32D192ED03))
-    place, low = inner.astype(U64), U64((1 << _PLACE) - 1)
+    # the place of a shingle rides in the lowest bits, as many as the longest text needs
+    place = (np.arange(len(own)) - np.repeat(begins, places)).astype(U64)
+    low = U64((1 << max(16, int(places.max()).bit_length())) - 1)
     single = places == 1
-    for i, odd in enumerate(_salted(99, sketches) | U64(1)):
-        ranked = ((labelled * odd) & ~low) | place
+    ranked = np.empty(len(own), U64)
+    for i, odd in enumerate(salted(99, sketches) | U64(1)):
+        np.multiply(labelled, odd, out=ranked)
+        ranked &= ~low
+        ranked |= place
         one = np.minimum.reduceat(ranked, begins)
         a = begins + (one & low).astype(np.int64)
         ranked[a] = U64(0xFFFFFFFFFFFFFFFF)
         two = np.minimum.reduceat(ranked, begins)
-        b = np.where(single, a, begins + (two & low).astype(np.int64) % np.maximum(places, 1))
-        early, late = np.minimum(a, b), np.maximum(a, b)
-        out[rows, i] = mix64(mix64(plain[early]) + plain[late] + U64(i))
-    return count, out
+        b = np.where(single, a, begins + (two & low).astype(np.int64) % places)
+        out[rows, i] = mix64(mix64(plain[np.minimum(a, b)]) + plain[np.maximum(a, b)] + U64(i))
+    return out
 
 
 def _sketch_rows(size: int, sketches: int):
-    import hashlib
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for a, b in slices(offsets, 1 << 20):
                 own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                count, made = sketched(own, at, size, sketches)
-                raw, cuts = own.tobytes(), at.tolist()
-                digest = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(cuts, cuts[1:], strict=False)]
+                hashes, first = word_hashes(own, at, 11)
+                made = sketched(hashes, first, size, sketches)
+                cuts = at.tolist()
+                digest = [hashlib.blake2b(own[x:y], digest_size=16).digest() for x, y in zip(cuts, cuts[1:], strict=False)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * sketches), pa.array(made.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(count.astype(np.int32)), flat], names=["key", "id", "digest", "n_words", "sketches"])
+                bag = [x.tobytes() for x in alignment.bags(hashes, first)]
+                count = np.diff(first).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(count), pa.array(bag, pa.binary()), flat], names=["key", "id", "digest", "n_words", "bag", "sketches"])
 
     return run
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as one character a word: 20 bits of the word's hash, for an alignment of characters."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        for a, b in slices(offsets, 1 << 20):
-            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            hashes, first, _ = _shingles(own, at, 1)
-            points = (U64(0x10000) + (hashes >> U64(44))).astype("<u4")
-            text = points.tobytes().decode("utf-32-le")
-            cuts = first.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array([text[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], pa.string())], names=["key", "code"])
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Bags of a column as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, alignment.BINS)
+
 
+def _possible(a: np.ndarray, b: np.ndarray, alike: float) -> np.ndarray:
+    """Whether lengths allow a link."""
+    longer = np.maximum(a, b)
+    return longer - np.minimum(a, b) <= alignment.most_edits(longer, alike)
 
-def _leaders(members: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs of each member and the smallest member of its bucket."""
-    heads = members.groupBy(*by).agg(F.min("rep").alias("leader"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return members.join(heads.select(*[F.col(c).alias(f"_{c}") for c in by], "leader"), [F.col(c) == F.col(f"_{c}") for c in by]).where("rep != leader").select("rep", "leader", "n_words", *by)
 
+def _near_rows(alike: float):
+    """The pairs whose lengths and bags allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("n_words").to_numpy(), batch.column("l_words").to_numpy()
+            can = np.flatnonzero(_possible(a, b, alike))
+            part = batch.take(pa.array(can))
+            apart = alignment.bag_distance(_matrix(part.column("bag")), _matrix(part.column("l_bag")))
+            part = part.filter(pa.array(apart <= alignment.most_edits(np.maximum(a, b)[can], alike)))
+            yield part.select(["rep", "leader"])
+
+    return run
 
-def _verified(pairs: DataFrame, codes: DataFrame, alike: float) -> DataFrame:
+
+def _aligned_rows(alike: float):
     """The pairs whose words align."""
-    left = codes.select(F.col("key").alias("rep"), F.col("code").alias("a"))
-    right = codes.select(F.col("key").alias("leader"), F.col("code").alias("b"))
-    joined = pairs.join(left, "rep").join(right, "leader")
-    longer, shorter = F.greatest(F.char_length("a"), F.char_length("b")), F.least(F.char_length("a"), F.char_length("b"))
-    joined = joined.withColumn("most", F.floor(longer * (1 - alike) + 1e-9).cast("int")).where(longer - shorter <= F.col("most"))
-    # most copies fit a band of a quarter of the width; only the others need all of it
-    joined = joined.withColumn("narrow", F.ceil(F.col("most") / 4).cast("int"))
-    return joined.where(F.expr("levenshtein(a, b, narrow) >= 0 OR levenshtein(a, b, most) >= 0")).select("rep", "leader")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, list[bytes]] = (None, [])
+        for batch in batches:
+            good = []
+            reps, leaders = batch.column("rep").to_pylist(), batch.column("leader").to_pylist()
+            for i, leader in enumerate(leaders):
+                if last[0] != leader:
+                    last = leader, batch.column("l_text")[i].as_py().encode().split()
+                number: dict[bytes, int] = {}
+                a, b = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (last[1], batch.column("text")[i].as_py().encode().split()))
+                good.append(alignment.within(a, b, int(alignment.most_edits(np.int64(max(len(a), len(b))), alike))))
+            keep = [i for i, yes in enumerate(good) if yes]
+            yield pa.RecordBatch.from_arrays([pa.array([reps[i] for i in keep], pa.int64()), pa.array([leaders[i] for i in keep], pa.int64())], names=["rep", "leader"])
+
+    return run
+
+
+def _near(pairs: DataFrame, features: DataFrame, alike: float) -> DataFrame:
+    leaders = features.select(F.col("rep").alias("leader"), F.col("n_words").alias("l_words"), F.col("bag").alias("l_bag"))
+    joined = pairs.join(features, "rep").join(leaders, "leader").select("rep", "leader", "n_words", "l_words", "bag", "l_bag")
+    return common.mapped(joined, _near_rows(alike), "rep long, leader long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
+    leaders = texts.select(F.col("rep").alias("leader"), F.col("text").alias("l_text"))
+    joined = pairs.join(texts, "rep").join(leaders, "leader").select("rep", "leader", "text", "l_text")
+    return common.mapped(joined, _aligned_rows(alike), "rep long, leader long")
+
+
+def _crossing(alike: float):
+    """Pairs of a bucket's members of different classes that lengths and bags allow; a table holds many whole blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        value, row, column, side, own, rep, words = (table[c].to_numpy() for c in ("value", "row", "column", "side", "class", "rep", "n_words"))
+        order = np.lexsort((own, side, column, row, value))
+        value, row, column, side, own, rep, words = (x[order] for x in (value, row, column, side, own, rep, words))
+        bag = _matrix(table["bag"].combine_chunks())[order]
+        n = len(order)
+        new = np.ones(n + 1, dtype=bool)
+        new[1:n] = (value[1:] != value[:-1]) | (row[1:] != row[:-1]) | (column[1:] != column[:-1])
+        other = new.copy()  # another group, side or class
+        other[1:n] |= (side[1:] != side[:-1]) | (own[1:] != own[:-1])
+        half = new.copy()
+        half[1:n] |= side[1:] != side[:-1]
+        after = lambda edge: np.flatnonzero(edge)[np.cumsum(edge[:n])]  # noqa: E731  where the run that holds i ends
+        end, run_end, side_end = after(new), after(other), after(half)
+        # within a block the members behind one's own class, across two blocks the members of the second
+        start = np.where(side == 2, run_end, side_end)
+        count = np.where(side == 1, 0, end - start)
+        alone = (side == 0) & (count > 0)
+        alone[alone] = (own[start[alone]] == own[alone]) & (own[end[alone] - 1] == own[alone])
+        count[alone] = 0  # all of one's own class
+        some = np.flatnonzero(count)
+        total = np.concatenate([[0], np.cumsum(count[some])])
+        got: list[np.ndarray] = []
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + _PAIRS, side="right")) - 1)
+            part, sizes = some[at:to], count[some[at:to]]
+            i = np.repeat(part, sizes)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start[part], sizes)
+            can = (own[i] != own[j]) & _possible(words[i], words[j], alike)
+            i, j = i[can], j[can]
+            most = alignment.most_edits(np.maximum(words[i], words[j]), alike)
+            for a in range(0, len(i), _BAGS):
+                x, y = i[a : a + _BAGS], j[a : a + _BAGS]
+                near = alignment.bag_distance(bag[x], bag[y]) <= most[a : a + _BAGS]
+                x, y = rep[x[near]], rep[y[near]]
+                got.append(np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0))
+            at = to
+        pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
+        return pa.table({"rep": pairs[:, 0], "leader": pairs[:, 1]})
 
-def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    pairs = pairs.distinct()
-    return pairs if tested is None else pairs.join(tested, ["rep", "leader"], "left_anti")
+    return run
 
 
-def _joined(found: DataFrame | None, new: DataFrame) -> DataFrame:
+def _across(labelled: DataFrame, features: DataFrame, alike: float) -> DataFrame:
+    """All pairs of a bucket's members of different classes that may be links; a large bucket is many blocks."""
+    spark = labelled.sparkSession
+    mixed = labelled.groupBy("value").agg(F.count("*").alias("_n"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
+    mixed = mixed.select(F.col("value").alias("_value"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    rows = labelled.join(mixed, F.col("value") == F.col("_value")).select("value", "rep", "class", "blocks")
+    rows = common.written(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "mixed")
+    bins = common.parts(spark, rows.agg(F.sum("blocks")).first()[0] or 0, BIN)
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    each = each.select("value", "rep", "class", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), side.alias("side"))
+    each = each.withColumn("bin", F.pmod(F.xxhash64("value", "row", "column"), F.lit(bins)).cast("int")).join(features, "rep")
+    return common.grouped(each.repartition(bins, "bin"), "bin", _crossing(alike), "rep long, leader long").distinct()
+
+
+def _joined(found: DataFrame | None, new: DataFrame) -> DataFrame | None:
     """Components with the new links; what is connected already is a star."""
+    if not new.limit(1).count():
+        return found
     edges = new.select(F.col("rep").alias("u"), F.col("leader").alias("v"))
     if found is not None:
         edges = edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
     return components(edges)
 
 
-def _labelled(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members with their class so far."""
+def _labelled(frame: DataFrame, found: DataFrame | None, of: str = "rep", name: str = "class") -> DataFrame:
+    """The frame with the class so far of the documents in column ``of``."""
     if found is None:
-        return members.withColumn("class", F.col("rep"))
-    return members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
-
-
-def _across(labelled: DataFrame, alike: float) -> DataFrame:
-    """All pairs of a bucket's members of different classes whose lengths allow a link; a large bucket is many blocks."""
-    spark = labelled.sparkSession
-    labelled = common.written(labelled.select("rep", "n_words", "i", "value", "class"), "labelled")
-    mixed = labelled.groupBy("i", "value").agg(F.count("*").alias("_n"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
-    mixed = mixed.select(F.col("i").alias("_i"), F.col("value").alias("_value"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    rows = common.written(labelled.join(mixed, (F.col("i") == F.col("_i")) & (F.col("value") == F.col("_value"))).drop("_i", "_value"), "mixed")
-    common.dropped(spark, labelled)
-    own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.withColumn("row", own).withColumn("column", every).drop("blocks")
-    right = common.again(rows).withColumn("column", own).withColumn("row", every).select("i", "value", "row", "column", F.col("rep").alias("leader"), F.col("n_words").alias("_words"), F.col("class").alias("_class"))
-    longer, shorter = F.greatest("n_words", "_words"), F.least("n_words", "_words")
-    keys = ["i", "value", "row", "column"]
-    on = [left[k] == right[k] for k in keys] + [left["rep"] > right["leader"], left["class"] != right["_class"], longer - shorter <= F.floor(longer * (1 - alike) + 1e-9)]
-    return left.join(right, on).select("rep", "leader")
+        return frame.withColumn(name, F.col(of))
+    own = found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return frame.join(own, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, sketches: int = SKETCHES, alike: float = ALIKE) -> DataFrame:
@@ -182,7 +253,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     A class holds the documents that links connect; its id is the smallest.
     Exact copies are of one class.  Texts without words (null, empty, white
     space) are each alone.  Rows that share an id, or have none, are separate
-    documents, told apart by ``key``.
+    documents, told apart by ``key``.  A task needs about 30 bytes for each byte
+    of its longest text, and at least those of a megabyte.
     """
     return _classes(common.keyed(docs, id_col, text_col), size, sketches, alike)
 
@@ -191,50 +263,44 @@ def _classes(rows: DataFrame, size: int, sketches: int, alike: float) -> DataFra
     spark = rows.sparkSession
     common.small_batches(spark)
     rows = rows.select("key", "id", "text")
-    made = common.written(rows.mapInArrow(_sketch_rows(size, sketches), "key long, id long, digest binary, n_words int, sketches array<long>"), "sketches")
-    reps = made.where("n_words > 0").groupBy("digest").agg(F.min_by(F.struct("key", "n_words", "sketches"), "key").alias("r")).select("digest", F.col("r.key").alias("rep"), F.col("r.n_words").alias("n_words"), F.col("r.sketches").alias("sketches"))
-    reps = common.written(reps, "distinct")
-    # bucket i, its value, and the value of the next sketch for the finer bucket
-    turned = F.concat(F.slice("sketches", 2, sketches), F.slice("sketches", 1, 1))
-    members = reps.select("rep", "n_words", F.posexplode(F.arrays_zip(F.col("sketches").alias("one"), turned.alias("two"))).alias("i", "s")).select("rep", "n_words", "i", F.col("s.one").alias("value"), F.col("s.two").alias("next"))
-    shared = members.groupBy("i", "value").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("i").alias("_i"), F.col("value").alias("_value"))
-    members = common.written(members.join(shared, (F.col("i") == F.col("_i")) & (F.col("value") == F.col("_value"))).drop("_i", "_value"), "buckets")
+    made = common.written(common.mapped(rows, _sketch_rows(size, sketches), "key long, id long, digest binary, n_words int, bag binary, sketches array<long>"), "sketches")
+    reps = common.written(made.where("n_words > 0").groupBy("digest").agg(F.min("key").alias("rep")), "reps")
+    distinct = made.join(reps.select(F.col("rep").alias("_rep")), F.col("key") == F.col("_rep"), "left_semi")
+    distinct = common.written(distinct.select(F.col("key").alias("rep"), "n_words", "bag", "sketches"), "distinct")
+    features = distinct.select("rep", "n_words", "bag")
+    # a bucket's number tells the sketch as well
+    members = distinct.select("rep", F.explode("sketches").alias("value"))
+    shared = members.groupBy("value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_hi")).where("leader < _hi").select(F.col("value").alias("_value"), "leader")
+    members = common.written(members.join(shared, F.col("value") == F.col("_value")).select("value", "rep", "leader"), "buckets")
     in_buckets = members.select(F.col("rep").alias("_rep")).distinct()
-    codes = common.written(rows.select("key", "text").join(in_buckets, F.col("key") == F.col("_rep")).select("key", "text").mapInArrow(_coded, "key long, code string"), "codes")
+    texts = common.written(rows.select(F.col("key").alias("rep"), "text").join(in_buckets, F.col("rep") == F.col("_rep"), "left_semi"), "texts")
     common.swept(spark)
 
-    tested, found, open_members = None, None, members
-    used = [members, codes]  # files that the result doesn't read
-    for star in range(STARS):
-        stars = [_leaders(open_members, ["i", "value"]).select("rep", "leader")]
-        if star == 0:
-            stars.append(_leaders(open_members, ["i", "value", "next"]).select("rep", "leader"))
-        pairs = stars[0] if len(stars) == 1 else stars[0].unionByName(stars[1])
-        pairs = common.written(_untested(pairs, tested), "pairs")
-        new = common.written(_verified(pairs, codes, alike), "links")
+    tested, found, now = None, None, members
+    used = [members, texts, distinct]  # files that the result doesn't read
+    for star in range(STARS + 1):
+        if star < STARS:
+            pairs = _near(now.where("rep != leader").select("rep", "leader").distinct(), features, alike)
+        else:
+            pairs = _across(_labelled(members.select("value", "rep"), found), features, alike)
+        if tested is not None:
+            pairs = pairs.join(tested, ["rep", "leader"], "left_anti")
+        pairs = common.written(pairs, "pairs")
+        new = common.written(_verified(pairs, texts, alike), "links")
         used += [pairs, new]
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not new.limit(1).count():
-            break
-        found = _joined(found, new)
-        # who isn't of its leader's class meets the others under a new leader
-        labelled = _labelled(open_members, found)
-        heads = labelled.groupBy("i", "value").agg(F.min_by("class", "rep").alias("_class"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
-        heads = heads.select(F.col("i").alias("_i"), F.col("value").alias("_value"), "_class")
-        open_members = common.written(labelled.join(heads, (F.col("i") == F.col("_i")) & (F.col("value") == F.col("_value"))).where("class != _class").select("rep", "n_words", "i", "value", "next"), "buckets")
-        used.append(open_members)
-    pairs = common.written(_untested(_across(_labelled(members, found), alike), tested), "pairs")
-    new = common.written(_verified(pairs, codes, alike), "links")
-    used += [pairs, new]
-    if new.limit(1).count():
         found = _joined(found, new)
+        if star + 1 < STARS:
+            # who isn't of its leader's class meets the others under a new leader
+            left = _labelled(_labelled(now, found), found, "leader", "_class").where("class != _class").select("value", "rep")
+            left = common.written(left, "open")
+            heads = left.groupBy("value").agg(F.min("rep").alias("leader")).withColumnRenamed("value", "_value")
+            now = left.join(heads, F.col("value") == F.col("_value")).select("value", "rep", "leader")
+            used.append(left)
     common.dropped(spark, *used)
     own = made.select("key", "id", "digest", "n_words")
-    own = own.join(reps.select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("key")))
-    if found is not None:
-        own = own.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_key", F.coalesce("component", "rep"))
-    else:
-        own = own.withColumn("class_key", F.col("rep"))
+    own = own.join(reps, "digest", "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("key")))
+    own = _labelled(own, found, "rep", "class_key")
     names = made.select(F.col("key").alias("class_key"), F.col("id").alias("class_id"))
     return own.join(names, "class_key").select("key", "id", "class_key", "class_id", "n_words")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .hashing import Roller, slices, text_buffer, words
+from .hashing import slices, text_buffer, word_hashes
 
 SAMPLE, NEIGHBOURS, DIMENSIONS = 1500, 15, 48
 #: Distances at which a word may repeat.
@@ -47,7 +47,6 @@ def _classes() -> np.ndarray:
 
 CLASSES, KINDS = _classes(), 12
 TERMS = KINDS**3 + len(NEAR) + 1
-_ROLLER: list[Roller] = []
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -60,10 +59,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         code = (kinds[:-2] * KINDS + kinds[1:-1]) * KINDS + kinds[2:] + doc[:-2] * KINDS**3
         code = code[doc[:-2] == doc[2:]]
         out[:, : KINDS**3] = np.bincount(code, minlength=rows * KINDS**3).reshape(rows, -1)
-    if not _ROLLER:
-        _ROLLER.append(Roller(21))
-    start, end, first = words(data, offsets)
-    own = _ROLLER[0].ranges(_ROLLER[0].bytes_prefix(data), start, end)
+    own, first = word_hashes(data, offsets, 21)
     doc = np.repeat(np.arange(rows), np.diff(first))
     nearest = np.full(len(own), len(NEAR))
     for i, far in reversed(list(enumerate(NEAR))):

@@ -5,8 +5,7 @@ and q have a shift d < PERIOD at which p + d and q + d are both cover positions
 modulo PERIOD (the cover's differences give every residue).  So it is enough to
 hash shorter windows of ``WINDOW - PERIOD + 1`` words, at cover positions only:
 any repeated window holds an aligned anchor whose hash occurs twice.  Anchors
-that occur twice are then extended: the full windows around them are compared by
-96-bit hashes, and all but the first of equal windows are removed.
+6-bit hashes, and all but the first of equal windows are removed.
 """
 
 from __future__ import annotations
@@ -20,26 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, exchange
-from .hashing import Roller, words
+from .hashing import windows, word_hashes
 
 WINDOW = 20
 #: A perfect difference set, whose differences give each residue modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np.ndarray, np.ndarray]:
-    start, end, first = words(data, offsets)
-    return roller.ranges(roller.bytes_prefix(data), start, end), first
-
-
 def _anchors(window: int, buckets: int):
     reach = window - PERIOD + 1
-    by_byte, by_word = Roller(1), Roller(2)
     cover = np.zeros(PERIOD, dtype=bool)
     cover[list(COVER)] = True
 
     def emit(batch: int, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list:
-        hashes, first = _word_hashes(data, offsets, by_byte)
+        hashes, first = word_hashes(data, offsets, 1)
         count = np.diff(first)
         at = np.arange(len(hashes)) - np.repeat(first[:-1], count)
         left = np.repeat(count, count) - at
@@ -47,8 +40,7 @@ def _anchors(window: int, buckets: int):
         number = np.flatnonzero(cover[at % PERIOD] & (left >= reach) & (np.repeat(count, count) >= window))
         if not len(number):
             return []
-        prefix = by_word.prefix(hashes)
-        keys = by_word.ranges(prefix, number, number + reach)
+        keys = windows(hashes, reach, 2)[number]
         order = np.argsort(keys, kind="stable")
         keys, number = keys[order], number[order].astype(np.uint32)
         new = np.ones(len(keys), dtype=bool)
@@ -85,18 +77,17 @@ def _to_owners(batches: list[int], owner: np.ndarray, number: np.ndarray) -> lis
 
 
 def _windows(window: int, buckets: int):
-    by_byte, by_word, check = Roller(1), Roller(2), Roller(3)
-
     def emit(batch: int, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list:
-        hashes, first = _word_hashes(data, offsets, by_byte)
+        hashes, first = word_hashes(data, offsets, 1)
         number = []
         for base, end, spans in zip(first[:-1].tolist(), first[1:].tolist(), exchange.pairs(part.column("spans")), strict=True):
             number += [np.arange(base + lo, min(base + hi, end - window + 1)) for lo, hi in spans.tolist()]
         number = np.concatenate(number) if number else np.zeros(0, np.int64)
         if not len(number):
             return []
-        keys = by_word.ranges(by_word.prefix(hashes), number, number + window)
-        more = (check.ranges(check.prefix(hashes), number, number + window) >> np.uint64(32)).astype(np.uint32)
+        keys = windows(hashes, window, 2)[number]
+        del hashes
+        more = (windows(word_hashes(data, offsets, 3)[0], window, 4)[number] >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((number, more, keys))
         keys, more, number = keys[order], more[order], number[order].astype(np.uint32)
         new = np.ones(len(keys), dtype=bool)
@@ -139,13 +130,13 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     common.small_batches(spark)
     buckets = common.parts(spark, common.text_bytes(rows), exchange.BUCKET_BYTES)
     slim = rows.select("key", "text")
-    anchors = exchange.answered(exchange.dealt(slim, _anchors(window, buckets)), _shared)
+    anchors = exchange.answered(exchange.dealt(slim, _anchors(window, buckets)), _shared, buckets)
     near = common.written(exchange.returned(anchors, PERIOD - 1, 1), "anchors")
     del anchors  # else its shuffle files would stay
     common.swept(spark)
     # in the order of keys, as a merge join leaves them: a task that runs again makes the same batches
     around = slim.join(near, "key").sortWithinPartitions("key")
-    wide = exchange.answered(exchange.dealt(around, _windows(window, buckets)), _later)
+    wide = exchange.answered(exchange.dealt(around, _windows(window, buckets)), _later, buckets)
     out = common.written(exchange.returned(wide, 0, window), "windows")
     del around, wide
     common.dropped(spark, near)
@@ -177,7 +168,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string())], names=["id", "n_words", "removed", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return common.mapped(joined, run, schema)
 
 
 def _without(text: pa.Scalar, spans: np.ndarray) -> tuple[int, str]:
@@ -205,7 +196,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             kept = [_without(text, spans)[1] if len(spans) else text.as_py() for text, spans in zip(batch.column("text"), exchange.pairs(batch.column("spans")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], names=["row", "kept"])
 
-    out = joined.mapInArrow(run, schema)
+    out = common.mapped(joined, run, schema)
     new = {text_col: F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 

@@ -16,8 +16,9 @@ string that beat it, so known prefixes are never compared again, and the merge
 yields the common prefixes of neighbours in the suffix array for free.
 
 What is repeated: neighbours that share the prefix form a group; within it the
-strings of ``LENGTH`` bytes at each unit's positions are compared, counted over
-all occurrences, and those found twice go back to their batches.
+strings of ``LENGTH`` bytes at each unit's positions are counted over all
+occurrences, and those found twice go back to their batches.  Strings are put
+together by a rolling hash, and then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, exchange
-from .hashing import U64, Roller, mix64
+from .hashing import U64, loads, mix64, salted
 
 LENGTH = 200
 #: Bytes of the hashed k-grams, and k-grams for each choice of an anchor.
@@ -44,19 +45,14 @@ FLUSH_BYTES = 1 << 20
 UNITS = 4  # kind of the rows that keep what a batch's numbers mean
 
 
-def _loads(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes that start at each position, as one number."""
-    return np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-
-
 def units(data: np.ndarray, offsets: np.ndarray, length: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, first and last position, and anchor of every unit."""
     none = np.zeros(0, np.int64)
     size = np.diff(offsets)
     if len(data) < length or not (size >= length).any():
         return none, none, none, none
-    loads = _loads(data)
-    best = (mix64(loads) & ~U64(0xFFFFFFFF)) | np.arange(len(loads), dtype=U64)
+    grams = loads(data)
+    best = (mix64(grams) & ~U64(0xFFFFFFFF)) | np.arange(len(grams), dtype=U64)
     step = 1
     while step < spread:  # minima over windows of doubling length
         best = np.minimum(best[:-step], best[step:])
@@ -81,10 +77,10 @@ def units(data: np.ndarray, offsets: np.ndarray, length: int, spread: int) -> tu
 
 def _prefix_hash(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """A hash of the ``length`` bytes (8 at least) from each position on."""
-    loads = _loads(data)
+    eight = loads(data)
     out = np.zeros(len(at), U64)
     for offset in [*range(0, length - 7, 8), length - 8]:
-        out = mix64((out ^ loads[at + offset]) + U64(0x9E3779B97F4A7C15))
+        out = mix64((out ^ eight[at + offset]) + U64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -270,10 +266,52 @@ def _runs(length: int, spread: int, borders: list[bytes]):
     return emit
 
 
+def string_classes(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """A number for each place in ``at`` (rising within ``group``): equal where the ``length`` bytes from there on are, and the group.
+
+    A rolling hash puts places together; then each is compared by bytes with the
+    first of its number.  Runs of places that follow each other, whose firsts do
+    too, are compared as one stretch.
+    """
+    odd = int(salted(5 * 7919 + 13, 1)[0]) | 1
+    power = np.full(len(data) + 1, odd, U64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    prefix = np.zeros(len(data) + 1, U64)
+    np.cumsum(salted(5, 256)[data] * power[1:], out=prefix[1:])
+    # the sums of a later place are larger by a power: bring all to the last one
+    keys = mix64((prefix[at + length] - prefix[at]) * power[len(data) - at]) ^ mix64(group.astype(U64))
+    del prefix, power
+    _, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    mine = np.flatnonzero(first[same] != np.arange(len(at)))
+    if not len(mine):
+        return same
+    a, b = at[mine], at[first[same[mine]]]
+    new = np.ones(len(mine), dtype=bool)
+    new[1:] = (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1) | (group[mine][1:] != group[mine][:-1])
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, len(mine))) + length - 1
+    wrong = np.flatnonzero(group[mine] != group[first[same[mine]]])
+    for lo in range(0, len(begin), 1 << 12):
+        n = sizes[lo : lo + (1 << 12)]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = begin[lo : lo + (1 << 12)]
+        differ = data[np.repeat(a[own], n) + step] != data[np.repeat(b[own], n) + step]
+        if differ.any():
+            bad = np.unique(np.repeat(np.arange(lo, lo + len(n)), n)[differ])
+            ends = np.append(begin, len(mine))
+            wrong = np.concatenate([wrong, *(np.arange(ends[i], ends[i + 1]) for i in bad.tolist())])
+    if len(wrong):  # different strings of one hash: number these by their bytes
+        own: dict[tuple[int, int, bytes], int] = {}
+        count = len(first)
+        for i in np.flatnonzero(np.isin(same, same[mine[wrong]])).tolist():
+            same[i] = own.setdefault((int(same[i]), int(group[i]), data[at[i] : at[i] + length].tobytes()), count + len(own))
+    return same
+
+
 def _repeated(length: int, spread: int):
     """Merge the runs of a range and find the repeated strings of their units."""
     prefix = length - spread + 1
-    roller = Roller(5)
 
     def strings(texts: list[bytes], group: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of some whole groups' units, and from where to where, start strings found twice."""
@@ -286,9 +324,7 @@ def _repeated(length: int, spread: int):
         places = sizes - length + 1
         which = np.repeat(np.arange(len(keep)), places)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(places) - places, places)
-        at = (np.cumsum(sizes) - sizes)[which] + inner
-        hashes = roller.ranges(roller.bytes_prefix(data), at, at + length) ^ mix64(group[keep][which].astype(U64))
-        _, same = np.unique(hashes, return_inverse=True)
+        same = string_classes(data, (np.cumsum(sizes) - sizes)[which] + inner, group[keep][which], length)
         found = np.bincount(same, weights=times[keep][which])[same] > 1
         unit, low, high = exchange.merged(which[found], inner[found], inner[found] + 1)
         return keep[unit], low, high
@@ -378,16 +414,16 @@ def repeats(rows: DataFrame, length: int = LENGTH, spread: int | None = None) ->
     slim = rows.select("key", "text")
     from .substrings import _shared
 
-    first = exchange.answered(exchange.dealt(slim, _candidates(length, spread, buckets)), _shared)
+    first = exchange.answered(exchange.dealt(slim, _candidates(length, spread, buckets)), _shared, buckets)
     near = common.written(exchange.returned(first, 0, 1), "prefixes")
     del first  # else its shuffle files would stay
     common.swept(spark)
     around = common.written(slim.join(near, "key"), "candidates")
-    sample = around.mapInArrow(_samples(length, spread), "sample binary")
+    sample = common.mapped(around, _samples(length, spread), "sample binary")
     sample = sorted(r[0] for r in sample.orderBy(F.xxhash64("sample"), "sample").limit(SAMPLED).collect())
     borders = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if len(sample) > buckets else []
-    runs = exchange.answered(exchange.dealt(around, _runs(length, spread, borders)), _repeated(length, spread))
-    out = common.written(runs.groupBy("batch").applyInArrow(_byte_spans(length), exchange.SPANS), "repeats")
+    runs = exchange.answered(exchange.dealt(around, _runs(length, spread, borders)), _repeated(length, spread), len(borders) + 1)
+    out = common.written(common.grouped(runs, "batch", _byte_spans(length), exchange.SPANS), "repeats")
     common.dropped(spark, near, around)
     del near, around, runs
     common.swept(spark)
@@ -423,7 +459,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "removed", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return common.mapped(joined, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
