@@ -8,12 +8,15 @@ make the buckets.  Two documents are linked if they share a bucket and their
 words align with an edit similarity (1 - edits / longer length) of ``ALIKE`` at
 least, computed on the words themselves in a band of that width.
 
-Exact copies are one row from the start.  Members of a bucket are first compared
-with its leader, and those that aren't of the leader's class with a second one;
-that joins large groups by few alignments.  Then all members of a bucket that
-are of different classes are compared, in blocks: lengths and bags of words rule
-out nearly all of these pairs inside the block's task, and only the others become
-rows and are aligned.  So the classes are those of all pairs that share a bucket.
+Exact copies are one row from the start.  Every document is first compared with
+one leader, the smallest of all its buckets, then with one leader of each other
+class that leads a bucket of its; so large groups are joined by one or two
+alignments a document.  Then all members of a bucket that are of different
+classes are compared, in blocks: buckets of one leader go together, so a pair is
+looked at once for them, and lengths and bags of words rule out nearly all pairs
+inside the block's task; only the others become rows and are aligned.  So the
+classes are those of all pairs that share a bucket.  That last step's comparisons
+grow with the square of the documents of unlike classes under one leader.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ from .components import components
 from .hashing import U64, mix64, salted, slices, text_buffer, windows, word_hashes
 
 SHINGLE, TAKEN, SKETCHES, ALIKE = 5, 2, 96, 0.8
-#: Rounds of leaders, members of a bucket in one block, and block members that a task compares.
-STARS, BLOCK, BIN = 2, 4096, 100_000
-#: Pairs of a block that are looked at together, and pairs of bags.
-_PAIRS, _BAGS = 1 << 19, 1 << 13
+#: Rounds of leaders, members of a leader's buckets in one block, and bytes of blocks that a task compares.
+STARS, BLOCK, BIN_BYTES = 3, 1024, 16 << 20
+#: Pairs of a block that are looked at together, pairs of bags, and columns of a product of bags.
+_PAIRS, _BAGS, _COLUMNS = 1 << 19, 1 << 13, 2048
+#: Pairs of a block from which on their bags are compared by a product.
+_MANY = 2000
 
 
 def _shingles(hashes: np.ndarray, first: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -148,13 +153,25 @@ def _aligned_rows(alike: float):
                     last = leader, batch.column("l_text")[i].as_py().encode().split()
                 number: dict[bytes, int] = {}
                 a, b = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (last[1], batch.column("text")[i].as_py().encode().split()))
-                good.append(alignment.within(a, b, int(alignment.most_edits(np.int64(max(len(a), len(b))), alike))))
+                most, longer = int(alignment.most_edits(np.int64(max(len(a), len(b))), alike)), max(len(a), len(b))
+                shared = np.minimum(np.bincount(a, minlength=len(number)), np.bincount(b, minlength=len(number))).sum()
+                good.append(longer - shared <= most and alignment.within(a, b, most))
             keep = [i for i, yes in enumerate(good) if yes]
             yield pa.RecordBatch.from_arrays([pa.array([reps[i] for i in keep], pa.int64()), pa.array([leaders[i] for i in keep], pa.int64())], names=["rep", "leader"])
 
     return run
 
 
+def _stars(members: DataFrame, found: DataFrame | None, star: int) -> DataFrame:
+    """One pair a document in the first round, later one for each other class that leads a bucket of its."""
+    if not star:
+        return members.where("rep != leader").groupBy("rep").agg(F.min("leader").alias("leader"))
+    each = members.where("rep != leader").select("rep", "leader").distinct()
+    each = _labelled(_labelled(each, found), found, "leader", "_class").where("class != _class")
+    pick = F.min if star % 2 else F.max
+    return each.groupBy("rep", "_class").agg(pick("leader").alias("leader")).select("rep", "leader")
+
+
 def _near(pairs: DataFrame, features: DataFrame, alike: float) -> DataFrame:
     leaders = features.select(F.col("rep").alias("leader"), F.col("n_words").alias("l_words"), F.col("bag").alias("l_bag"))
     joined = pairs.join(features, "rep").join(leaders, "leader").select("rep", "leader", "n_words", "l_words", "bag", "l_bag")
@@ -167,65 +184,127 @@ def _verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
     return common.mapped(joined, _aligned_rows(alike), "rep long, leader long")
 
 
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's words, labelled by their number among equal ones, as a sorted set of 16-bit hashes."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        for a, b in slices(offsets, 1 << 20):
+            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            hashes, first = word_hashes(own, at, 11)
+            out = []
+            for x, y in zip(first.tolist(), first.tolist()[1:], strict=False):
+                _, size = np.unique(hashes[x:y], return_counts=True)
+                label = np.arange(y - x) - np.repeat(np.cumsum(size) - size, size)
+                tokens = mix64(np.sort(hashes[x:y]) + label.astype(U64) * U64(0xD1B54A32D192ED03)) >> U64(48)
+                out.append(np.unique(tokens.astype(np.uint16)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), pa.array(out, pa.binary())], names=["rep", "tokens"])
+
+
+def _overlaps(tokens: list[np.ndarray], rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many tokens each of the rows shares with each of the others, by products of tables of tokens."""
+    used = np.union1d(rows, others)
+    which = np.repeat(np.arange(len(used)), [len(tokens[i]) for i in used.tolist()])
+    values = np.concatenate([tokens[i] for i in used.tolist()])
+    count = np.bincount(values, minlength=1 << 16)
+    column = np.cumsum(count > 1) - 1  # a token that one text has is shared by none
+    some = count[values] > 1
+    which, values = which[some], column[values[some]]
+    order = np.argsort(values, kind="stable")
+    which, values = which[order], values[order]
+    a, b = np.searchsorted(used, rows), np.searchsorted(used, others)
+    out = np.zeros((len(rows), len(others)), np.float32)
+    for low in range(0, int(column[-1]) + 1, _COLUMNS):
+        x, y = np.searchsorted(values, [low, low + _COLUMNS])
+        table = np.zeros((len(used), _COLUMNS), np.float32)
+        table[which[x:y], values[x:y] - low] = 1
+        out += table[a] @ table[b].T
+    return out
+
+
 def _crossing(alike: float):
-    """Pairs of a bucket's members of different classes that lengths and bags allow; a table holds many whole blocks."""
+    """Pairs of documents of different classes that share a bucket and may be links by lengths and bags; a table holds many whole blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        value, row, column, side, own, rep, words = (table[c].to_numpy() for c in ("value", "row", "column", "side", "class", "rep", "n_words"))
-        order = np.lexsort((own, side, column, row, value))
-        value, row, column, side, own, rep, words = (x[order] for x in (value, row, column, side, own, rep, words))
+        leader, row, column, side, own, rep, words = (table[c].to_numpy() for c in ("leader", "row", "column", "side", "class", "rep", "n_words"))
+        order = np.lexsort((own, side, column, row, leader))
+        leader, row, column, side, own, rep, words = (x[order] for x in (leader, row, column, side, own, rep, words))
+        masks = [table[c].to_numpy()[order] for c in ("low", "high")]
         bag = _matrix(table["bag"].combine_chunks())[order]
+        raw = table["tokens"].combine_chunks().to_pylist()
+        tokens = [np.frombuffer(raw[i], np.uint16) for i in order.tolist()]
+        spare = words - np.array([len(t) for t in tokens])
         n = len(order)
         new = np.ones(n + 1, dtype=bool)
-        new[1:n] = (value[1:] != value[:-1]) | (row[1:] != row[:-1]) | (column[1:] != column[:-1])
-        other = new.copy()  # another group, side or class
-        other[1:n] |= (side[1:] != side[:-1]) | (own[1:] != own[:-1])
+        new[1:n] = (leader[1:] != leader[:-1]) | (row[1:] != row[:-1]) | (column[1:] != column[:-1])
         half = new.copy()
         half[1:n] |= side[1:] != side[:-1]
+        other = half.copy()
+        other[1:n] |= own[1:] != own[:-1]
+        block = np.cumsum(new[:n]) - 1
         after = lambda edge: np.flatnonzero(edge)[np.cumsum(edge[:n])]  # noqa: E731  where the run that holds i ends
         end, run_end, side_end = after(new), after(other), after(half)
         # within a block the members behind one's own class, across two blocks the members of the second
         start = np.where(side == 2, run_end, side_end)
         count = np.where(side == 1, 0, end - start)
-        alone = (side == 0) & (count > 0)
-        alone[alone] = (own[start[alone]] == own[alone]) & (own[end[alone] - 1] == own[alone])
-        count[alone] = 0  # all of one's own class
         some = np.flatnonzero(count)
         total = np.concatenate([[0], np.cumsum(count[some])])
-        got: list[np.ndarray] = []
+        got: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+
+        def emit(i: np.ndarray, j: np.ndarray, overlap: np.ndarray) -> None:
+            longer = np.maximum(words[i], words[j])
+            near = longer - overlap - np.minimum(spare[i], spare[j]) <= alignment.most_edits(longer, alike)
+            x, y = rep[i[near]], rep[j[near]]
+            got.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
+
         at = 0
         while at < len(some):
             to = max(at + 1, int(np.searchsorted(total, total[at] + _PAIRS, side="right")) - 1)
             part, sizes = some[at:to], count[some[at:to]]
             i = np.repeat(part, sizes)
             j = np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start[part], sizes)
-            can = (own[i] != own[j]) & _possible(words[i], words[j], alike)
+            can = (own[i] != own[j]) & ((masks[0][i] & masks[0][j] | masks[1][i] & masks[1][j]) != 0) & _possible(words[i], words[j], alike)
             i, j = i[can], j[can]
             most = alignment.most_edits(np.maximum(words[i], words[j]), alike)
+            near = np.zeros(len(i), dtype=bool)
             for a in range(0, len(i), _BAGS):
-                x, y = i[a : a + _BAGS], j[a : a + _BAGS]
-                near = alignment.bag_distance(bag[x], bag[y]) <= most[a : a + _BAGS]
-                x, y = rep[x[near]], rep[y[near]]
-                got.append(np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0))
+                near[a : a + _BAGS] = alignment.bag_distance(bag[i[a : a + _BAGS]], bag[j[a : a + _BAGS]]) <= most[a : a + _BAGS]
+            i, j = i[near], j[near]
+            each, begin = np.unique(block[i], return_index=True)
+            for a, b in zip(begin.tolist(), [*begin.tolist()[1:], len(i)], strict=True):
+                x, y = i[a:b], j[a:b]
+                if b - a > _MANY:
+                    rows, others = np.unique(x), np.unique(y)
+                    emit(x, y, _overlaps(tokens, rows, others)[np.searchsorted(rows, x), np.searchsorted(others, y)])
+                else:
+                    emit(x, y, np.array([len(np.intersect1d(tokens[p], tokens[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist(), strict=True)], np.int64))
             at = to
-        pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.concatenate(got), axis=0)
         return pa.table({"rep": pairs[:, 0], "leader": pairs[:, 1]})
 
     return run
 
 
-def _across(labelled: DataFrame, features: DataFrame, alike: float) -> DataFrame:
-    """All pairs of a bucket's members of different classes that may be links; a large bucket is many blocks."""
+def _across(labelled: DataFrame, features: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
+    """All pairs that share a bucket, are of different classes and may be links; the documents of a leader are many blocks."""
     spark = labelled.sparkSession
-    mixed = labelled.groupBy("value").agg(F.count("*").alias("_n"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
-    mixed = mixed.select(F.col("value").alias("_value"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(mixed, F.col("value") == F.col("_value")).select("value", "rep", "class", "blocks")
+    bit = F.when(F.col("i") < 64, F.expr("shiftleft(1L, i)"))
+    far = F.when(F.col("i") >= 64, F.expr("shiftleft(1L, i - 64)"))
+    zero = F.lit(0).cast("long")
+    rows = labelled.groupBy("leader", "rep", "class").agg(F.coalesce(F.bit_or(bit), zero).alias("low"), F.coalesce(F.bit_or(far), zero).alias("high"))
+    rows = common.written(rows, "led")
+    mixed = rows.groupBy("leader").agg(F.count("*").alias("_n"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi")
+    mixed = mixed.select(F.col("leader").alias("_leader"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    rows = common.again(rows).join(mixed, F.col("leader") == F.col("_leader")).drop("_leader")
     rows = common.written(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "mixed")
-    bins = common.parts(spark, rows.agg(F.sum("blocks")).first()[0] or 0, BIN)
+    needed = rows.select(F.col("rep").alias("_rep")).distinct()
+    tokens = common.mapped(texts.join(needed, F.col("rep") == F.col("_rep"), "left_semi"), _token_rows, "rep long, tokens binary")
+    tokens = common.written(tokens.join(features, "rep"), "tokens")
+    size = common.again(rows).join(tokens.select("rep", "n_words"), "rep").agg(F.sum(F.col("blocks") * (2 * F.col("n_words") + 250))).first()[0] or 0
+    bins = common.parts(spark, size, BIN_BYTES)
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    each = each.select("value", "rep", "class", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), side.alias("side"))
-    each = each.withColumn("bin", F.pmod(F.xxhash64("value", "row", "column"), F.lit(bins)).cast("int")).join(features, "rep")
+    each = each.select("leader", "rep", "class", "low", "high", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), side.alias("side"))
+    each = each.withColumn("bin", F.pmod(F.xxhash64("leader", "row", "column"), F.lit(bins)).cast("int")).join(tokens, "rep")
     return common.grouped(each.repartition(bins, "bin"), "bin", _crossing(alike), "rep long, leader long").distinct()
 
 
@@ -256,6 +335,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     documents, told apart by ``key``.  A task needs about 30 bytes for each byte
     of its longest text, and at least those of a megabyte.
     """
+    if not 1 <= sketches <= 128:
+        raise ValueError("there are 1 to 128 sketches")
     return _classes(common.keyed(docs, id_col, text_col), size, sketches, alike)
 
 
@@ -269,20 +350,20 @@ def _classes(rows: DataFrame, size: int, sketches: int, alike: float) -> DataFra
     distinct = common.written(distinct.select(F.col("key").alias("rep"), "n_words", "bag", "sketches"), "distinct")
     features = distinct.select("rep", "n_words", "bag")
     # a bucket's number tells the sketch as well
-    members = distinct.select("rep", F.explode("sketches").alias("value"))
+    members = distinct.select("rep", F.posexplode("sketches").alias("i", "value"))
     shared = members.groupBy("value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_hi")).where("leader < _hi").select(F.col("value").alias("_value"), "leader")
-    members = common.written(members.join(shared, F.col("value") == F.col("_value")).select("value", "rep", "leader"), "buckets")
+    members = common.written(members.join(shared, F.col("value") == F.col("_value")).select("i", "rep", "leader"), "buckets")
     in_buckets = members.select(F.col("rep").alias("_rep")).distinct()
     texts = common.written(rows.select(F.col("key").alias("rep"), "text").join(in_buckets, F.col("rep") == F.col("_rep"), "left_semi"), "texts")
     common.swept(spark)
 
-    tested, found, now = None, None, members
+    tested, found = None, None
     used = [members, texts, distinct]  # files that the result doesn't read
     for star in range(STARS + 1):
         if star < STARS:
-            pairs = _near(now.where("rep != leader").select("rep", "leader").distinct(), features, alike)
+            pairs = _near(_stars(members, found, star), features, alike)
         else:
-            pairs = _across(_labelled(members.select("value", "rep"), found), features, alike)
+            pairs = _across(_labelled(members, found), features, texts, alike)
         if tested is not None:
             pairs = pairs.join(tested, ["rep", "leader"], "left_anti")
         pairs = common.written(pairs, "pairs")
@@ -290,13 +371,6 @@ def _classes(rows: DataFrame, size: int, sketches: int, alike: float) -> DataFra
         used += [pairs, new]
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = _joined(found, new)
-        if star + 1 < STARS:
-            # who isn't of its leader's class meets the others under a new leader
-            left = _labelled(_labelled(now, found), found, "leader", "_class").where("class != _class").select("value", "rep")
-            left = common.written(left, "open")
-            heads = left.groupBy("value").agg(F.min("rep").alias("leader")).withColumnRenamed("value", "_value")
-            now = left.join(heads, F.col("value") == F.col("_value")).select("value", "rep", "leader")
-            used.append(left)
     common.dropped(spark, *used)
     own = made.select("key", "id", "digest", "n_words")
     own = own.join(reps, "digest", "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("key")))
