@@ -239,6 +239,12 @@ class Codec:
     def encode_texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text the number of tokens, their ids joined by spaces, and the decoded text."""
         gc.disable()  # millions of small tuples and no cycles: collections would only look at them again and again
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[tuple[int, str, str]]:
         cut = [self._cut(t) for t in texts]
         need: set[str] = set()
         for chunks in cut:
@@ -248,7 +254,6 @@ class Codec:
         for chunks in cut:
             found = list(map(get, chunks))
             out.append((sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])))
-        gc.enable()
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -311,7 +316,7 @@ def encoded(df: DataFrame, text_col: str = "text", vocab: str | None = None, ids
                     ids = pa.array([g[1] for g in got], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.int64()), ids, pa.array([g[2] for g in got], pa.string())], names=[*part.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return common.mapped(df, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

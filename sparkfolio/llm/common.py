@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step looks at together; a longer text is a step of its own.
@@ -45,11 +46,14 @@ def trimmed() -> None:
 
 
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow``, with memory given back at the end of each task."""
+    """``df.mapInArrow``, with memory given back at the end of each task; names of columns may hold dots."""
+    names = df.columns
+    if any("." in c for c in names):  # which mapInArrow itself would take for fields
+        df = df.toDF(*[f"_c{i}" for i in range(len(names))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches)
         finally:
             trimmed()
 
@@ -132,6 +136,21 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
     return written(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
+def placed(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their place (``_place``, from 0) in an order, written.
+
+    The sort is in ranges; a window sees one row a range, never all rows.
+    """
+    # the high bits of the number are the range, the low ones the place in it
+    made = written(rows.sort(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    own = F.shiftright("_at", 33)
+    counts = made.groupBy(own.alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_range", before.alias("_before"))
+    joined = again(made).join(F.broadcast(counts), own == F.col("_range"))
+    return joined.withColumn("_place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_range", "_before")
+
+
 def free(name: str, columns: list[str]) -> str:
     """``name``, with underscores in front while a column is called so: columns that exist keep their names."""
     taken = {c.lower() for c in columns}

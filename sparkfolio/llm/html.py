@@ -4,9 +4,12 @@ Every element's subtree (tags and text) is hashed; Spark counts on how many
 pages of its host each subtree stands, and those on many pages are the site's
 template: they are deleted before the text is read.  What a page marks as not
 its main text (navigation, footers, forms, adverts, comments and so on, by tag,
-role, class or id) goes as well.  Where a page marks its article, paragraphs
-within are text even if other pages repeat them: only containers of an article
-can be template.
+role, class or id) goes as well, unless it holds the page's article; by role,
+class or id it goes only if it holds half of the page's text at most, reader
+comments at any length.  A name marks as a whole or with hyphens if all its parts
+are such names, so ``has-sidebar`` and ``share-price`` mark nothing.  Where a page
+marks its article, paragraphs within are text even if other pages repeat them:
+only containers of an article can be template.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from . import common
 LEAST_PAGES, LEAST_SHARE = 4, 0.3
 #: Template subtrees of all hosts are broadcast up to this many, else joined by host.
 BROADCAST_MOST = 50_000
+#: Into how many parts a host's pages are dealt for that join.
+SALTS = 16
 
 #: Elements of HTML by their role in text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,53 +48,76 @@ NAMES = frozenset(
     "signup nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars widget widgets related share sharing social masthead comment comments reply replies disqus respond".split()
 )
 OUTER_NAMES = frozenset("header footer".split())
+COMMENT_NAMES = frozenset("comment comments reply replies disqus respond".split())
+#: What a name with hyphens may hold beside such names.
+FILLER = frozenset("site page main top bottom left right box bar block area wrapper wrap container list section inner outer links buttons button slot unit form bottom text message thread".split())
+MAIN = ("article", "main")
 #: What an opening tag closes, if it is open since the last border.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + RAW + r""")\b[^>]*>(.*?)(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W_]+")
 
 
 class Node:
-    __slots__ = ("tag", "marked", "parts", "digest")
+    """An element: ``marked`` tells how its page marks it; ``size`` counts its text, ``holds`` whether an article is inside."""
 
-    def __init__(self, tag: str, marked: bool):
-        self.tag, self.marked, self.parts, self.digest = tag, marked, [], 0
+    __slots__ = ("tag", "marked", "parts", "digest", "size", "holds")
 
+    def __init__(self, tag: str, marked: int):
+        self.tag, self.marked, self.parts, self.digest, self.size, self.holds = tag, marked, [], 0, 0, False
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether a page marks the element as something else than main text."""
-    if tag in NEVER:
-        return True
-    if tag == "header":
-        return not in_article
-    if "=" not in attributes or tag in ("html", "body", "main"):
-        return False
+
+#: Marks: none; by tag; by tag, but not where an article is inside; by name; a name of comments.
+NONE, RAW_TAG, TAG, NAME, COMMENTS = range(5)
+UNSEEN = frozenset("script style textarea title noscript iframe xmp noembed noframes head template svg math canvas object audio video select button".split())
+
+
+def _named(value: str, in_article: bool) -> int:
+    """What a class or an id says about an element."""
+    found = NONE
+    for token in value.split():
+        parts = [p.lower() for p in PART.findall(token)]
+        names = [p for p in parts if p in NAMES or (not in_article and p in OUTER_NAMES)]
+        if names and all(p in NAMES or p in OUTER_NAMES or p in FILLER or p.isdigit() for p in parts):
+            found = max(found, COMMENTS if COMMENT_NAMES.intersection(names) else NAME)
+    return found
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> int:
+    """How a page marks the element as something else than main text."""
+    if tag in UNSEEN:
+        return RAW_TAG
+    if tag in NEVER or (tag == "header" and not in_article):
+        return TAG
+    if "=" not in attributes or tag in ("html", "body", "main", "header"):
+        return NONE
+    found = NONE
     for m in ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.strip().lower() in ROLES:
-                return True
-            continue
-        names = {p.lower() for p in PART.findall(value)}
-        if tag == "article":
-            names &= {"comment", "comments", "reply", "ad", "advert"}
-        if names & NAMES or (not in_article and names & OUTER_NAMES):
-            return True
-    return False
+                found = max(found, NAME)
+        elif tag != "article" or {"comment", "comments", "reply", "ad", "advert"}.intersection(value.lower().split()):
+            found = max(found, _named(value, in_article))
+    return found
 
 
 def parsed(page: str) -> Node:
     """The page as a tree; broken markup is closed as browsers do, near enough for text."""
-    root = Node("", False)
+    root = Node("", NONE)
     stack, inside = [root], 0
 
     def close(to: int) -> None:
         nonlocal inside
         while len(stack) > to:
             node = stack.pop()
-            inside -= node.tag in ("article", "main")
+            inside -= node.tag in MAIN
+            if node.marked != RAW_TAG:
+                own = [p for p in node.parts if p.__class__ is Node]
+                node.size = sum([p.size for p in own]) + sum([len(p) for p in node.parts if p.__class__ is str and not p.isspace()])
+                node.holds = any([p.holds or (p.tag in MAIN and p.marked < NAME) for p in own])
             node.digest = xxhash.xxh3_64_intdigest(b"".join([node.tag.encode(), *(p.digest.to_bytes(8, "little") if p.__class__ is Node else xxhash.xxh3_64_digest(" ".join(p.split()).encode("utf-8", "replace")) for p in node.parts)]))
 
     for m in TOKEN.finditer(page):
@@ -129,8 +157,9 @@ def parsed(page: str) -> Node:
         stack[-1].parts.append(node)
         if tag not in VOID and not m[5].endswith("/"):
             stack.append(node)
-            inside += tag in ("article", "main")
+            inside += tag in MAIN
     close(1)
+    root.size = sum([p.size if p.__class__ is Node else len(p) for p in root.parts])
     return root
 
 
@@ -139,7 +168,7 @@ def subtrees(root: Node) -> set[int]:
     out, todo = set(), [(root, False)]
     while todo:
         node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
+        inside = inside or node.tag in MAIN
         for part in node.parts:
             if part.__class__ is Node:
                 if part.parts and (part.tag in CONTAINER if inside else part.tag in BLOCK and part.tag not in ("html", "body", "head", "article", "main")):
@@ -150,8 +179,15 @@ def subtrees(root: Node) -> set[int]:
 
 def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
     """The text of what is left: blocks in the order of the page, one a line."""
-    gone = lambda n, inside: n.marked or (n.digest in template and (n.tag in CONTAINER if inside else n.tag not in ("html", "body", "article", "main")))
-    # the outermost main or else articles, where the page has them
+
+    def gone(n: Node, inside: bool) -> bool:
+        if n.marked == RAW_TAG or (n.digest in template and (n.tag in CONTAINER if inside else n.tag not in ("html", "body", *MAIN))):
+            return True
+        if n.marked == NONE or n.holds:
+            return False
+        return n.marked != NAME or 2 * n.size <= root.size
+
+    # the outermost mains or else articles, where the page has them
     found: dict[str, list[Node]] = {"main": [], "article": []}
     todo = [root]
     while todo:
@@ -162,7 +198,8 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
                     found[part.tag].append(part)
                 if part.tag != "article":
                     todo.append(part)
-    tops = found["main"][:1] or found["article"] or [root]
+    tops = [n for n in found["main"] if not any(n is not m and _inside(n, m) for m in found["main"])] if len(found["main"]) > 1 else found["main"]
+    tops = tops or found["article"] or [root]
     if tops[0] is not root and len(tops) > 1:
         tops = [n for n in _in_order(root) if any(n is t for t in tops)]
     lines: list[str] = []
@@ -194,6 +231,10 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(lines)
 
 
+def _inside(node: Node, other: Node) -> bool:
+    return any(n is node for n in _in_order(other))
+
+
 def _in_order(root: Node) -> Iterator[Node]:
     todo = [root]
     while todo:
@@ -203,7 +244,7 @@ def _in_order(root: Node) -> Iterator[Node]:
 
 
 def host_of(url_col: str = "url"):
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -219,8 +260,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
             found = [[d - (1 << 63) for d in subtrees(parsed(h or ""))] for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["host", "subtrees"])
 
-    own = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = own.mapInArrow(run, "host string, subtrees array<long>")
+    own = pages.select(host_of(url_col).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    found = common.mapped(own, run, "host string, subtrees array<long>")
     # one pass: a null digest counts the host's pages
     each = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("digest"))
     counted = common.written(each.groupBy("host", "digest").agg(F.count("*").alias("n")).where((F.col("n") >= least_pages) | F.col("digest").isNull()), "subtrees")
@@ -237,29 +278,44 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     underscores in front while another column has it.
     """
     name = common.free(name, pages.columns)
-    at, host, own_template = (common.free(n, pages.columns) for n in ("_at", "_host", "_template"))
-    common.small_batches(pages.sparkSession)
+    at, host, own_template, salt, other = (common.free(n, pages.columns) for n in ("_at", "_host", "_template", "_salt", "_other"))
+    spark = pages.sparkSession
+    common.small_batches(spark)
     found = common.written(templates(pages, url_col, html_col, least_pages, least_share), "templates").select(F.col("host").alias(host), F.col("template").alias(own_template))
     size = found.agg(F.sum(F.size(own_template))).first()[0] or 0
     own = pages.withColumn(at, host_of(url_col))
-    joined = own.join(F.broadcast(found) if size <= BROADCAST_MOST else found, F.col(at) == F.col(host), "left").drop(at, host)
+    columns, known = pages.columns, None
+    if size <= BROADCAST_MOST:
+        rows = found.collect()  # that many numbers at most
+        known = spark.sparkContext.broadcast({r[0]: frozenset(d + (1 << 63) for d in r[1]) for r in rows})
+        joined = own
+    else:  # a host's pages are many tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        own = own.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{url_col}`"), F.col(f"`{html_col}`")), F.lit(SALTS)).cast("int"))
+        found = found.withColumn(other, salts)
+        joined = own.join(found, (F.col(at) == F.col(host)) & (F.col(salt) == F.col(other)), "left").select(*[F.col(f"`{c}`") for c in columns], at, own_template)
     schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])
-    columns = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[tuple, frozenset] = {}
+
+        def of(host: str, template: list | None) -> frozenset:
+            if known is not None:
+                return known.value.get(host, frozenset())
+            key = tuple(template or ())
+            if key not in sets:
+                if len(sets) > 1000:
+                    sets.clear()
+                sets[key] = frozenset(d + (1 << 63) for d in key)
+            return sets[key]
+
         for batch in batches:
-            texts = []
-            for page, template in zip(batch.column(columns.index(html_col)).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                key = tuple(template or ())
-                if key not in sets:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    sets[key] = frozenset(d + (1 << 63) for d in key)
-                texts.append(main_text(parsed(page or ""), sets[key]))
+            hosts = batch.column(len(columns)).to_pylist()
+            own = [None] * len(hosts) if known is not None else batch.column(len(columns) + 1).to_pylist()
+            texts = [main_text(parsed(page or ""), of(h, t)) for page, h, t in zip(batch.column(columns.index(html_col)).to_pylist(), hosts, own, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(texts, pa.string())], names=[*columns, name])
 
-    return joined.mapInArrow(run, schema)
+    return common.mapped(joined, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -269,8 +269,8 @@ def _crossing(alike: float):
             for a in range(0, len(i), _BAGS):
                 near[a : a + _BAGS] = alignment.bag_distance(bag[i[a : a + _BAGS]], bag[j[a : a + _BAGS]]) <= most[a : a + _BAGS]
             i, j = i[near], j[near]
-            each, begin = np.unique(block[i], return_index=True)
-            for a, b in zip(begin.tolist(), [*begin.tolist()[1:], len(i)], strict=True):
+            cuts = [*np.unique(block[i], return_index=True)[1].tolist(), len(i)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 x, y = i[a:b], j[a:b]
                 if b - a > _MANY:
                     rows, others = np.unique(x), np.unique(y)

@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,32 +39,32 @@ def draw(seed: int, *parts: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """``sizes`` (source, source_size) with ``target``.
+    """``sizes`` (source, source_size; one row a source) with ``weight`` and ``target``.
 
     The weights repeat over sources in code point order, null last.  A target is
-    ``min(most * size, level * weight)``, and the level is the one at which the
-    targets share all words.  That is where repeated resharing of what exceeds
-    the caps ends: sources reach their caps in the order of cap / weight, so one
-    running sum over that order finds the level.  One row a source is all that
-    these windows see.
+    ``min(most * size, level * weight)``.  The level starts at all words over all
+    weights; sources whose cap lies below it are capped and what they leave is
+    shared again by weight, until none is above its cap.  Each round is one sum
+    over the sources.  Places come from a sort in ranges and the ranges' counts,
+    so no task sees all sources.
     """
     count = len(weights)
     table = F.array(*[F.lit(float(w)) for w in weights])
-    ordered = sizes.withColumn("_place", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ordered = ordered.withColumn("weight", F.element_at(table, (F.col("_place") % count + 1).cast("int")))
-    ordered = ordered.withColumn("_cap", F.lit(most) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("weight"))
-    rising = W.orderBy("_ratio", "_place")
-    everything = W.partitionBy(F.lit(0))
-    ordered = (
-        ordered.withColumn("_capped", F.sum("_cap").over(rising) - F.col("_cap"))  # caps of the sources before
-        .withColumn("_rest", F.sum("weight").over(everything) - F.sum("weight").over(rising) + F.col("weight"))
-        .withColumn("_total", F.sum("source_size").over(everything))
-        .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_rest"))
-    )
-    # the first source that stays under its cap sets the level; without one (nothing to share) every cap holds
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_place", "_level"))).over(everything)["_level"]
-    target = F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("weight")))
-    return ordered.select("source", "source_size", "weight", target.alias("target"))
+    ordered = common.placed(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "sources")
+    rows = ordered.select("source", "source_size", F.element_at(table, (F.col("_place") % count + 1).cast("int")).alias("weight"))
+    rows = common.written(rows.withColumn("_cap", F.lit(float(most)) * F.col("source_size")), "weights")
+    total, share = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = total / share if share else 0.0
+    while True:
+        over = F.col("_cap") < F.lit(level) * F.col("weight")
+        capped, rest = rows.agg(F.sum(F.when(over, F.col("_cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if not rest:  # every cap holds
+            return rows.select("source", "source_size", "weight", F.col("_cap").alias("target"))
+        new = (total - (capped or 0.0)) / rest
+        if new <= level:
+            break
+        level = new
+    return rows.select("source", "source_size", "weight", F.least(F.col("_cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _fold(seed: int, level: int) -> Column:
@@ -135,14 +134,17 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
     ``copies`` (0 to ``ceil(most)``) tells how often the document is taken.  Null
     texts have no words; documents of no words take no part in the rounding and
     keep the whole copies of their source.  A null source is a source, after all
-    others.  Repeated rows and null ids are separate documents.  An empty table
-    gives an empty result.
+    others.  Repeated rows and null ids are separate documents, in the order of
+    their content, so reruns agree however rows are dealt.  An empty table gives
+    an empty result.
     """
     words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"), F.col(f"`{source_col}`").alias("source"), words.alias("size"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("_key"), F.col(f"`{source_col}`").alias("source"), words.alias("size"))
     clash = docs.groupBy(F.col(f"`{id_col}`").alias("i")).count().where("count > 1 OR i IS NULL").limit(1).count()
-    if clash:  # rows are told apart by a number, fixed in a written copy
-        rows = common.written(rows.withColumn("_key", F.monotonically_increasing_id()), "mixing")
+    if clash:  # rows are told apart by a number in the order of id, source and content, fixed in a written copy
+        content = [F.col("_key").asc_nulls_last(), F.col("source").asc_nulls_last(), "size", F.xxhash64("_row"), F.sha2(F.col(f"_row.`{text_col}`").cast("string"), 256)]
+        rows = common.written(common.placed(rows, content, "sorted").drop("_key").withColumnRenamed("_place", "_key"), "numbered")
     slim = common.written(rows.select("_key", "source", "size"), "sizes")  # words are counted once
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = common.written(source_targets(sizes, weights, most), "targets")

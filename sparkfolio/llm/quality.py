@@ -1,16 +1,18 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms of a text are trigrams of character classes (how it is set, not what it
-says, so languages share them) and how words repeat at short distances.  Their
-relative frequencies, by square root, are projected on the main directions of
-the labelled sample (latent semantic analysis).  The labelled vectors are
-broadcast (``SAMPLE`` rows a label at most, a fixed size); every document's
-cosines with all of them are computed in blocks, exactly, and the ``NEIGHBOURS``
-nearest vote with their similarity as weight.
+Terms of a text are its words, its pieces of four bytes (so that languages and
+spellings share some), both hashed into ``BINS`` bins, and how its words repeat
+at short distances.  A term weighs the square root of its share of the text, by
+its inverse document frequency among the labelled sample.  A truncated singular
+value decomposition of the sample, less its mean, gives the latent directions,
+and a text's vector is its projection on them.  The labelled vectors are broadcast (``SAMPLE``
+rows a label at most, a fixed size); every document's cosines with all of them
+are computed in blocks, exactly, and the ``NEIGHBOURS`` nearest vote with their
+similarity as weight.
 
 The model is fitted on a bounded sample of labelled rows: of each label the
-``SAMPLE`` rows of smallest id hash.  Scoring covers every document and its whole
-text, without a shuffle.
+``SAMPLE`` ids of smallest hash, one row an id.  Scoring covers every document
+and its whole text, without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,67 +27,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .hashing import slices, text_buffer, word_hashes
+from .hashing import U64, loads, mix64, slices, text_buffer, word_hashes
 
 SAMPLE, NEIGHBOURS, DIMENSIONS = 1500, 15, 48
+#: Bins of hashed words and of hashed pieces, and bytes of a piece.
+BINS, PIECE = 4096, 4
 #: Distances at which a word may repeat.
 NEAR = (1, 2, 3)
+#: Kinds of terms: words, pieces, repeats (and words that don't repeat).
+KINDS = (BINS, BINS, len(NEAR) + 1)
+TERMS = sum(KINDS)
+#: Bytes of text, and texts, whose terms are counted together.
+STEP_BYTES, STEP_ROWS = 1 << 20, 500
 
 
-def _classes() -> np.ndarray:
-    """The class of each byte: letters by case, digits, white space, marks by kind, bytes beyond ASCII."""
-    table = np.full(256, 11, np.int64)
-    table[ord("a") : ord("z") + 1] = 0
-    table[ord("A") : ord("Z") + 1] = 1
-    table[ord("0") : ord("9") + 1] = 2
-    table[ord(" ")], table[ord("\n")] = 3, 4
-    for kind, marks in enumerate((".,;:", "|", "!?", "*&%$#@", "'\"()-"), start=5):
-        table[[ord(c) for c in marks]] = kind
-    table[0x80:] = 10
-    return table
-
-
-CLASSES, KINDS = _classes(), 12
-TERMS = KINDS**3 + len(NEAR) + 1
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of term weights for each text; two blocks, each of length sqrt(1/2), or zeros without terms."""
+def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each term occurs in each text."""
     rows = len(offsets) - 1
     out = np.zeros((rows, TERMS), np.float32)
-    kinds = CLASSES[data]
-    if len(kinds) > 2:
-        doc = np.repeat(np.arange(rows), np.diff(offsets))
-        code = (kinds[:-2] * KINDS + kinds[1:-1]) * KINDS + kinds[2:] + doc[:-2] * KINDS**3
-        code = code[doc[:-2] == doc[2:]]
-        out[:, : KINDS**3] = np.bincount(code, minlength=rows * KINDS**3).reshape(rows, -1)
     own, first = word_hashes(data, offsets, 21)
     doc = np.repeat(np.arange(rows), np.diff(first))
+    bins = lambda values, of: np.bincount(of * BINS + (mix64(values) & U64(BINS - 1)).astype(np.int64), minlength=rows * BINS).reshape(rows, BINS)
+    out[:, :BINS] = bins(own, doc)
     nearest = np.full(len(own), len(NEAR))
     for i, far in reversed(list(enumerate(NEAR))):
         nearest[far:][(own[far:] == own[:-far]) & (doc[far:] == doc[:-far])] = i
-    out[:, KINDS**3 :] = np.bincount(doc * (len(NEAR) + 1) + nearest, minlength=rows * (len(NEAR) + 1)).reshape(rows, -1)
-    for block in (out[:, : KINDS**3], out[:, KINDS**3 :]):
-        total = block.sum(axis=1, keepdims=True)
-        np.sqrt(block / np.maximum(2 * total, 1), out=block)
+    out[:, 2 * BINS :] = np.bincount(doc * KINDS[2] + nearest, minlength=rows * KINDS[2]).reshape(rows, -1)
+    for a in range(0, len(data), STEP_BYTES):  # a long text in steps
+        part = np.concatenate([data[a : a + STEP_BYTES + PIECE - 1], np.zeros(8 - PIECE, np.uint8)])
+        pieces = loads(part) & U64((1 << 8 * PIECE) - 1)
+        at = np.arange(a, a + len(pieces))
+        text = np.searchsorted(offsets, at, side="right") - 1
+        inside = at + PIECE <= offsets[text + 1]
+        low = int(text[0]) if len(text) else 0
+        rest = text[inside] - low
+        some = int(rest.max()) + 1 if len(rest) else 0
+        if some:
+            code = rest * BINS + (mix64(pieces[inside]) & U64(BINS - 1)).astype(np.int64)
+            out[low : low + some, BINS : 2 * BINS] += np.bincount(code, minlength=some * BINS).reshape(some, BINS)
     return out
 
 
+def shares(terms: np.ndarray) -> np.ndarray:
+    """The square root of each count's share of its kind, in place."""
+    at = 0
+    for size in KINDS:
+        block = terms[:, at : at + size]
+        block /= np.maximum(block.sum(axis=1, keepdims=True), 1)
+        np.sqrt(block, out=block)
+        at += size
+    return terms
+
+
 @dataclass
 class Model:
     """What is broadcast; ``prior`` is the score of a text without terms."""
 
+    weight: np.ndarray
     mean: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     prior: float
 
+    def project(self, terms: np.ndarray) -> np.ndarray:
+        return _unit((weighted(terms, self.weight) - self.mean) @ self.axes)
+
     def score(self, terms: np.ndarray) -> np.ndarray:
+        """The neighbours' vote for each row of ``shares``."""
         empty = ~terms.any(axis=1)
         if not len(self.labels):
             return np.full(len(terms), self.prior)
-        cosines = _unit((terms - self.mean) @ self.axes) @ self.vectors.T
+        cosines = self.project(terms) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosines, best, axis=1), 1e-6).astype(np.float64)
@@ -97,48 +110,69 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def weighted(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Shares by the terms' weights: words and pieces a unit vector each, repeats as long as both."""
+    out = terms * weight
+    for a in (0, BINS):
+        block = out[:, a : a + BINS]
+        block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
+    return out
+
+
+def learnt(terms: np.ndarray, truth: np.ndarray) -> Model:
+    """A model from the ``shares`` of labelled texts."""
+    weight = (np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0))) + 1).astype(np.float32)
+    weight[2 * BINS :] = np.sqrt(2)
+    table = weighted(terms, weight)
+    mean = table.mean(axis=0)
+    table -= mean
+    values, left = np.linalg.eigh((table @ table.T).astype(np.float64))
+    some = np.flatnonzero(values > 1e-9 * max(values.max(), 1e-12))[::-1][:DIMENSIONS]
+    axes = (table.T @ (left[:, some] / np.sqrt(values[some]))).astype(np.float32)
+    return Model(weight, mean, axes, _unit(table @ axes), truth, float(truth.mean()))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from labelled documents; rows whose label or id is null teach nothing.
 
-    Of an id labelled twice the smaller label counts.  Without any labels every
-    score is the prior, 0.5.
+    Of an id labelled twice the smaller label counts, of documents of one id the
+    first text in code point order.  Without any labels every score is the
+    prior, 0.5.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
+    known = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(f"`{label_col}`").cast("int").alias("_label"))
     # the smallest hashes of each label: two top-k, each bounded
     first = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
     chosen = first[0].unionByName(first[1])
-    rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_own") == F.col("_id")).select("_id", "_label", "text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_own"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("_own") == F.col("_id"))
+    rows = rows.groupBy("_id", "_label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, terms in _blocks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a).cast(pa.int64()), batch.column("_label").slice(a, b - a).cast(pa.int32()), pa.array([t.astype(np.float16).tobytes() for t in terms], pa.binary())], names=["i", "y", "x"])
 
-    found = sorted((r.i, r.y, bytes(r.x)) for r in rows.mapInArrow(run, "i long, y int, x binary").collect())
+    found = sorted((r.i, r.y, bytes(r.x)) for r in common.mapped(rows, run, "i long, y int, x binary").collect())
     if not found:
-        return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
+        return Model(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     terms = np.stack([np.frombuffer(x, np.float16) for _, _, x in found]).astype(np.float32)
-    truth = np.array([y for _, y, _ in found], np.float64)
-    mean = terms.mean(axis=0)
-    _, axes = np.linalg.eigh((terms - mean).T.astype(np.float64) @ (terms - mean))
-    axes = axes[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-    return Model(mean, axes, _unit((terms - mean) @ axes), truth, float(truth.mean()))
+    return learnt(terms, np.array([y for _, y, _ in found], np.float64))
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     data, offsets = text_buffer(texts)
-    for a, b in slices(offsets, 1 << 20):
-        for c in range(a, b, 1000):  # short texts: bound the rows too
-            d = min(b, c + 1000)
-            yield c, d, features(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c])
+    for a, b in slices(offsets, STEP_BYTES):
+        for c in range(a, b, STEP_ROWS):  # short texts: bound the rows too
+            d = min(b, c + STEP_ROWS)
+            yield c, d, shares(counts(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "quality_score") -> DataFrame:
     """``docs`` with a score between 0 and 1 (higher: label 1 is likelier).
 
     Texts without terms (null, empty) get the model's prior.  Other columns,
-    nulls among them, stay as they are; ``name`` gets underscores in front while
-    another column has it.
+    nulls among them, stay as they are, and so do repeated rows; ``name`` gets
+    underscores in front while another column has it.  Beside its texts a task
+    needs 8 bytes for each word of its longest one.
     """
     name = common.free(name, docs.columns)
     common.small_batches(docs.sparkSession)
@@ -150,7 +184,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "q
             got = [shared.value.score(terms) for _, _, terms in _blocks(batch.column(batch.schema.get_field_index(text_col)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return common.mapped(docs, run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -104,7 +104,11 @@ class ShardedTable:
     # the table
 
     def append(self, df: DataFrame, rows_a_shard: int | None = None) -> dict:
-        """Add an arrival. Each task's rows are a shard (several, with ``rows_a_shard``); an empty arrival adds no rows."""
+        """Add an arrival. Each task's rows are a shard (several, with ``rows_a_shard``); an empty arrival adds no rows.
+
+        Rows are kept as they are: nulls, repeated rows and texts of any length
+        stay, whatever the columns are called.
+        """
         before = self.manifest()
         schema = json.loads(df.schema.json())
         if before["schema"] and [(f["name"], f["type"]) for f in before["schema"]["fields"]] != [(f["name"], f["type"]) for f in schema["fields"]]:
@@ -171,11 +175,27 @@ class ShardedTable:
         old, new = known[:-keep], known[-keep:]
         live = {s["path"] for v in new for s in self.manifest(v)["shards"]}
         gone = {s["path"] for v in old for s in self.manifest(v)["shards"]} - live
-        for path in [f"{self.path}/manifests/v{v:012d}.json" for v in old] + sorted(gone):
+        # shards first: what a crash leaves is still listed by a manifest
+        for path in sorted(gone) + [f"{self.path}/manifests/v{v:012d}.json" for v in old]:
             at, fs = self._at(path)
             fs.delete(at, False)
         return len(gone)
 
+    def sweep(self, older_ms: int = 86_400_000) -> int:
+        """Delete files of ``data/`` that no manifest lists and that are ``older_ms`` old at least: left by a writer that died."""
+        live = {s["path"].rsplit("/data/", 1)[1] for v in self.versions() for s in self.manifest(v)["shards"]}
+        at, fs = self._at(f"{self.path}/data")
+        if not fs.exists(at):
+            return 0
+        now, count, found = self.spark._jvm.System.currentTimeMillis(), 0, fs.listFiles(at, True)
+        while found.hasNext():
+            status = found.next()
+            path = status.getPath()
+            if path.toString().rsplit("/data/", 1)[1] not in live and now - status.getModificationTime() >= older_ms:
+                fs.delete(path, False)
+                count += 1
+        return count
+
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: all documents through four arrivals and compaction, read back from the newest version."""

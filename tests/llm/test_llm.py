@@ -1,7 +1,6 @@
 """Each training-data operator against brute force, and on odd inputs."""
 
 import collections
-import hashlib
 import random
 import re
 
@@ -412,6 +411,30 @@ def test_quality(spark):
     assert {r.s for r in quality.scored(df, empty, name="s").collect()} == {0.5}
     assert quality.scored(df.limit(0), model, name="s").collect() == []
     assert quality.scored(df, model, name="text").columns == [*df.columns, "_text"]
+    again = df.where("doc_id = 7").withColumn("text", F.explode(F.array([F.concat("text", F.lit(f" {i}")) for i in range(300)])))
+    assert len(quality.fit(df.where("doc_id != 7").unionByName(again), labels, sample=60).labels) == 120
+    votes = [r.s for r in quality.scored(df.where("doc_id < 20"), model, name="s").orderBy("doc_id").collect()]
+    for (_, text, _), got_score in zip(docs[:20], votes, strict=True):  # the vote, one text at a time
+        vector = model.project(quality.shares(quality.counts(*hashing.text_buffer(pa.array([text])))))[0].astype(float)
+        cosine = [float(np.dot(vector, v.astype(float))) for v in model.vectors]
+        best = sorted(range(120), key=lambda i: -cosine[i])[: quality.NEIGHBOURS]
+        assert abs(sum(cosine[i] * model.labels[i] for i in best) / sum(cosine[i] for i in best) - got_score) < 1e-3
+
+
+def test_quality_terms(monkeypatch):
+    texts = ["a b a b", "", "xyz " * 50, "é" * 300, "one two"]
+    whole = quality.counts(*hashing.text_buffer(pa.array(texts)))
+    assert (whole[:, : quality.BINS].sum(axis=1) == [4, 0, 50, 1, 2]).all()
+    assert (whole[:, quality.BINS : 2 * quality.BINS].sum(axis=1) == [max(len(t.encode()) - 3, 0) for t in texts]).all()
+    monkeypatch.setattr(quality, "STEP_BYTES", 16)
+    assert (quality.counts(*hashing.text_buffer(pa.array(texts))) == whole).all()
+
+
+def test_quality_held_out_accuracy(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = quality.query(spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
+    assert len(rows) > 50
+    assert sum(r.predicted == r.quality for r in rows) >= 0.97 * len(rows)
 
 
 # pages
@@ -430,6 +453,85 @@ def test_html_marks():
     assert html.main_text(html.parsed("<main><p>m</p></main><article><p>other</p></article>")) == "m"
 
 
+def test_html_keeps_articles():
+    text = lambda page: html.main_text(html.parsed(page))
+    assert text('<div class="layout has-sidebar"><article><p>one</p></article></div>') == "one"
+    assert text('<article><p>one</p><p class="share-price">two</p><p data-id="promo-1">three</p></article>') == "one\ntwo\nthree"
+    assert text('<form id="page"><nav>menu</nav><main><p>one</p></main><main><p>two</p></main></form>') == "one\ntwo"
+    assert text('<div class="widget"><p>all of the page is here</p></div><p>end</p>') == "all of the page is here\nend"
+    assert text('<div id="sidebar"><main>body</main></div><div class="cookie-notice">eat</div>') == "body"
+    assert text('<article><p>short</p><section class="comment-list"><p>a far longer remark by a reader</p></section><div class="x ad">buy</div></article>') == "short"
+    assert text("<p>long " + "word " * 200_000 + "</p>").count("word") == 200_000
+
+
+def brute_page(page):
+    """The article's text by the standard library's parser, for pages that mark it."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.lines, self.now = [], [], []
+
+        def cut(self):
+            if text := " ".join("".join(self.now).split()):
+                self.lines.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.handle_data(" ")
+            if tag in html.BLOCK:
+                self.cut()
+            if tag not in html.VOID:
+                self.stack.append((tag, dict(attrs).get("class") == "ad"))
+
+        def handle_endtag(self, tag):
+            if tag in html.BLOCK:
+                self.cut()
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            tags = {t for t, _ in self.stack}
+            if "article" in tags and not tags & html.NEVER and not any(ad for _, ad in self.stack):
+                self.now.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.cut()
+    return "\n".join(reader.lines)
+
+
+def test_html_pages_against_another_parser(spark):
+    rows = html.query(spark, "/root/testdata/sf0.001").collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    marked = [r for r in rows if "<article" in (pages[r.page_id] or "")]
+    assert len(marked) > 0.5 * len(rows)
+    assert [r.page_id for r in marked if r.text != brute_page(pages[r.page_id])] == []
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_html_templates_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(html, "BROADCAST_MOST", most)
+    draw = random.Random(25)
+    block = lambda: f"<div><p>{draw.choice('abcdef')} {draw.choice('xyz')}</p></div>"
+    rows = [(i, f"http://h{draw.randrange(3)}.org/{i}", "<body>" + "".join(block() for _ in range(3)) + f"<p>own {i}</p></body>") for i in range(60)]
+    hosts, seen = collections.Counter(), collections.Counter()
+    for _, url, page in rows:
+        host = url.split("/")[2]
+        hosts[host] += 1
+        seen.update({(host, b) for b in re.findall("<div>.*?</div>", page)})
+    gone = {k for k, n in seen.items() if n >= 4 and n >= 0.3 * hosts[k[0]]}
+    assert 0 < len(gone) < len(seen)
+    want = {i: "\n".join([re.sub("<.*?>", "", b) for b in re.findall("<div>.*?</div>", page) if (url.split("/")[2], b) not in gone] + [f"own {i}"]) for i, url, page in rows}
+    got = html.extracted(spark.createDataFrame(rows, "`page.id` long, url string, html string").repartition(4)).collect()
+    assert {r["page.id"]: r.main_text for r in got} == want
+
+
 def test_html_templates(spark):
     rows = [(i, f"http://Site.org/{i}", f"<body><div class=top><p>Our site</p></div><div><p>Own text {i}</p><p>Common words</p></div><div><p>Link list</p></div></body>") for i in range(10)]
     rows += [(20, "http://other.org/1", rows[0][2]), (21, None, None), (22, "odd", ""), (3, "http://site.org/3", rows[3][2])]
@@ -516,6 +618,14 @@ def test_mixing(spark):
         assert abs(sums[x][3] - target) <= 60
 
 
+def test_mixing_reruns_agree_with_repeated_ids(spark):
+    draw = random.Random(26)
+    docs = [(draw.choice([None, *range(40)]), draw.choice("ab"), "w " * draw.randint(0, 30)) for _ in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    mixes = [sorted(map(repr, mixing.mixed(df.repartition(n)).collect())) for n in (1, 7)]
+    assert mixes[0] == mixes[1]
+
+
 def test_mixing_odd(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "a", "x y"), (None, None, "z"), (2, "b", "")], "doc_id long, source string, text string")
     rows = mixing.mixed(df).collect()
@@ -560,6 +670,20 @@ def test_sharding(spark, tmp_path):
     assert store.read().count() == 4000
 
 
+def test_sharding_odd(spark, tmp_path):
+    rows = [(None, None, 1), (1, "", 2), (1, "", 2), (2, "long " * 200_000, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, `te.xt` string, path int")
+    store = sharding.ShardedTable(spark, str(tmp_path / "t"), fanout=2)
+    for i in range(4):
+        store.append(df.where(F.lit(i) < 2))
+    store.compact()
+    assert sorted(map(repr, map(tuple, store.read().collect()))) == sorted(map(repr, rows * 2))
+    stray = store._written(df)
+    assert store.sweep() == 0
+    assert store.sweep(older_ms=0) >= len(stray)
+    assert store.read().count() == 8
+
+
 # the pipeline
 
 
@@ -586,4 +710,13 @@ def test_pipeline_stages(spark, tmp_path):
         assert after[i] == (kept if gone else text)
     assert coded.count() == mix.count()
     assert {r.doc_id for r in mix.collect()} <= set(after)
-    assert hashlib.sha256(b"").hexdigest()  # the digest that empty texts have in the queries
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids"]
+    assert out.collect() == []
