@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder and read again."""
+    """All stages on ``documents``, each written to the shared folder and read again; a stage's files go after the next one."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), name)
+        common.dropped(spark, before)
+        common.swept(spark)
     return docs
