@@ -31,7 +31,7 @@ from .hashing import U64, loads, mix64, slices, text_buffer, word_hashes
 
 SAMPLE, NEIGHBOURS, DIMENSIONS = 1500, 15, 48
 #: Bins of hashed words and of hashed pieces, and bytes of a piece.
-BINS, PIECE = 4096, 4
+BINS, PIECE = 2048, 4
 #: Distances at which a word may repeat.
 NEAR = (1, 2, 3)
 #: Kinds of terms: words, pieces, repeats (and words that don't repeat).
@@ -126,9 +126,14 @@ def learnt(terms: np.ndarray, truth: np.ndarray) -> Model:
     table = weighted(terms, weight)
     mean = table.mean(axis=0)
     table -= mean
-    values, left = np.linalg.eigh((table @ table.T).astype(np.float64))
+    # the leading right singular vectors, by iteration in a subspace a little larger
+    basis = np.random.default_rng(5).standard_normal((TERMS, min(DIMENSIONS + 16, *table.shape))).astype(np.float32)
+    for _ in range(12):
+        basis = np.linalg.qr(table.T @ (table @ basis))[0]
+    low = (table @ basis).astype(np.float64)
+    values, turned = np.linalg.eigh(low.T @ low)
     some = np.flatnonzero(values > 1e-9 * max(values.max(), 1e-12))[::-1][:DIMENSIONS]
-    axes = (table.T @ (left[:, some] / np.sqrt(values[some]))).astype(np.float32)
+    axes = (basis @ turned[:, some]).astype(np.float32)
     return Model(weight, mean, axes, _unit(table @ axes), truth, float(truth.mean()))
 
 
@@ -151,11 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for a, b, terms in _blocks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a).cast(pa.int64()), batch.column("_label").slice(a, b - a).cast(pa.int32()), pa.array([t.astype(np.float16).tobytes() for t in terms], pa.binary())], names=["i", "y", "x"])
 
-    found = sorted((r.i, r.y, bytes(r.x)) for r in common.mapped(rows, run, "i long, y int, x binary").collect())
-    if not found:
+    found = common.mapped(rows, run, "i long, y int, x binary").toArrow().sort_by("i")  # 2 * sample rows at most
+    if not found.num_rows:
         return Model(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    terms = np.stack([np.frombuffer(x, np.float16) for _, _, x in found]).astype(np.float32)
-    return learnt(terms, np.array([y for _, y, _ in found], np.float64))
+    truth = found["y"].to_numpy().astype(np.float64)
+    terms = np.empty((len(truth), TERMS), np.float32)
+    for i, x in enumerate(found["x"]):
+        terms[i] = np.frombuffer(x.as_buffer(), np.float16)
+    del found
+    return learnt(terms, truth)
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
