@@ -35,7 +35,7 @@ from .hashing import U64, mix64, salted, slices, text_buffer, windows, word_hash
 
 SHINGLE, TAKEN, SKETCHES, ALIKE = 5, 2, 96, 0.8
 #: Rounds of leaders, members of a leader's buckets in one block, and bytes of blocks that a task compares.
-STARS, BLOCK, BIN_BYTES = 3, 1024, 16 << 20
+STARS, BLOCK, BIN_BYTES = 3, 1024, 4 << 20
 #: Pairs of a block that are looked at together, pairs of bags, and columns of a product of bags.
 _PAIRS, _BAGS, _COLUMNS = 1 << 19, 1 << 13, 2048
 #: Pairs of a block from which on their bags are compared by a product.
