@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -80,55 +83,57 @@ class Event:
     available: int = 0
 
 
-def _alike(a: Event, b: Event) -> float:
+def _likeness(rows: pd.DataFrame) -> np.ndarray:
+    """How alike each two events are: the nearer in place or the more tags they share."""
     from .cluster import _km
 
-    near = 1 - min(1.0, _km(a.place, b.place) / NOVELTY_KM) if a.place and b.place else 0.0
-    both = len(a.tags | b.tags)
-    return max(near, len(a.tags & b.tags) / both if both else 0.0)
-
-
-def _median(values: list[float]) -> float:
-    values = sorted(values)
-    n = len(values)
-    return (values[(n - 1) // 2] + values[n // 2]) / 2 if n else 0.0
+    out = np.zeros((len(rows), len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        places, tags = rows["place"].iloc[[i, j]], rows["tags"].iloc[[i, j]]
+        every = frozenset.union(*tags)
+        near = 1 - min(1.0, _km(*places) / NOVELTY_KM) if all(places) else 0.0
+        out[i, j] = out[j, i] = max(near, len(frozenset.intersection(*tags)) / len(every) if every else 0.0)
+    return out
 
 
 def suggested(events: list[Event], slots: Slots) -> list[Event]:
-    """Tiers by rules first (utility, nothing kept, undated), then by merit among the others."""
-    dated = any(not e.undated for e in events)
-    out, rest = [], []
-    for e in events:
-        if e.utility > UTILITY_SKIP:
-            out.append(replace(e, tier="skipped", why="utility", merit=0.0))
-        elif not e.keepers:
-            out.append(replace(e, tier="skipped", why="nothing kept", merit=0.0))
-        elif e.undated and dated:
-            out.append(replace(e, tier="brief", why="undated", merit=0.0))
-        else:
-            rest.append(e)
-    top = max((e.moments for e in rest), default=0)
-    engaged = {e.event: math.log1p(e.moments) / math.log1p(top) if top else 0.0 for e in rest}
-    base = {e.event: (W_ENGAGEMENT * engaged[e.event] + W_QUALITY * e.quality) * (1 - e.utility) for e in rest}
-    walk = sorted(rest, key=lambda e: (-base[e.event], e.event))
-    novelty = {e.event: 1 - max([0.0, *(_alike(e, o) for o in walk[:k])]) for k, e in enumerate(walk)}
-    place = {e.event: k for k, e in enumerate(walk)}
-    merit = {e.event: base[e.event] + W_NOVELTY * novelty[e.event] * (1 - e.utility) for e in rest}
-    ranked = sorted(rest, key=lambda e: (-merit[e.event], e.event))
-    room = min(len(ranked), math.floor(slots.count * NORMAL_SHARE))
-    most = max(1, room // 6)
-    bar = _median([merit[e.event] for e in ranked[most:room]])
-    featured = 0
-    for k, e in enumerate(ranked):
-        if k < room and room > most and featured < most and merit[e.event] >= FEATURED_MARGIN * bar:
-            featured += 1
-            tier, why = "featured", "standout"
-        elif k < room:
-            tier, why = "normal", "ranked"
-        else:
-            tier, why = "brief", "similar" if novelty[e.event] < SIMILAR_BELOW and place[e.event] < room else "out of room"
-        out.append(replace(e, tier=tier, why=why, merit=merit[e.event]))
-    return sorted(out, key=lambda e: e.event)
+    """Events with tier, reason and merit.
+
+    Rules decide first: utility, nothing kept, no date among dated ones.  The
+    others compete.  Their base is engagement (moments, on a log scale of the
+    largest) and quality; merit adds novelty, the distance from the most alike
+    event of higher base.  The best of them fill the room that slots leave for
+    normal events; a sixth of that room may be featured, where merit stands out
+    from the median of the rest of the room.  Ties go to the smaller event.
+    """
+    if not events:
+        return []
+    rows = pd.DataFrame([vars(e) for e in events])
+    undated = rows["undated"].astype(bool)
+    ruled = [rows["utility"] > UTILITY_SKIP, rows["keepers"] == 0, undated & bool((~undated).any())]
+    rows["tier"] = np.select(ruled, ["skipped", "skipped", "brief"], "")
+    rows["why"] = np.select(ruled, ["utility", "nothing kept", "undated"], "")
+    rows["merit"] = 0.0
+    free = rows[rows["tier"] == ""].copy()
+    if len(free):
+        moments = np.log1p(free["moments"].astype(float))
+        free["base"] = (W_ENGAGEMENT * moments / (moments.max() or 1.0) + W_QUALITY * free["quality"]) * (1 - free["utility"])
+        free = free.sort_values(["base", "event"], ascending=[False, True])
+        free["novelty"] = 1 - np.tril(_likeness(free), -1).max(axis=1)  # against those of higher base only
+        free["by_base"] = np.arange(len(free))
+        free["merit"] = free["base"] + W_NOVELTY * free["novelty"] * (1 - free["utility"])
+        free = free.sort_values(["merit", "event"], ascending=[False, True])
+        room = min(len(free), math.floor(slots.count * NORMAL_SHARE))
+        most = max(1, room // 6)
+        inside, rest = np.arange(len(free)) < room, free["merit"].iloc[most:room]
+        stands = inside & (free["merit"] >= FEATURED_MARGIN * rest.median()).to_numpy() if len(rest) else np.zeros(len(free), bool)
+        stands &= np.cumsum(stands) <= most
+        known = (free["novelty"] < SIMILAR_BELOW) & (free["by_base"] < room)
+        free["tier"] = np.select([stands, inside], ["featured", "normal"], "brief")
+        free["why"] = np.select([stands, inside, known], ["standout", "ranked", "similar"], "out of room")
+        rows.loc[free.index, ["tier", "why", "merit"]] = free[["tier", "why", "merit"]]
+    by_event = {e.event: e for e in events}
+    return [replace(by_event[r.event], tier=r.tier, why=r.why, merit=float(r.merit)) for r in rows.sort_values("event").itertuples()]
 
 
 @dataclass
@@ -226,40 +231,57 @@ def carried(chapters: dict[int, list], least: int, brief: set[int]) -> dict[int,
 
 
 def seated(chapters: dict[int, list], slots: Slots) -> dict[int, list]:
-    """Merge neighbouring chapters until the slots hold all photos and, with photos enough, none stays blank."""
-    rows = [(k, list(chapters[k])) for k in sorted(chapters)]
-    to_fill = sum(slots.bounds(i)[0] for i in range(slots.count))
-    while len(rows) > 1:
-        counts = [len(v) for _, v in rows]
-        fewest, most = slot_range(slots, counts, True)
-        strands, blanks = sum(fewest) > slots.count, sum(counts) >= to_fill and sum(most) < slots.count
-        if not strands and not blanks:
-            break
+    """Chapters, neighbours merged where the slots ask for it.
 
-        def cost(j: int) -> tuple[int, int, int]:
-            folded = [*counts[:j], counts[j] + counts[j + 1], *counts[j + 2 :]]  # noqa: B023
-            few, many = slot_range(slots, folded, True)
-            return (sum(few) if strands else max(0, slots.count - sum(many))), folded[j], j  # noqa: B023
-
-        j = min(map(cost, range(len(rows) - 1)))[2]
-        rows[j : j + 2] = [(rows[j][0], rows[j][1] + rows[j + 1][1])]
-    return dict(rows)
+    Goal, in this order: as few slots as possible are needed beyond those there
+    are; with photos enough for all slots, as few as possible stay blank; as many
+    chapters as possible stay; merged chapters are small (by the sum of squares);
+    merges come early.  A table over the chapters so far, the slots they need and
+    the slots they fill holds the best way to cut them into runs.
+    """
+    keys, n = sorted(chapters), len(chapters)
+    if not n:
+        return {}
+    sizes = [0, *accumulate(len(chapters[k]) for k in keys)]
+    fills_all = sizes[-1] >= sum(slots.bounds(i)[0] for i in range(slots.count))
+
+    @cache
+    def span(count: int, first: bool, last: bool) -> tuple[int, int]:
+        """Fewest slots that hold the photos of one run, and most that they fill."""
+        at, of = (0, 1) if first else (1, 2) if last else (1, 3)
+        few, many = slot_range(slots, [count if i == at else 0 for i in range(of)], True)
+        return few[at], many[at]
+
+    late = lambda cuts: [-c for c in cuts]
+    best: list[dict[tuple[int, int], tuple[int, int, list[int]]]] = [{} for _ in range(n + 1)]
+    best[0][0, 0] = 0, 0, []
+    for i in range(n):
+        for (need, fill), (merges, squares, cuts) in best[i].items():
+            for j in range(i + 1, n + 1):
+                few, many = span(sizes[j] - sizes[i], i == 0, j == n)
+                state = need + few, min(fill + many, slots.count)
+                way = merges + j - i - 1, squares + (sizes[j] - sizes[i]) ** 2, late([*late(cuts), j])
+                if state not in best[j] or way < best[j][state]:
+                    best[j][state] = way
+    cost = lambda state: (max(0, state[0] - slots.count), slots.count - state[1] if fills_all else 0, *best[n][state])
+    cuts = [0, *late(best[n][min(best[n], key=cost)][2])]
+    return {keys[a]: [x for k in keys[a:b] for x in chapters[k]] for a, b in zip(cuts, cuts[1:], strict=False)}
 
 
 def apportioned(counts: list[int], slots: Slots) -> list[int]:
-    """Slots for each chapter: one each, the longest first, then by largest quotient up to caps; chapters short of their need go first."""
+    """Slots for each chapter, as a ranking of all seats that chapters could take.
+
+    A chapter's first seat goes before any second one, seats within its need
+    before seats beyond, then the larger quotient of photos by seats, then the
+    earlier chapter.  A chapter bids for as many seats as it can fill.
+    """
     if not counts:
         return []
     full = sum(slot_range(slots, counts, True)[1]) >= slots.count
     needs, caps = slot_range(slots, counts, full)
-    first = [i for i in sorted(range(len(counts)), key=lambda i: (-counts[i], i)) if caps[i] > 0][: slots.count]
-    out = [int(i in first) for i in range(len(counts))]
-    for _ in range(slots.count - len(first)):
-        open_ = [i for i in range(len(counts)) if out[i] < caps[i]]
-        if not open_:
-            break
-        out[min(open_, key=lambda i: (out[i] >= needs[i], -counts[i] / (out[i] + 1), i))] += 1
-    return out
+    bids = sorted((k > 1, k > 1 and k > needs[i], -counts[i] / k, i) for i, cap in enumerate(caps) for k in range(1, cap + 1))
+    taken = Counter(i for *_, i in bids[: slots.count])
+    return [taken[i] for i in range(len(counts))]
 
 
 def sums(sizes: list[int], most: int) -> list[bool]:
@@ -270,27 +292,40 @@ def sums(sizes: list[int], most: int) -> list[bool]:
     return out
 
 
+def _preferred(options: list[int], *tests: Callable[[int], float]) -> list[int]:
+    """The options that each test in turn leaves as its best."""
+    for test in tests:
+        least = min(map(test, options))
+        options = [o for o in options if test(o) == least]
+    return options
+
+
 def group_sizes(count: int, allowance: int, start: int, slots: Slots, swing: Callable[[int, int], int] = lambda done, of: 0) -> list[int]:
     """How many of a chapter's photos each of its slots takes, from slot ``start`` on.
 
-    A size inside what later slots leave room for comes first, then one that
-    strands no photo, then one near the even share with its swing; the larger on ties.
+    Wanted of each size, in this order: the later slots can take the rest, and
+    have enough of it; the rest is a sum of their sizes; it is as little outside
+    as can be; it is near the even share of what is left, with its swing; it is
+    large.  What later slots can take is added up once, from the last slot back.
     """
+    numbers = range(start, start + allowance)
+    behind: list[tuple[int, int, frozenset[int]]] = [(0, 0, frozenset())]  # least, most and sizes of the slots behind
+    for i in reversed(numbers):
+        (least, most, sizes), (low, high) = behind[-1], slots.bounds(i)
+        behind.append((least + low, most + high, sizes | set(slots.sizes(i))))
     out: list[int] = []
-    while count and len(out) < allowance:
-        index, left = start + len(out), allowance - len(out)
-        later = range(index + 1, index + left)
-        most, least = sum(slots.bounds(i)[1] for i in later), sum(slots.bounds(i)[0] for i in later)
-        high = max(0, count - least)
-        low = min(max(0, count - most), high)
-        whole = sums(sorted({s for i in later for s in slots.sizes(i)}), count)
-        aim = max(0, (2 * count + left) // (2 * left) + swing(len(out), allowance))
-        sizes = [s for s in slots.sizes(index) if 0 < s <= count]
-        if not sizes:
+    for done, (number, (least, most, sizes)) in enumerate(zip(numbers, reversed(behind[:-1]), strict=True)):
+        options = [s for s in slots.sizes(number) if 0 < s <= count]
+        if not options:
             break
-        take = min(sizes, key=lambda s: (s < low or s > high, not whole[count - s], max(s - high, low - s, 0), abs(aim - s), -s))  # noqa: B023
-        out.append(take)
-        count -= take
+        top, of = max(0, count - least), allowance - done
+        bottom, reach = min(max(0, count - most), top), sums(sorted(sizes), count)
+        outside = lambda s, top=top, bottom=bottom: max(s - top, bottom - s, 0)
+        share = max(0, (2 * count + of) // (2 * of) + swing(done, allowance))
+        left = lambda s, reach=reach, count=count: not reach[count - s]
+        far = lambda s, share=share: abs(share - s)
+        out.append(max(_preferred(options, lambda s, outside=outside: outside(s) > 0, left, outside, far)))
+        count -= out[-1]
     return out
 
 

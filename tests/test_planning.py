@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +57,38 @@ def test_packing_places_every_photo():
                 assert len({x for g in groups for x in g[2]}) == sum(len(g[2]) for g in groups)
 
 
+def test_seating_keeps_the_most_chapters_that_slots_hold():
+    draw = random.Random(3)
+    for _ in range(60):
+        slots = p.Slots.of_pages(draw.choice([8, 12]), SIZES, 3)
+        chapters = {i: [i] * draw.randint(1, 9) for i in range(draw.randint(1, 7))}
+        got = p.seated(chapters, slots)
+        assert [x for k in sorted(got) for x in got[k]] == [x for k in sorted(chapters) for x in chapters[k]]
+        fills_all = sum(map(len, chapters.values())) >= sum(slots.bounds(i)[0] for i in range(slots.count))
+
+        def cost(counts):
+            few, many = p.slot_range(slots, counts, True)  # noqa: B023
+            return max(0, sum(few) - slots.count), max(0, slots.count - sum(many)) if fills_all else 0, -len(counts), sum(c * c for c in counts)  # noqa: B023
+
+        cuts = [c for n in range(len(chapters)) for c in itertools.combinations(range(1, len(chapters)), n)]
+        ways = [[sum(len(chapters[i]) for i in range(a, b)) for a, b in itertools.pairwise([0, *c, len(chapters)])] for c in cuts]
+        assert cost([len(v) for v in got.values()]) == min(map(cost, ways))
+
+
+def test_seats_follow_the_quotients():
+    slots = p.Slots.of_pages(20, SIZES, 3)
+    for counts in ([30, 10, 4], [1, 1, 40], [5] * 9, [2] * 15):
+        got = p.apportioned(counts, slots)
+        few, many = p.slot_range(slots, counts, sum(p.slot_range(slots, counts, True)[1]) >= slots.count)
+        assert sum(got) <= slots.count
+        assert all(g <= m for g, m in zip(got, many, strict=True))
+        if sum(got) < slots.count:
+            assert got == many
+        for i, j in itertools.permutations(range(len(counts)), 2):  # nobody beyond its need outbids one within
+            if got[i] < min(few[i], many[i]) and got[j] > 1:
+                assert got[j] <= few[j]
+
+
 def test_small_chapters_are_carried():
     assert p.carried({0: [1], 1: [2, 3], 2: [4]}, 2, set()) == {1: [2, 3, 1, 4]}
     assert p.carried({0: [1]}, 2, set()) == {0: [1]}
