@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EARTH_KM
+from ..sources.shared import written
 from .windows import gap_sessions
 
 
@@ -30,21 +31,16 @@ def linkage(links: list[tuple[float, int, int]], members: list[int]) -> dict[int
     return {m: min(of[m]) for m in members}
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the shared checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def connected(links: DataFrame, a: str = "a", b: str = "b", component: str = "component") -> DataFrame:
     """``links`` with ``component``, the smallest node that their nodes reach; by alternating large and small stars."""
     least = lambda edges: edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).withColumnRenamed("u", "_u")
     edge = lambda rows, u, v: rows.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    now, mark = _cut(edge(links, a, b).where("u != v").distinct()), None
+    now, mark = written(edge(links, a, b).where("u != v").distinct(), "edges"), None
     while True:
         both = now.unionByName(edge(now, "v", "u"))
         large = edge(both.join(least(both), F.col("u") == F.col("_u")).where("v > u"), "v", "m").where("u != v").distinct()
         small = large.join(least(large), F.col("u") == F.col("_u"))
-        now = _cut(edge(small, "u", "m").unionByName(edge(small, "v", "m")).where("u != v").distinct())
+        now = written(edge(small, "u", "m").unionByName(edge(small, "v", "m")).where("u != v").distinct(), "edges")
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == mark:
             break

@@ -45,7 +45,7 @@ def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     count.  Values are counted before they are shuffled, so a hot value is one row.
     """
     value = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
-    rows = df.withColumn("_x", value)
+    rows, none = df.withColumn("_x", value), F.col("_x").isNull()
     counts = rows.where("_x IS NOT NULL").groupBy("_x").agg(F.count("*").alias("_n"))
     cuts = bounds(rows.where("_x IS NOT NULL"), "_x")
     counts = counts.withColumn("_piece", piece(F.col("_x"), cuts))
@@ -55,4 +55,6 @@ def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     up_to = F.sum("_n").over(W.partitionBy("_piece").orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
     ranks = counts.withColumn("_up", up_to).join(F.broadcast(before), F.col("_piece") == F.col("_own"))
     ranks = ranks.select(F.col("_x").alias("_of"), F.round(F.lit(100.0) * (F.col("_up") + F.col("_before")) / F.col("_all")).cast("int").alias("_rank"))
-    return rows.join(ranks, F.col("_x") == F.col("_of"), "left").withColumn(name, F.coalesce("_rank", F.lit(0))).drop("_x", "_of", "_rank")
+    ranked = rows.where(~none).join(ranks, F.col("_x") == F.col("_of")).withColumn(name, F.col("_rank")).drop("_x", "_of", "_rank")
+    # rows without a value never meet in one task
+    return ranked.unionByName(rows.where(none).withColumn(name, F.lit(0)).drop("_x"))

@@ -10,21 +10,25 @@ from ..functions.geometry import calm_score
 
 #: Scene tags by what they say of a picture.
 ESTABLISHING = (
-    "land hill mountain water_body iceberg waterfall aurora glacier lake ocean cliff forest rainbow sunset_sunrise skyscraper haze "
-    "beach shore coast desert canyon valley cityscape skyline volcano field"
-).split()
-PEOPLE = "people adult child crowd".split()
+    "land", "hill", "mountain", "water_body", "iceberg", "waterfall", "aurora", "glacier", "lake", "ocean", "cliff",
+    "forest", "rainbow", "sunset_sunrise", "skyscraper", "haze", "beach", "shore", "coast", "desert", "canyon",
+    "valley", "cityscape", "skyline", "volcano", "field",
+)
+PEOPLE = (
+    "people", "adult", "child", "crowd",
+)
 DETAIL = (
-    "food utensil tableware plate bowl drink drinking_glass baked_goods dessert bread fruit vegetable berry mushroom flower petunia moss "
-    "spiderweb spider insect dragonfly arthropods arachnid sign billboards document art statue figurine toy stuffed_animals "
-    "decoration bonsai decorative_plant seasonings herb spoon"
-).split()
+    "food", "utensil", "tableware", "plate", "bowl", "drink", "drinking_glass", "baked_goods", "dessert", "bread",
+    "fruit", "vegetable", "berry", "mushroom", "flower", "petunia", "moss", "spiderweb", "spider", "insect",
+    "dragonfly", "arthropods", "arachnid", "sign", "billboards", "document", "art", "statue", "figurine", "toy",
+    "stuffed_animals", "decoration", "bonsai", "decorative_plant", "seasonings", "herb", "spoon",
+)
 FACE_AREA, LEAST_FACE_AREA = 0.02, 0.005
 #: Rows that a chapter needs before its order is changed.
 LEAST_RUN = 4
 
 
-def has_any(tags: Column, names: list[str]) -> Column:
+def has_any(tags: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names])), F.lit(False))
 
 

@@ -59,10 +59,20 @@ def ranked_picks(df: DataFrame, keys: list[str], group: str, order: list[Column]
 def nearest_same_bucket(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str, bucket: float) -> DataFrame:
     """Each left row with the right row of the same keys and bucket that is nearest in time, either way; ties to the smaller id."""
     cut = lambda t: F.floor(F.col(t) / bucket)
-    a, b = left.withColumn("_bucket", cut(left_time)), right.withColumn("_bucket", cut(right_time))
-    joined = a.join(b, [*keys, "_bucket"])
-    best = F.row_number().over(W.partitionBy(left_id).orderBy(F.abs(F.col(left_time) - F.col(right_time)), right_id))
-    return joined.withColumn("_place", best).where("_place = 1").drop("_place", "_bucket")
+    new = [c for c in right.columns if c not in keys]
+    a = left.select(*keys, cut(left_time).alias("_bucket"), F.col(left_time).alias("_at"), F.struct(*left.columns).alias("_left"), F.lit(None).cast("long").alias("_id"), F.lit(None).alias("_right"))
+    b = right.select(*keys, cut(right_time).alias("_bucket"), F.col(right_time).alias("_at"), F.lit(None).alias("_left"), F.col(right_id).cast("long").alias("_id"), F.struct(*new).alias("_right"))
+    a, b = a.withColumn("_right", F.col("_right").cast(b.schema["_right"].dataType)), b.withColumn("_left", F.col("_left").cast(a.schema["_left"].dataType))
+    rows = a.unionByName(b)
+    # the last right row before each left one and the first after it: of one time the smaller id
+    group, is_left = W.partitionBy(*keys, "_bucket"), F.col("_left").isNotNull()
+    seen = F.when(~is_left, F.struct("_at", "_id", "_right"))
+    before = F.last(seen, ignorenulls=True).over(group.orderBy("_at", is_left, F.desc("_id")).rowsBetween(W.unboundedPreceding, 0))
+    after = F.last(seen, ignorenulls=True).over(group.orderBy(F.desc("_at"), is_left, F.desc("_id")).rowsBetween(W.unboundedPreceding, 0))
+    found = rows.withColumn("_before", before).withColumn("_after", after).where(is_left)
+    far = lambda c: F.struct(F.abs(F.col(f"{c}._at") - F.col("_at")).alias("far"), F.col(f"{c}._id").alias("id"), F.col(f"{c}._right").alias("right"))
+    near = F.when(F.col("_after").isNull() | (far("_before") <= far("_after")), F.col("_before._right")).otherwise(F.col("_after._right"))
+    return found.where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).withColumn("_near", F.when(F.col("_before").isNull(), F.col("_after._right")).otherwise(near)).select("_left.*", *[F.col(f"_near.{c}").alias(c) for c in new])
 
 
 def islands(df: DataFrame, keys: list[str], number: str, bridge: int = 1, name: str = "island") -> DataFrame:

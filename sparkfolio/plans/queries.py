@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import scalar as sc
-from ..operators import aggregates, joins, rules, search, selection, windows
+from ..functions import printing as pr
+from ..operators import aggregates, finalize, joins, rules, search, selection, windows
 from ..operators.running import percentile_rank
 from ..sources import store
 
@@ -190,15 +191,17 @@ def lookup_split(spark, sf_dir):
     return hits.select("o_orderkey", F.lit(True).alias("hit")).unionByName(misses.select("o_orderkey", F.lit(False).alias("hit")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_semi(spark, sf_dir):
-    return store.orphans(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return store.orphans(table(spark, sf_dir, "customer").select("c_custkey"), urgent, ["c_custkey"])
 
 
-@query("""SELECT p_partkey, prefix FROM part JOIN (SELECT DISTINCT left(p_name, 3 + p_partkey % 3) AS prefix FROM part WHERE p_partkey % 40 = 0) ON starts_with(p_name, prefix)""")
+@query("""SELECT p_partkey, prefix FROM part JOIN (SELECT DISTINCT left(p_name, 3 + p_partkey % 3) AS prefix FROM part) ON starts_with(p_name, prefix)""")
 def prefix_join(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    prefixes = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.expr("left(p_name, cast(3 + p_partkey % 3 as int))").alias("prefix")).distinct()
+    prefixes = table(spark, sf_dir, "part").select(F.expr("left(p_name, cast(3 + p_partkey % 3 as int))").alias("prefix")).distinct()
     return joins.prefix_join(part.select("p_partkey", "p_name"), "p_name", prefixes, "prefix").select("p_partkey", "prefix")
 
 
@@ -489,3 +492,104 @@ def funnel(spark, sf_dir):
     placed = table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").alias("placed"))
     both = known.withColumn("one", F.lit(1)).join(placed.withColumn("one", F.lit(1)), "one")
     return both.select("known", "placed", F.greatest(F.lit(0), F.col("known") - F.col("placed")).alias("left_out"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as records: a label's vectors follow each other by a second, one label has no time."""
+    rows = table(spark, sf_dir, "embeddings")
+    at = F.when(F.col("label") != 3, F.col("vec_id") + F.col("label") * 86_400)
+    place = lambda i: F.element_at("embedding", i).cast("double")
+    hashed = (F.col("vec_id") * 2654435761).bitwiseAND(1048575)
+    return rows.select(F.format_string("/%08d", "vec_id").alias("path"), "vec_id", at.alias("at"), F.col("embedding").alias("print"), hashed.alias("phash"), place(1).alias("aesthetic"), place(2).alias("sharpness"), F.slice("embedding", 1, F.pmod("vec_id", F.lit(4)).cast("int")).alias("faces"), (place(3) > 0.3).alias("is_utility"))
+
+
+#: Vectors here are farther apart than pictures' are, so limits are wider.
+WIDE = {"close": 1.0, "near": 1.19, "most_bits": 7}
+LINKED = """r AS (SELECT vec_id, CASE WHEN label <> 3 THEN vec_id + label * 86400 END AS t, CAST(embedding AS DOUBLE[]) AS e, (vec_id * 2654435761) & 1048575 AS h FROM embeddings),
+  p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_distance(a.e, b.e) AS d, bit_count(xor(a.h, b.h)) AS bits FROM r a JOIN r b ON b.vec_id > a.vec_id AND coalesce(abs(a.t - b.t), 0) <= 120),
+  l AS (SELECT * FROM p WHERE d <= 1.0 OR (bits <= 7 AND d <= 1.19))"""
+
+
+@query(f"WITH {LINKED} SELECT x AS a, y AS b, round(d, 6) AS distance FROM l")
+def similar_links(spark, sf_dir):
+    """Near-duplicates by vector, or by hash and vector, within two minutes; undated rows meet all others."""
+    links = finalize.similar_links(_records(spark, sf_dir), "vec_id", "at", "print", "phash", **WIDE)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH RECURSIVE {LINKED}, b AS (SELECT x, y FROM l UNION SELECT y, x FROM l), c AS (SELECT x AS node, x AS reached FROM b UNION SELECT c.node, b.y FROM c JOIN b ON b.x = c.reached)
+  SELECT node, min(reached) AS component FROM c GROUP BY node""")
+def link_components(spark, sf_dir):
+    """The connected components that near-duplicates form."""
+    from ..operators import cluster
+    from ..sources.shared import written
+
+    links = cluster.connected(written(finalize.similar_links(_records(spark, sf_dir), "vec_id", "at", "print", "phash", **WIDE), "links"))
+    both = links.select(F.col("a").alias("node"), "component").unionByName(links.select(F.col("b").alias("node"), "component"))
+    return both.distinct()
+
+
+@query()
+def finalized(spark, sf_dir):
+    """All that a set of records derives as a whole."""
+    out = finalize.finalized(_records(spark, sf_dir), **WIDE)
+    return out.select("path", "near_dup_cluster", F.col("event_cluster").cast("long").alias("event_cluster"), "aesthetic_pct", "sharpness_pct", "face_count", "kept")
+
+
+SPEC = pr.PrintSpec(11.0, 8.5, 0.125, 0.5, 0.25, 200, 300)
+SLOTS = """s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'left' ELSE 'right' END AS side, (l_partkey % 13) / 16.0 AS x, (l_suppkey % 11) / 16.0 AS y, (1 + l_quantity % 6) / 16.0 AS w, (1 + l_quantity % 5) / 16.0 AS h FROM lineitem),
+  k AS (SELECT *, x + w AS r, y + h AS b, 0.125 / 11.0 AS u, 0.125 / 8.5 AS v, 0.25 / 11.0 AS su, 0.25 / 8.5 AS sv, 0.5 / 11.0 AS g FROM s)"""
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("side", F.when(F.col("l_linenumber") % 2 == 0, "left").otherwise("right"))
+    q = F.col("l_quantity").cast("double")
+    return rows.withColumn("slot", pr.rect(F.col("l_partkey") % 13 / 16, F.col("l_suppkey") % 11 / 16, (1 + q % 6) / 16, (1 + q % 5) / 16))
+
+
+@query(f"""WITH {SLOTS} SELECT l_orderkey, l_linenumber,
+  y >= v - 1e-9 AND b <= 1 - v + 1e-9 AND CASE WHEN side = 'left' THEN x >= u - 1e-9 AND r <= 1 + 1e-9 ELSE x >= -1e-9 AND r <= 1 - u + 1e-9 END AS in_trim,
+  y >= v + sv - 1e-9 AND b <= 1 - v - sv + 1e-9 AND CASE WHEN side = 'left' THEN x >= u + su - 1e-9 AND r <= 1 + 1e-9 ELSE x >= -1e-9 AND r <= 1 - u - su + 1e-9 END AS in_safe,
+  CASE WHEN side = 'left' THEN r <= 1 - g + 1e-9 ELSE x >= g - 1e-9 END AS clear,
+  round(greatest(0, CASE WHEN side = 'left' THEN least(r, 1) - greatest(x, 1 - g) ELSE least(r, g) - greatest(x, 0) END) * greatest(0, least(b, 1) - y), 6) AS in_fold,
+  round(w * 11.0 / (h * 8.5), 6) AS aspect FROM k""")
+def page_geometry(spark, sf_dir):
+    """Trim, safe area, fold and aspect of slots."""
+    rows, slot, side = _slots(spark, sf_dir), F.col("slot"), F.col("side")
+    checks = {"in_trim": pr.in_trim(SPEC, slot, side), "in_safe": pr.in_safe_margin(SPEC, slot, side), "clear": pr.clear_of_gutter(SPEC, slot, side), "in_fold": F.round(pr.gutter_overlap_area(SPEC, slot, side), 6), "aspect": F.round(pr.slot_aspect(SPEC, slot), 6)}
+    return rows.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in checks.items()])
+
+
+@query(f"""WITH {SLOTS}, d AS (SELECT *, CASE WHEN side = 'left' THEN x ELSE 1 - r END AS outer_, CASE WHEN side = 'left' THEN 1 - r ELSE x END AS fold,
+    CASE WHEN side = 'left' THEN u ELSE g END AS lo, CASE WHEN side = 'left' THEN 1 - g ELSE 1 - u END AS hi FROM k)
+  SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN outer_ > 1e-6 AND outer_ < u - 1e-6 THEN 'bleed ' || side END, CASE WHEN y > 1e-6 AND y < v - 1e-6 THEN 'bleed top' END,
+    CASE WHEN 1 - b > 1e-6 AND 1 - b < v - 1e-6 THEN 'bleed bottom' END, CASE WHEN fold > 1e-6 AND fold < g - 1e-6 THEN 'gutter' END,
+    CASE WHEN least(r, hi) - greatest(x, lo) < 0.05 - 1e-6 OR least(b, 1 - v) - greatest(y, v) < 0.05 - 1e-6 THEN 'hidden' END) AS broken,
+    CASE WHEN x < -1e-6 OR y < -1e-6 OR r > 1 + 1e-6 OR b > 1 + 1e-6 THEN 'off canvas' WHEN w < 0.05 - 1e-6 OR h < 0.05 - 1e-6 THEN 'too small' ELSE 'good' END AS problem FROM d""")
+def print_rules(spark, sf_dir):
+    """The print rules and the structural rule that each slot breaks."""
+    rows, slot = _slots(spark, sf_dir), F.col("slot")
+    return rows.select("l_orderkey", "l_linenumber", F.concat_ws(",", pr.findings(SPEC, slot, F.col("side"))).alias("broken"), F.coalesce(pr.box_problem(slot), F.lit("good")).alias("problem"))
+
+
+@query(f"""WITH {SLOTS} SELECT a.l_orderkey, a.l_linenumber AS slot, b.l_linenumber AS other FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.side = b.side AND a.l_linenumber < b.l_linenumber
+  WHERE least(a.r, b.r) - greatest(a.x, b.x) > 0.0005 + 1e-6 AND least(a.b, b.b) - greatest(a.y, b.y) > 0.0005 + 1e-6""")
+def overlapping_boxes(spark, sf_dir):
+    """Slots of an order's page that overlap."""
+    a = _slots(spark, sf_dir).select("l_orderkey", "side", F.col("l_linenumber").alias("slot"), F.col("slot").alias("a"))
+    b = _slots(spark, sf_dir).select("l_orderkey", "side", F.col("l_linenumber").alias("other"), F.col("slot").alias("b"))
+    return a.join(b, ["l_orderkey", "side"]).where((F.col("slot") < F.col("other")) & pr.overlapping(F.col("a"), F.col("b"))).select("l_orderkey", "slot", "other")
+
+
+@query(f"""WITH {SLOTS}, f AS (SELECT *, 400 + (l_orderkey % 30) * 100 AS px, 0.1 AS cx, 0.9 AS cr, (l_orderkey % 10) / 10.0 AS fx, (l_orderkey % 10) / 10.0 + 0.1 AS fr, (l_linenumber % 9) / 10.0 AS fy FROM k),
+  m AS (SELECT *, fx >= cx - 1e-9 AND fr <= cr + 1e-9 AS inside, least(fr, cr) - greatest(fx, cx) > 0 AS met, x + (fx - cx) * w / 0.8 AS px0, x + (fr - cx) * w / 0.8 AS px1, y + fy * h AS py0, y + (fy + 0.1) * h AS py1 FROM f)
+  SELECT l_orderkey, l_linenumber, CASE WHEN px * 0.8 / (w * 11.0) < 200 THEN 'resolution' WHEN NOT inside AND met THEN 'clipped' WHEN NOT inside THEN 'stands'
+    WHEN NOT CASE WHEN side = 'left' THEN px1 <= 1 - g + 1e-9 ELSE px0 >= g - 1e-9 END THEN 'gutter'
+    WHEN NOT (py0 >= v + sv - 1e-9 AND py1 <= 1 - v - sv + 1e-9 AND CASE WHEN side = 'left' THEN px0 >= u + su - 1e-9 AND px1 <= 1 + 1e-9 ELSE px0 >= -1e-9 AND px1 <= 1 - u - su + 1e-9 END) THEN 'safe margin' ELSE 'stands' END AS verdict FROM m""")
+def placement_rules(spark, sf_dir):
+    """The first hard rule that a picture with one face breaks in its slot."""
+    rows = _slots(spark, sf_dir)
+    face = pr.rect(F.col("l_orderkey") % 10 / 10, F.col("l_linenumber") % 9 / 10, F.lit(0.1), F.lit(0.1))
+    crop = pr.rect(F.lit(0.1), F.lit(0.0), F.lit(0.8), F.lit(1.0))
+    verdict = pr.rejects(SPEC, 400 + F.col("l_orderkey") % 30 * 100, F.array(face), crop, F.col("slot"), F.col("side"))
+    return rows.select("l_orderkey", "l_linenumber", F.coalesce(verdict, F.lit("stands")).alias("verdict"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+from collections.abc import Iterator
+from datetime import UTC, datetime
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,27 +52,68 @@ RECORD = T.StructType(
 REQUIRED = ("path", "hash", "width", "height", "exif", "isUtility", "aestheticScore", "sharpness", "faces", "faceAreaFraction", "sceneTags", "palette", "clippedLow", "clippedHigh")
 
 
+LISTED = "path string, length long, modified timestamp, modified_ns long"
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+
+
+def _walk():
+    """A function that lists folders, each with all below it, where it runs."""
+    import os
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for folder in batch.column("folder").to_pylist():
+                for at, folders, names in os.walk(folder):
+                    folders[:] = sorted(f for f in folders if not f.startswith(".") and not os.path.islink(os.path.join(at, f)))
+                    for name in names:
+                        with contextlib.suppress(OSError):  # gone meanwhile
+                            path = os.path.join(at, name)
+                            found.append((path, os.stat(path)))
+            stamps = [s.st_mtime_ns for _, s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([s.st_size for _, s in found], pa.int64()), pa.array([n // 1000 for n in stamps], pa.timestamp("us", "UTC")), pa.array(stamps, pa.int64())], names=["path", "length", "modified", "modified_ns"])
+
+    return run
+
+
 def scan_files(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """``path``, ``length`` and ``modified`` of the files under any of the roots, each once; contents aren't read.
+    """``path``, ``length``, ``modified`` and ``modified_ns`` of the files under any of the roots, each once; contents aren't read.
 
-    The listing is Spark's own, in parallel.  Hidden files, ``._`` companions and
-    other formats are left out.  A root that can't be read is an error.
+    Names that begin with ``_`` count, unlike in Spark's own listing; folders that
+    begin with a dot, linked folders, ``._`` companions and other formats don't.
+    The driver lists the folders right under a root, tasks what is below them.  A
+    root that can't be read is an error, a folder below it is left out.  Roots lie
+    on a file system that every executor mounts.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([*dict.fromkeys(roots)])
+    import os
+
+    folders, loose = [], []
+    for root in dict.fromkeys(_local(r).rstrip("/") or "/" for r in roots):
+        with os.scandir(root) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    folders += [] if e.name.startswith(".") else [(e.path,)]
+                elif e.is_file():
+                    s = e.stat()
+                    loose.append((e.path, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC), s.st_mtime_ns))
+    out = spark.createDataFrame(loose, LISTED)
+    if folders:
+        below = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 1024))
+        out = out.unionByName(below.mapInArrow(_walk(), LISTED))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    listed = found.select("path", "length", F.col("modificationTime").alias("modified"))
-    return listed.where(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions) & ~name.startswith("._")).dropDuplicates(["path"])
+    return out.where(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions) & ~name.startswith("._")).dropDuplicates(["path"])
 
 
 def scan_tolerant(spark: SparkSession, roots: list[str]) -> tuple[DataFrame | None, list[str]]:
     """A scan that lists unreadable roots instead of failing."""
-    from pyspark.errors import AnalysisException
-
     out, unreadable = None, []
     for root in dict.fromkeys(roots):
         try:
             found = scan_files(spark, [root])
-        except AnalysisException:
+        except OSError:
             unreadable.append(root)
             continue
         out = found if out is None else out.unionByName(found)
@@ -74,8 +121,30 @@ def scan_tolerant(spark: SparkSession, roots: list[str]) -> tuple[DataFrame | No
 
 
 def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path`` and the SHA-256 of each file's bytes."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("hash"))
+    """``pos``, ``path``, the SHA-256 of each file's bytes and an ``error``: one row a path, in which one of the two is null.
+
+    Files are read in pieces where the task runs, so their size doesn't matter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, errors = [], []
+            for path in batch.column("path").to_pylist():
+                own = hashlib.sha256()
+                try:
+                    with open(_local(path), "rb") as f:
+                        while piece := f.read(1 << 20):
+                            own.update(piece)
+                except OSError as e:
+                    hashes.append(None)
+                    errors.append(e.strerror or type(e).__name__)
+                else:
+                    hashes.append(own.hexdigest())
+                    errors.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("path"), pa.array(hashes, pa.string()), pa.array(errors, pa.string())], names=["pos", "path", "hash", "error"])
+
+    rows = spark.createDataFrame(list(enumerate(paths)), "pos long, path string").repartition(max(1, min(len(paths), 1024)))
+    return rows.mapInArrow(run, "pos long, path string, hash string, error string")
 
 
 def parse(df: DataFrame, json: str, schema: T.StructType = RECORD, required: tuple[str, ...] = REQUIRED) -> tuple[DataFrame, DataFrame]:
@@ -122,12 +191,12 @@ def places(spark: SparkSession, path: str) -> DataFrame:
 
 
 def layouts(spark: SparkSession, folder: str, reserved: tuple[str, ...] = ()) -> DataFrame:
-    """Every layout file of a folder, by id; reserved ids are refused."""
+    """Every layout file of a folder, by file name; reserved ids are refused."""
     slot = T.StructType([T.StructField("rect", BOX), T.StructField("role", T.StringType()), T.StructField("bleed", T.ArrayType(T.StringType())), T.StructField("aspect_pref", BOX)])
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("slots", T.ArrayType(slot)), T.StructField("min_photos", T.IntegerType()), T.StructField("max_photos", T.IntegerType()), T.StructField("density", T.StringType()), T.StructField("energy", T.StringType())])
-    found = spark.read.schema(schema).json(folder, multiLine=True)
+    found = spark.read.schema(schema).json(folder, multiLine=True).withColumn("_file", F.input_file_name())
     checked = F.when(F.col("id").isin(*reserved), F.raise_error(F.concat(F.lit("reserved id "), "id"))).otherwise(F.col("id")) if reserved else F.col("id")
-    return found.withColumn("id", checked).orderBy("id")
+    return found.withColumn("id", checked).orderBy("_file").drop("_file")
 
 
 def decomposed(found: DataFrame) -> DataFrame:

@@ -221,3 +221,54 @@ def test_band_pairs_of_rows_without_a_time(spark, monkeypatch):
     got = cluster.near_links(scored, "d", "bits", close=0.1, most_bits=1)
     want = [(p[0], q[0]) for i, p in enumerate(rows) for q in rows[i + 1 :] if fits(p, q) and linked(p, q)]
     assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got.collect()) == want
+
+
+def test_scan_takes_names_with_underscores(spark, tmp_path):
+    for name in ("_DSC1.ARW", "_sub/b.jpg", "_sub/_deep/c.JPEG", ".hidden/d.jpg", "._e.jpg", "f.txt", "g.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * 5)
+    (tmp_path / "link").symlink_to(tmp_path / "_sub")
+    rows = records.scan_files(spark, [str(tmp_path), f"file://{tmp_path}/"]).collect()
+    assert sorted(r.path.removeprefix(f"{tmp_path}/") for r in rows) == ["_DSC1.ARW", "_sub/_deep/c.JPEG", "_sub/b.jpg", "g.png"]
+    assert all(r.length == 5 and r.modified_ns > 10**18 for r in rows)
+    found, unreadable = records.scan_tolerant(spark, [str(tmp_path), str(tmp_path / "none")])
+    assert (found.count(), unreadable) == (4, [str(tmp_path / "none")])
+
+
+def test_digests_keep_errors(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "_a.jpg").write_bytes(b"abc" * 700_000)
+    paths = [str(tmp_path / "none.jpg"), str(tmp_path / "_a.jpg"), str(tmp_path)]
+    rows = records.digests(spark, paths).orderBy("pos").collect()
+    assert [r.path for r in rows] == paths
+    assert [r.hash for r in rows] == [None, hashlib.sha256(b"abc" * 700_000).hexdigest(), None]
+    assert [r.error is None for r in rows] == [False, True, False]
+
+
+def test_finalized_by_hand(spark):
+    from sparkfolio.operators import finalize
+
+    schema = "path string, at long, print array<double>, phash long, aesthetic double, sharpness double, faces array<int>, is_utility boolean"
+    rows = [
+        ("/a", 0, [0.0, 0.0], 0, 0.2, 0.5, [1], False),
+        ("/b", 60, [0.1, 0.0], 255, 0.9, 0.5, [], False),  # near /a by vector
+        ("/c", 500, [0.1, 0.0], 255, 0.8, 0.1, None, False),  # too late for /b
+        ("/d", None, [0.1, 0.1], 0, 0.7, 0.1, [1, 2], False),  # undated: near all of them
+        ("/e", 20_000, None, 3, 0.5, float("nan"), [], False),
+        ("/f", 20_010, None, 1, None, 0.9, [], False),  # near /e by hash alone
+        ("/g", 60_000, [9.0, 9.0], 77, 0.99, 0.9, [], True),
+    ]
+    got = {r.path: r for r in finalize.finalized(spark.createDataFrame(rows, schema)).collect()}
+    groups = {}
+    for r in got.values():
+        groups.setdefault(r.near_dup_cluster, set()).add(r.path)
+    # complete linkage: the nearest of /b-/d and /c-/d joins first, the rest must be linked to all
+    assert {"/e", "/f"} in groups.values()
+    assert {"/g"} in groups.values()
+    assert not any({"/b", "/c"} <= g for g in groups.values())
+    assert [got[p].event_cluster for p in ("/a", "/b", "/c", "/e", "/f", "/g", "/d")] == [0, 0, 0, 1, 1, 2, 3]
+    assert (got["/g"].aesthetic_pct, got["/g"].kept, got["/e"].kept, got["/f"].kept) == (100, False, True, False)
+    assert [got[p].face_count for p in ("/a", "/c", "/d")] == [1, 0, 2]
+    assert "phash" not in got["/a"].asDict()
+    assert sum(r.kept for r in got.values()) == len(groups) - 1
