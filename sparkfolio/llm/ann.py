@@ -2,19 +2,26 @@
 
 Codes: principal directions of a bounded sample, turned by an iteratively
 learned rotation (ITQ) so that signs lose little; ``BITS`` bits a vector.  Index:
-the code is cut into ``PIECES`` substrings and rows are listed by each
-substring's value.  Search: codes within Hamming radius r agree with the query
-within floor(r / PIECES) in at least one substring (one less for those after the
-first r mod PIECES + 1), so probing these values finds every code within r.
+the code is cut into ``PIECES`` substrings of about as many bits as a block's rows
+need, and rows are listed by each substring's value.  Search: the radius grows
+from 0.  Codes within Hamming radius r agree with the query within
+floor(r / PIECES) in at least one substring (one less for those after the first
+r mod PIECES + 1), so each step probes the values at one more bit from one
+substring of the query, and then all codes within the next radius are known.
 Those are reranked by the exact cosine of the original vectors.
 
-The radius is learned too: the distance within which the sample holds
-``CAUGHT`` of its own nearest neighbours.  Where a block holds fewer than k rows
-within it, the radius grows until it does, so no query comes out short.
+When to stop is learned: of the sample's pairs at a cosine, ``CAUGHT`` lie within
+some radius; a search ends at the radius that belongs to the k-th best cosine
+found so far, at the latest at the one that belongs to the sample's k nearest.
+Where a block holds fewer than k rows within it, the radius grows until it does,
+so no query comes out short.  Near neighbours so end a search after a few lists;
+among vectors that are all nearly as far apart as chance would have them, the
+lists probed hold a large part of a block, and only reranking is saved.
 
 Rows are dealt over blocks and queries over chunks, both of bounded size; a task
 indexes one block and answers one chunk, so no bucket and no group of equal
-vectors gathers in one task.  Every row is indexed.
+vectors gathers in one task.  Every row is indexed.  A row is sent once for each
+chunk and a query once for each block.
 """
 
 from __future__ import annotations
@@ -29,10 +36,12 @@ from pyspark.sql import functions as F
 
 from . import common, vectors
 
-BITS, PIECES = 64, 8
-#: Rows of the sample that codes are fitted on, and the share of its neighbours within the radius.
-SAMPLE, CAUGHT = 8192, 0.985
-BLOCK_ROWS, CHUNK_QUERIES = 16384, 4096
+BITS, PIECES = 64, 4
+#: Rows of the sample that codes are fitted on, its rows that are asked, and the share of neighbours within a radius.
+SAMPLE, ASKED, CAUGHT = 8192, 400, 0.94
+BLOCK_ROWS, CHUNK_QUERIES = 65536, 32768
+#: Steps of the cosine for which a radius is learned.
+STEPS = 40
 
 _COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
@@ -45,9 +54,15 @@ def distances(codes: np.ndarray, code: np.uint64) -> np.ndarray:
 
 @dataclass
 class Coder:
+    """``radius`` is the largest; ``needs`` tells the radius for each step of the cosine from 0 to 1."""
+
     mean: np.ndarray
     axes: np.ndarray
     radius: int
+    needs: np.ndarray
+
+    def need(self, cosine: float) -> int:
+        return int(self.needs[min(max(int(cosine * STEPS), 0), STEPS)])
 
     def codes(self, rows: np.ndarray) -> np.ndarray:
         unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -60,7 +75,7 @@ def fit(rows: np.ndarray, k: int, caught: float = CAUGHT, rounds: int = 30) -> C
     draw = np.random.default_rng(7)
     dims = rows.shape[1]
     if len(rows) < 2:
-        return Coder(np.zeros(dims), draw.standard_normal((dims, BITS)), BITS)
+        return Coder(np.zeros(dims), draw.standard_normal((dims, BITS)), BITS, np.full(STEPS + 1, BITS))
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     _, turned = np.linalg.eigh((unit - mean).T @ (unit - mean))
@@ -73,47 +88,59 @@ def fit(rows: np.ndarray, k: int, caught: float = CAUGHT, rounds: int = 30) -> C
     axes = axes @ rotation
     if axes.shape[1] < BITS:  # short vectors: more directions
         axes = np.hstack([axes, draw.standard_normal((dims, BITS - axes.shape[1]))])
-    out = Coder(mean, axes, BITS)
+    out = Coder(mean, axes, BITS, np.full(STEPS + 1, BITS))
     codes = out.codes(rows)
-    some = draw.permutation(len(rows))[:400]
-    far = []
-    for q in some.tolist():
+    near_far, near_cos, far = [], [], []
+    for q in draw.permutation(len(rows))[:ASKED].tolist():
         cosines = unit @ unit[q]
         cosines[q] = -2
-        near = np.argpartition(-cosines, min(k, len(rows) - 1) - 1)[:k]
-        far.append(distances(codes[near], codes[q]))
+        order = np.argsort(-cosines)[: min(10 * k, len(rows) - 1)]
+        apart = distances(codes[order], codes[q])
+        far.append(apart[:k])
+        near_far.append(apart)
+        near_cos.append(cosines[order])
     out.radius = int(np.quantile(np.concatenate(far), caught, method="higher"))
+    apart, step = np.concatenate(near_far), np.clip(np.concatenate(near_cos) * STEPS, 0, STEPS).astype(np.int64)
+    needs = np.full(STEPS + 1, out.radius)
+    for i in range(STEPS + 1):
+        own = apart[step == i]
+        if len(own) >= 50:
+            needs[i] = min(out.radius, int(np.quantile(own, caught, method="higher")))
+    needs[STEPS] = min(needs[STEPS], PIECES)  # equal vectors have equal codes
+    out.needs = np.minimum.accumulate(needs)
     return out
 
 
+_WIDTH = BITS // PIECES
+#: The numbers of a substring by how many bits they have.
+_RINGS = [np.flatnonzero(np.array([bin(i).count("1") for i in range(1 << _WIDTH)]) == n) for n in range(_WIDTH + 1)]
+
+
 class Index:
     """The substrings' lists of one block."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.pieces = np.ascontiguousarray(codes).view(np.uint8).reshape(-1, PIECES)
         self.lists = []
         for j in range(PIECES):
-            order = np.argsort(self.pieces[:, j], kind="stable")
-            self.lists.append((order, np.searchsorted(self.pieces[order, j], np.arange(257))))
+            piece = ((codes >> np.uint64(_WIDTH * j)) & np.uint64((1 << _WIDTH) - 1)).astype(np.int64)
+            order = np.argsort(piece, kind="stable")
+            self.lists.append((order, np.searchsorted(piece[order], np.arange((1 << _WIDTH) + 1))))
 
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """The rows whose code is within the radius: probe, then look at the whole codes."""
-        own = np.array([code]).view(np.uint8)
+    def grown(self, code: np.uint64):
+        """Radius after radius, the rows that a step probes first; after it all codes within the radius have been probed."""
         seen = np.zeros(len(self.codes), dtype=bool)
-        deep, over = divmod(radius, PIECES)
-        values = np.arange(256)
-        for j in range(PIECES):
-            reach = deep if j <= over else deep - 1
-            if reach < 0:
-                continue
-            order, starts = self.lists[j]
-            probe = values[_COUNT[values ^ own[j]] <= reach]
-            low, size = starts[probe], starts[probe + 1] - starts[probe]
-            at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
-            seen[order[at]] = True
-        found = np.flatnonzero(seen)
-        return found[distances(self.codes[found], code) <= radius]
+        for bits in range(_WIDTH + 1):
+            for j, (order, starts) in enumerate(self.lists):
+                own = int(code >> np.uint64(_WIDTH * j)) & ((1 << _WIDTH) - 1)
+                probe = _RINGS[bits] ^ own
+                low, size = starts[probe], starts[probe + 1] - starts[probe]
+                some = np.flatnonzero(size)
+                low, size = low[some], size[some]
+                rows = order[np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)]
+                rows = rows[~seen[rows]]  # a list names a row once
+                seen[rows] = True
+                yield PIECES * bits + j, rows
 
 
 def answer(coder: Coder, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -122,19 +149,11 @@ def answer(coder: Coder, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarra
     norms, query_norms = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     out: tuple[list, list, list] = ([], [], [])
     for q, (query_id, code) in enumerate(zip(query_ids.tolist(), coder.codes(queries), strict=True)):
-        radius = coder.radius
-        while True:
-            found = index.within(code, radius)
-            found = found[ids[found] != query_id]
-            if len(found) >= k or radius >= BITS:
-                break
-            radius = min(BITS, radius + PIECES)
+        found, rough, _ = _search(index, coder, rows, norms, queries[q], code, ids != query_id, k)
         if not len(found):
             continue
-        rough = rows[found] @ queries[q] / norms[found]
         if len(found) > k:
-            least = np.partition(rough, -k)[-k]
-            found = found[rough >= least - 1e-9 * query_norms[q]]
+            found = found[rough >= np.partition(rough, -k)[-k] - 1e-9 * query_norms[q]]
         # sums in one order for every row: equal vectors tie exactly
         score = (rows[found] * queries[q]).sum(axis=1) / (norms[found] * query_norms[q])
         best = np.lexsort((ids[found], -score))[:k]
@@ -144,6 +163,24 @@ def answer(coder: Coder, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarra
     return out
 
 
+def _search(index: Index, coder: Coder, rows: np.ndarray, norms: np.ndarray, query: np.ndarray, code: np.uint64, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The reranked rows with their products, and how many rows were probed."""
+    found, products, waiting, apart, probed = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    norm = np.sqrt((query * query).sum())
+    for radius, new in index.grown(code):
+        probed += len(new)
+        new = new[allowed[new]]
+        waiting, apart = np.concatenate([waiting, new]), np.concatenate([apart, distances(index.codes[new], code)])
+        inside = apart <= radius
+        if inside.any():
+            some = waiting[inside]
+            found, products = np.concatenate([found, some]), np.concatenate([products, rows[some] @ query / norms[some]])
+            waiting, apart = waiting[~inside], apart[~inside]
+        if len(found) >= k and radius >= min(coder.radius, coder.need(np.partition(products, -k)[-k] / norm)):
+            break
+    return found, products, probed
+
+
 def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id`` and ``score`` (cosine) of the k nearest found for the rows that ``query`` marks.
 
@@ -154,6 +191,9 @@ def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", ve
     An empty table gives an empty result.
     """
     spark = df.sparkSession
+    if any("." in c for c in (id_col, vec_col)):  # which would be taken for fields
+        df = df.withColumns({"_id": F.col(f"`{id_col}`"), "_vec": F.col(f"`{vec_col}`")})
+        id_col, vec_col = "_id", "_vec"
     rows = vectors.cleaned(df, id_col, vec_col, query)
     asked = rows.where("marked").groupBy("id").agg(F.min("vec").alias("vec"))
     rows = rows.drop("marked")

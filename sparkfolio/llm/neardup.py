@@ -172,6 +172,9 @@ def linked_rows(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     a row without an id stays alone, with a null component, and is kept.
     """
     spark = df.sparkSession
+    # names may hold dots
+    df = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{vec_col}`").alias("_vec"))
+    id_col, vec_col = "_id", "_vec"
     rows = common.written(vectors.cleaned(df, id_col, vec_col).mapInArrow(_digests, "id long, vec array<double>, digest binary"), "vectors")
     distinct = common.written(rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"), F.count("*").alias("n")), "distinct")
     count = distinct.count()

@@ -390,6 +390,51 @@ def test_ann(spark, monkeypatch):
     assert ann.nearest(frame(spark, x).limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_ann_probes_few_rows_where_neighbours_are_near():
+    draw = np.random.default_rng(31)
+    heads = draw.standard_normal((3000, 64))
+    x = np.repeat(heads, 7, axis=0) + 0.15 * draw.standard_normal((21000, 64))
+    coder = ann.fit(x[draw.permutation(len(x))[:8192]], 5)
+    index, norms, unit = ann.Index(coder.codes(x)), np.sqrt((x * x).sum(axis=1)), x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits, probed, reranked = 0, 0, 0
+    for q in range(0, 21000, 210):
+        found, products, seen = ann._search(index, coder, x, norms, x[q], coder.codes(x[q : q + 1])[0], np.arange(len(x)) != q, 5)
+        best = found[np.argsort(-products)[:5]]
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        hits += len(set(best.tolist()) & set(np.argsort(-cosine)[:5].tolist()))
+        probed, reranked = probed + seen, reranked + len(found)
+    assert hits >= 0.9 * 500
+    assert probed < 0.2 * 100 * len(x)
+    assert reranked < 0.02 * 100 * len(x)
+
+
+def test_ann_finds_all_codes_within_a_radius():
+    draw = np.random.default_rng(32)
+    codes = draw.integers(0, 1 << 63, 500, dtype=np.uint64) & draw.integers(0, 1 << 63, 500, dtype=np.uint64)
+    seen: set[int] = set()
+    for radius, rows in ann.Index(codes).grown(codes[7]):
+        assert not seen & set(rows.tolist())
+        seen |= set(rows.tolist())
+        assert set(np.flatnonzero(ann.distances(codes, codes[7]) <= radius).tolist()) <= seen
+    assert len(seen) == 500
+
+
+def test_vectors_of_repeated_ids_and_dotted_names(spark):
+    x = vectors(140)
+    rows = [(i % 50, [float(v) for v in r], "k") for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
+    dotted = df.toDF("vec.id", "the.vec", "id")
+    for found in (ann.nearest(df, F.col("vec_id") < 3), ann.nearest(dotted, F.col("`vec.id`") < 3, id_col="vec.id", vec_col="the.vec")):
+        got = found.collect()
+        assert {r.query_id for r in got} == {0, 1, 2}
+        assert all(r.id != r.query_id for r in got)
+        assert collections.Counter(r.query_id for r in got) == dict.fromkeys(range(3), 5)
+    same = [sorted(map(tuple, f.collect())) for f in (neardup.linked_rows(df), neardup.linked_rows(dotted, "vec.id", "the.vec"))]
+    assert same[0] == same[1]
+    assert len(same[0]) == 140
+
+
 # quality
 
 
