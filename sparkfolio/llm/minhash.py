@@ -8,6 +8,10 @@ make the buckets.  Two documents are linked if they share a bucket and their
 words align with an edit similarity (1 - edits / longer length) of ``ALIKE`` at
 least, computed on the words themselves in a band of that width.
 
+Buckets are made in passes of ``PASS`` sketches, and each pass's shuffle files
+go before the next, so their disk is that of a pass, whatever ``SKETCHES`` is.
+Of the texts only those of leaders travel to a join by leader.
+
 Exact copies are one row from the start.  Every document is first compared with
 one leader, the smallest of all its buckets, then with one leader of each other
 class that leads a bucket of its; so large groups are joined by one or two
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,10 @@ from .components import components
 from .hashing import U64, mix64, salted, slices, text_buffer, windows, word_hashes
 
 SHINGLE, TAKEN, SKETCHES, ALIKE = 5, 2, 96, 0.8
+#: Sketches whose buckets are made together: one pass's shuffle is on disk at a time.
+PASS = 24
+#: Low bits of a bucket's number, which tell the sketch.
+_OF = 127
 #: Rounds of leaders, members of a leader's buckets in one block, and bytes of blocks that a task compares.
 STARS, BLOCK, BIN_BYTES = 3, 1024, 4 << 20
 #: Pairs of a block that are looked at together, pairs of bags, and columns of a product of bags.
@@ -92,10 +101,15 @@ def sketched(hashes: np.ndarray, first: np.ndarray, size: int = SHINGLE, sketche
         ranked[a] = U64(0xFFFFFFFFFFFFFFFF)
         two = np.minimum.reduceat(ranked, begins)
         b = np.where(single, a, begins + (two & low).astype(np.int64) % places)
-        out[rows, i] = mix64(mix64(plain[np.minimum(a, b)]) + plain[np.maximum(a, b)] + U64(i))
+        out[rows, i] = mix64(mix64(plain[np.minimum(a, b)]) + plain[np.maximum(a, b)]) & ~U64(_OF) | U64(i)
     return out
 
 
+def _passes(sketches: int) -> list[str]:
+    """The columns of sketches, ``PASS`` each."""
+    return [f"sketches_{i}" for i in range(0, sketches, PASS)]
+
+
 def _sketch_rows(size: int, sketches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +120,11 @@ def _sketch_rows(size: int, sketches: int):
                 made = sketched(hashes, first, size, sketches)
                 cuts = at.tolist()
                 digest = [hashlib.blake2b(own[x:y], digest_size=16).digest() for x, y in zip(cuts, cuts[1:], strict=False)]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * sketches), pa.array(made.reshape(-1).view(np.int64)))
+                passes = [np.ascontiguousarray(made[:, i : i + PASS]).view(np.int64) for i in range(0, sketches, PASS)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in passes]
                 bag = [x.tobytes() for x in alignment.bags(hashes, first)]
                 count = np.diff(first).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(count), pa.array(bag, pa.binary()), flat], names=["key", "id", "digest", "n_words", "bag", "sketches"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(count), pa.array(bag, pa.binary()), *lists], names=["key", "id", "digest", "n_words", "bag", *_passes(sketches)])
 
     return run
 
@@ -172,14 +187,19 @@ def _stars(members: DataFrame, found: DataFrame | None, star: int) -> DataFrame:
     return each.groupBy("rep", "_class").agg(pick("leader").alias("leader")).select("rep", "leader")
 
 
+def _of_leaders(frame: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of leaders alone: the others needn't travel to a join by leader."""
+    return frame.join(pairs.select(F.col("leader").alias("_leader")).distinct(), F.col("rep") == F.col("_leader"), "left_semi")
+
+
 def _near(pairs: DataFrame, features: DataFrame, alike: float) -> DataFrame:
-    leaders = features.select(F.col("rep").alias("leader"), F.col("n_words").alias("l_words"), F.col("bag").alias("l_bag"))
+    leaders = _of_leaders(features, pairs).select(F.col("rep").alias("leader"), F.col("n_words").alias("l_words"), F.col("bag").alias("l_bag"))
     joined = pairs.join(features, "rep").join(leaders, "leader").select("rep", "leader", "n_words", "l_words", "bag", "l_bag")
     return common.mapped(joined, _near_rows(alike), "rep long, leader long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
-    leaders = texts.select(F.col("rep").alias("leader"), F.col("text").alias("l_text"))
+    leaders = _of_leaders(texts, pairs).select(F.col("rep").alias("leader"), F.col("text").alias("l_text"))
     joined = pairs.join(texts, "rep").join(leaders, "leader").select("rep", "leader", "text", "l_text")
     return common.mapped(joined, _aligned_rows(alike), "rep long, leader long")
 
@@ -344,22 +364,35 @@ def _classes(rows: DataFrame, size: int, sketches: int, alike: float) -> DataFra
     spark = rows.sparkSession
     common.small_batches(spark)
     rows = rows.select("key", "id", "text")
-    made = common.written(common.mapped(rows, _sketch_rows(size, sketches), "key long, id long, digest binary, n_words int, bag binary, sketches array<long>"), "sketches")
-    reps = common.written(made.where("n_words > 0").groupBy("digest").agg(F.min("key").alias("rep")), "reps")
+    passes = _passes(sketches)
+    schema = "key long, id long, digest binary, n_words int, bag binary, " + ", ".join(f"{c} array<long>" for c in passes)
+    made = common.written(common.mapped(rows, _sketch_rows(size, sketches), schema), "sketches")
+    own = common.written(made.select("key", "id", "digest", "n_words"), "own")
+    reps = common.written(own.where("n_words > 0").groupBy("digest").agg(F.min("key").alias("rep")), "reps")
     distinct = made.join(reps.select(F.col("rep").alias("_rep")), F.col("key") == F.col("_rep"), "left_semi")
-    distinct = common.written(distinct.select(F.col("key").alias("rep"), "n_words", "bag", "sketches"), "distinct")
-    features = distinct.select("rep", "n_words", "bag")
-    # a bucket's number tells the sketch as well
-    members = distinct.select("rep", F.posexplode("sketches").alias("i", "value"))
-    shared = members.groupBy("value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_hi")).where("leader < _hi").select(F.col("value").alias("_value"), "leader")
-    members = common.written(members.join(shared, F.col("value") == F.col("_value")).select("i", "rep", "leader"), "buckets")
+    distinct = common.written(distinct.select(F.col("key").alias("rep"), "n_words", "bag", *passes), "distinct")
+    common.dropped(spark, made)
+    features = common.written(distinct.select("rep", "n_words", "bag"), "features")
+    buckets = []
+    for column in passes:
+        each = distinct.select("rep", F.explode(column).alias("value"))
+        shared = each.groupBy("value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_hi")).where("leader < _hi")
+        # the leaders are written, so that the next step knows their size
+        shared = common.written(shared.select(F.col("value").alias("_value"), "leader"), "shared")
+        each = each.join(shared, F.col("value") == F.col("_value"))
+        buckets.append(common.written(each.select(F.col("value").bitwiseAND(F.lit(_OF)).cast("int").alias("i"), "rep", "leader"), "buckets"))
+        common.dropped(spark, shared)
+        del shared, each
+        common.swept(spark)
+    common.dropped(spark, distinct)
+    members = reduce(DataFrame.unionByName, buckets)
     in_buckets = members.select(F.col("rep").alias("_rep")).distinct()
     texts = common.written(rows.select(F.col("key").alias("rep"), "text").join(in_buckets, F.col("rep") == F.col("_rep"), "left_semi"), "texts")
-    common.swept(spark)
 
     tested, found = None, None
-    used = [members, texts, distinct]  # files that the result doesn't read
+    used = [*buckets, texts, features]  # files that the result doesn't read
     for star in range(STARS + 1):
+        common.swept(spark)
         if star < STARS:
             pairs = _near(_stars(members, found, star), features, alike)
         else:
@@ -372,18 +405,19 @@ def _classes(rows: DataFrame, size: int, sketches: int, alike: float) -> DataFra
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = _joined(found, new)
     common.dropped(spark, *used)
-    own = made.select("key", "id", "digest", "n_words")
+    names = common.again(own).select(F.col("key").alias("class_key"), F.col("id").alias("class_id"))
     own = own.join(reps, "digest", "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("key")))
     own = _labelled(own, found, "rep", "class_key")
-    names = made.select(F.col("key").alias("class_key"), F.col("id").alias("class_id"))
     return own.join(names, "class_key").select("key", "id", "class_key", "class_id", "n_words")
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, sketches: int = SKETCHES, alike: float = ALIKE) -> DataFrame:
     """``docs`` with one document of each class: the one of the smallest id. Columns stay as they are."""
     rows = common.keyed(docs, id_col, text_col, whole=True)
-    stay = _classes(rows, size, sketches, alike).where("key = class_key").select("key")
-    return rows.join(stay, "key", "left_semi").select("row.*")
+    # the fewer keys, written: where they are small by their files, the documents need no shuffle
+    gone = common.written(_classes(rows, size, sketches, alike).where("key != class_key").select("key"), "gone")
+    common.swept(rows.sparkSession)
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
