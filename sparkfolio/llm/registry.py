@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html, minhash, mixing, neardup, quality, sharding, substrings, suffixes
+from . import ann, bpe, divergence, html, minhash, mixing, neardup, quality, sharding, substrings, suffixes
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_html": html.query,
         "op9_bpe": bpe.query,
         "op10_mixing": mixing.query,
+        "op13_divergence": divergence.query,
     }
 
 
