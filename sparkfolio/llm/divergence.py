@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 #: Classes of a word's characters, each of what those before leave; what none takes is a last class.
-CLASSES = ("[a-z]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"""[.,;:'"()-]+""", "[!?]+", r"[#*$%&|<>@/\\^_~=+{}\[\]`]+")
+CLASSES = ("[a-z]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"""[.,;:'"()\-]+""", "[!?]+", r"[#*$%&|<>@/\\^_~=+{}\[\]`]+")
 #: Hard rules: fewest words, and the largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Common words in a language's reference, and the most bytes of one.
@@ -200,3 +200,44 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op13: every document by the hard rules and its distance from its language."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return judged(docs).select("doc_id", *[F.col(f"rule_{c}").alias(c) for c in COLUMNS])
+
+
+def _distance_sql(p: str, q: str) -> str:
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p}[i] + {q}[i]) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({q}) + 1), lambda i: {part(f'{p}[i]')} + {part(f'{q}[i]')})) / 2))"
+
+
+_CHAIN_SQL = ", ".join(f"regexp_replace(l{k}, '{c.replace(chr(39), chr(39) * 2)}', '', 'g') AS l{k + 1}" for k, c in enumerate(CLASSES))
+_BINS_SQL = ", ".join([*[f"length(l{k}) - length(l{k + 1})" for k in range(len(CLASSES))], f"length(l{len(CLASSES)})"])
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '{SPACES}', '', 'g') AS l0,
+        regexp_extract_all(coalesce(text, ''), '{WORD}+') AS words FROM documents),
+    chain AS (SELECT *, {_CHAIN_SQL} FROM d),
+    m AS (SELECT *, [{_BINS_SQL}] AS bins, length(l4) - length(regexp_replace(l4, '{SYMBOLS}', '', 'g')) AS signs FROM chain),
+    grams AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
+    twice AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM grams) WHERE n > 1),
+    repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM twice GROUP BY 1),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY 1),
+    used AS (SELECT * FROM m WHERE signs <= {MOST_SYMBOLS} * length(l0) AND length(l1) - length(l2) <= {MOST_CAPITALS} * length(l0) AND len(regexp_extract_all(text, '{SPACES}')) >= {LEAST_WORDS - 1}),
+    counted AS (SELECT lang, CASE WHEN strlen(w) <= {COMMON_BYTES} THEN w END AS word, count(*) AS n FROM (SELECT lang, unnest(words) AS w FROM used) GROUP BY ALL),
+    every AS (SELECT lang, FALSE AS pooled, word, n FROM counted WHERE lang IS NOT NULL UNION ALL SELECT NULL, TRUE, word, sum(n) FROM counted GROUP BY ALL),
+    totals AS (SELECT lang, pooled, sum(n) AS total FROM every GROUP BY ALL),
+    tops AS (SELECT lang, pooled, list(word ORDER BY place) AS words, list(n ORDER BY place) AS ns
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, pooled ORDER BY n DESC, word) AS place FROM every WHERE word IS NOT NULL) WHERE place <= {COMMON} GROUP BY ALL),
+    flat AS (SELECT lang, i, bins[i] AS n FROM used, range(1, {len(CLASSES) + 2}) r(i)),
+    sums AS (SELECT lang, FALSE AS pooled, i, sum(n) AS n FROM flat WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, TRUE, i, sum(n) FROM flat GROUP BY ALL),
+    classes AS (SELECT lang, pooled, list(n::DOUBLE / whole ORDER BY i) AS classes FROM (SELECT *, sum(n) OVER (PARTITION BY lang, pooled) AS whole FROM sums) GROUP BY ALL),
+    refs AS (SELECT totals.lang, pooled, classes, words, list_prepend(greatest(0, 1 - list_sum(list_transform(ns, lambda n: n::DOUBLE / total))), list_transform(ns, lambda n: n::DOUBLE / total)) AS shares
+        FROM totals JOIN tops USING (pooled) JOIN classes USING (pooled)
+        WHERE totals.lang IS NOT DISTINCT FROM tops.lang AND totals.lang IS NOT DISTINCT FROM classes.lang AND (pooled OR total >= {LEAST_SHARE} * (SELECT sum(total) FROM totals WHERE pooled))),
+    compared AS (SELECT m.*, classes, shares, list_prepend(len(m.words) - len(list_filter(m.words, lambda w: list_contains(refs.words, w))), list_transform(refs.words, lambda c: len(list_filter(m.words, lambda w: w = c)))) AS counts
+        FROM m LEFT JOIN refs ON CASE WHEN m.lang IN (SELECT lang FROM refs WHERE NOT pooled) THEN refs.lang = m.lang ELSE pooled END),
+    shared AS (SELECT *, list_transform(bins, lambda x: x / length(l0)) AS p, list_transform(counts, lambda x: x / len(words)) AS w FROM compared),
+    judged AS (SELECT doc_id, len(words) AS n_words, length(l0) AS word_chars, signs, CASE WHEN length(l0) >= {LEAST_CHARS} THEN {_distance_sql("p", "classes")} END AS by_class,
+        CASE WHEN len(words) >= {LEAST_COUNTED} THEN {_distance_sql("w", "shares")} END AS by_word FROM shared),
+    ruled AS (SELECT doc_id, n_words, word_chars, signs AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, by_class, by_word,
+        n_words < {LEAST_WORDS} OR 100 * coalesce(repeats.n, 0) > {MOST_REPEATED} * n_words AS base_failed FROM judged LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(by_class <= {MOST_CLASSES}, TRUE) AND coalesce(by_word <= {MOST_WORDS}, TRUE) AS kept FROM ruled
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, divergence, html, minhash, mixing, neardup, quality, sharding, substrings, suffixes
+from . import ann, bpe, divergence, html, minhash, mixing, neardup, quality, resampling, sharding, substrings, suffixes, target_encoding
 
 
 def queries() -> dict:
@@ -17,9 +17,18 @@ def queries() -> dict:
         "op8_html": html.query,
         "op9_bpe": bpe.query,
         "op10_mixing": mixing.query,
+        "op11_resampling": resampling.query,
+        "op12_target_encoding": target_encoding.query,
         "op13_divergence": divergence.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE_SQL, "op4_neardup": neardup.ORACLE_SQL, "op6_substrings": substrings.ORACLE_SQL}
+    return {
+        "op1_sharding": sharding.ORACLE_SQL,
+        "op4_neardup": neardup.ORACLE_SQL,
+        "op6_substrings": substrings.ORACLE_SQL,
+        "op11_resampling": resampling.ORACLE_SQL,
+        "op12_target_encoding": target_encoding.ORACLE_SQL,
+        "op13_divergence": divergence.ORACLE_SQL,
+    }
