@@ -19,8 +19,9 @@ from .windows import gap_sessions
 
 
 def linkage(links: list[tuple[float, int, int]], members: list[int]) -> dict[int, int]:
-    """Complete linkage: links in order merge two clusters if every pair across is linked; labels are the smallest members."""
-    linked = {(min(a, b), max(a, b)) for _, a, b in links}
+    """Complete linkage: links by distance, then smaller and larger node, merge two clusters if every pair across is linked; labels are the smallest members."""
+    links = [(d, min(a, b), max(a, b)) for d, a, b in links]
+    linked = {(a, b) for _, a, b in links}
     of = {m: [m] for m in members}
     for _, a, b in sorted(links):
         x, y = of[a], of[b]

@@ -7,46 +7,72 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
 from ..sources.shared import written
-from . import cluster, joins
-from .running import percentile_rank
-from .windows import gap_sessions, winners
+from . import cluster, joins, selection
+from .running import gap_numbers, percentile_of, placed
+from .windows import nearest_same_bucket
 
-#: Seconds between near-duplicates at most, and between events at least.
-SPAN, EVENT_GAP = 120, 14_400
+#: Seconds between near-duplicates at most, between events at least, and of a day.
+SPAN, EVENT_GAP, DAY = 120, 14_400, 86_400
 
 
 def similar_links(rows: DataFrame, id_col: str, at: str, vector: str, bits: str, span: float = SPAN, **limits: float) -> DataFrame:
-    """Links ``a``, ``b``, ``distance`` of near-duplicates, undated rows included; vectors may be null. ``limits`` are those of ``cluster.near_links``."""
+    """Links ``a`` < ``b`` with ``distance`` of near-duplicates, undated rows included; vectors may be null. ``limits`` are those of ``cluster.near_links``."""
     pairs = joins.band_pairs(rows, id_col, at, span, [vector, bits])
     known = F.col(f"a_{vector}").isNotNull() & F.col(f"b_{vector}").isNotNull()
     pairs = pairs.withColumn("distance", F.when(known, sc.l2(F.col(f"a_{vector}"), F.col(f"b_{vector}"))))
     pairs = pairs.withColumn("bits", sc.hamming(F.col(f"a_{bits}"), F.col(f"b_{bits}")))
     found = cluster.near_links(pairs, "distance", "bits", **limits)
     # links without a distance come after all others
-    return found.select("a", "b", F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
 def similar_clusters(rows: DataFrame, id_col: str, at: str, vector: str, bits: str, span: float = SPAN, **limits: float) -> DataFrame:
-    """``node`` and ``cluster`` (its smallest node) of the rows in clusters of which every two are linked."""
+    """``node`` and ``cluster`` (its smallest node) of the rows in clusters of which every two are linked.
+
+    Links merge clusters by rising distance, then by their smaller and larger
+    node; so ids should be numbers in the order that breaks ties.
+    """
     links = written(similar_links(rows, id_col, at, vector, bits, span, **limits), "links")
     return cluster.complete_linkage(cluster.connected(links))
 
 
-def finalized(rows: DataFrame, path: str = "path", at: str = "at", vector: str = "print", bits: str = "phash", aesthetic: str = "aesthetic", sharpness: str = "sharpness", faces: str = "faces", skip: str = "is_utility", **limits: float) -> DataFrame:
-    """``rows`` with ``near_dup_cluster`` and ``event_cluster`` (numbers), percentiles, ``face_count`` and ``kept``.
+def resolved_times(rows: DataFrame, id_col: str, wall: str, offset: str) -> DataFrame:
+    """``id_col``, ``utc_offset_sec`` and ``instant`` of each row.
+
+    A row with a wall clock and no offset borrows that of the row nearest in wall
+    clock on the same day, ties to the smaller id; an undated row has neither.
+    The instant is the wall clock less the offset, if there is one.
+    """
+    dated = rows.select(F.col(id_col).alias("_i"), F.col(wall).cast("long").alias("_w"), F.col(offset).cast("long").alias("_o")).where("_w IS NOT NULL")
+    known = dated.where("_o IS NOT NULL")
+    borrowed = nearest_same_bucket(dated.where("_o IS NULL").select("_i", "_w"), known.select(F.col("_i").alias("_k"), F.col("_w").alias("_kw"), "_o"), [], "_w", "_kw", "_i", "_k", DAY)
+    found = known.unionByName(borrowed.select("_i", "_w", "_o"))
+    joined = rows.select(id_col, F.col(wall).cast("long").alias("_wall")).join(found.select("_i", F.col("_o").alias("utc_offset_sec")), F.col(id_col) == F.col("_i"), "left")
+    return joined.select(id_col, "utc_offset_sec", sc.instant(F.col("_wall"), F.col("utc_offset_sec")).alias("instant"))
+
+
+def finalized(rows: DataFrame, path: str = "path", at: str = "at", offset: str | None = None, vector: str = "print", bits: str = "phash", aesthetic: str = "aesthetic", sharpness: str = "sharpness", quality: str | None = None, clipped: tuple[str, ...] = (), faces: str = "faces", skip: str = "is_utility", refused: str | None = None, **limits: float) -> DataFrame:
+    """``rows`` with ``near_dup_cluster``, ``event_cluster``, ``aesthetic_pct``, ``sharpness_pct``, ``face_count``, ``utc_offset_sec``, ``status`` and ``kept``.
 
-    ``path`` is unique.  A cluster's number is the smallest hash of its paths.
-    Missing scores count as 0.  Of each cluster the row of best aesthetic, then
-    sharpness, then smallest path is kept; utility rows never.  The hash column
-    goes, since clients can't hold 64 bits.
+    ``path`` is unique; its order breaks ties.  Clusters are numbered from 0 as
+    their first paths come, events as their instants do.  Missing scores count as
+    0.  Of each cluster the best row by ``selection.survivors`` is kept; utility
+    and refused rows never are, and don't compete.  The hash column goes, since
+    clients can't hold 64 bits.
     """
-    numbered = written(rows.withColumn("_id", F.xxhash64(path)), "rows")
-    named = similar_clusters(numbered.select("_id", at, vector, bits), "_id", at, vector, bits, **limits)
-    out = numbered.join(named, F.col("_id") == F.col("node"), "left").withColumn("near_dup_cluster", F.coalesce("cluster", "_id")).drop("node", "cluster")
-    out = gap_sessions(out.withColumn("_one", F.lit(1)), ["_one"], at, EVENT_GAP, path, "event_cluster").drop("_one")
+    base = placed(rows, [path], "_id")
+    offsets = F.col(offset) if offset else F.lit(None)
+    times = written(resolved_times(base.select("_id", F.col(at).alias("_wall"), offsets.cast("long").alias("_own")), "_id", "_wall", "_own"), "times")
+    linked = similar_clusters(base.select("_id", vector, bits).join(times.select(F.col("_id").alias("_t"), "instant"), F.col("_id") == F.col("_t")), "_id", "instant", vector, bits, **limits)
+    named = written(times.select("_id").join(linked, F.col("_id") == F.col("node"), "left").select("_id", F.coalesce("cluster", "_id").alias("_cluster")), "clusters")
+    numbers = placed(named.where("_id = _cluster").select(F.col("_id").alias("_first")), ["_first"], "near_dup_cluster")
+    named = named.join(numbers, F.col("_cluster") == F.col("_first")).select(F.col("_id").alias("_n"), "near_dup_cluster")
+    events = gap_numbers(times, "instant", EVENT_GAP, "_id", "event_cluster").select(F.col("_id").alias("_e"), "event_cluster", "utc_offset_sec")
+    out = base.join(named, F.col("_id") == F.col("_n")).join(events, F.col("_id") == F.col("_e")).drop("_n", "_e")
     for column, name in ((aesthetic, "aesthetic_pct"), (sharpness, "sharpness_pct")):
-        out = percentile_rank(out.withColumn("_score", F.coalesce(F.col(column).cast("double"), F.lit(0.0))), "_score", name).drop("_score")
-    out = written(out.withColumn("face_count", F.coalesce(F.size(faces), F.lit(0))), "derived")
-    best = winners(out.where(~F.coalesce(F.col(skip), F.lit(False))), ["near_dup_cluster"], [F.desc("aesthetic_pct"), F.desc("sharpness_pct"), F.col(path)])
-    kept = best.select(F.col("_id").alias("_kept"))
-    return out.join(kept, F.col("_id") == F.col("_kept"), "left").withColumn("kept", F.col("_kept").isNotNull()).drop("_kept", "_id", bits)
+        scores = F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("_score")
+        out = out.withColumn("_score", scores).withColumn(name, percentile_of(base.select(scores), "_score")).drop("_score")
+    out = written(out.withColumn("face_count", F.coalesce(F.size(faces), F.lit(0))).withColumn("status", F.lit("ok")), "derived")
+    out_of_contest = F.coalesce(F.col(skip), F.lit(False)) | (F.coalesce(F.col(refused), F.lit(False)) if refused else F.lit(False))
+    kept = selection.survivors(out.where(~out_of_contest), "near_dup_cluster", "_id", "sharpness_pct", quality, "aesthetic_pct", clipped)
+    return out.join(kept.select(F.col("_id").alias("_kept")), F.col("_id") == F.col("_kept"), "left").withColumn("kept", F.col("_kept").isNotNull()).drop("_kept", "_id", bits)

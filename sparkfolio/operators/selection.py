@@ -22,6 +22,26 @@ def cull(rows: DataFrame, cluster: str, order: list[Column], skip: Column, overr
     return contest.unionByName(marked.where("_state = 'include'")).drop("_state")
 
 
+#: Fixed value: the share of clipped pixels past which a picture is badly exposed.
+CLIPPED = 0.9
+
+
+def survivors(rows: DataFrame, cluster: str, key: str, sharpness: str, quality: str | None, aesthetic: str, clipped: tuple[str, ...] = (), limit: float = CLIPPED) -> DataFrame:
+    """``cluster`` and ``key`` of each cluster's best row.
+
+    Well exposed rows (no share of ``clipped`` over ``limit``; unknown is none)
+    come first, then the sharper, then the better face (none is the worst), then
+    the more aesthetic, then the smaller ``key``.  One minimum by cluster, so a
+    hot cluster is one row a task before the shuffle.
+    """
+    exposed = F.lit(True)
+    for c in clipped:
+        exposed &= F.coalesce(F.col(c) <= limit, F.lit(True))
+    face = F.coalesce(F.col(quality).cast("double"), F.lit(-1.0)) if quality else F.lit(-1.0)
+    best = F.struct((~exposed).alias("out"), (-F.col(sharpness)).alias("s"), (-face).alias("q"), (-F.col(aesthetic)).alias("a"), F.col(key).alias("key"))
+    return rows.groupBy(cluster).agg(F.min(best)["key"].alias(key))
+
+
 def evictions(entries: DataFrame, used: str, key: str, size: str, pinned: str, limit: int) -> DataFrame:
     """``evict`` for each entry: unpinned ones go, least recently used first, until the rest fits ``limit``."""
     total = entries.agg(F.sum(size)).first()[0] or 0

@@ -500,7 +500,9 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.when(F.col("label") != 3, F.col("vec_id") + F.col("label") * 86_400)
     place = lambda i: F.element_at("embedding", i).cast("double")
     hashed = (F.col("vec_id") * 2654435761).bitwiseAND(1048575)
-    return rows.select(F.format_string("/%08d", "vec_id").alias("path"), "vec_id", at.alias("at"), F.col("embedding").alias("print"), hashed.alias("phash"), place(1).alias("aesthetic"), place(2).alias("sharpness"), F.slice("embedding", 1, F.pmod("vec_id", F.lit(4)).cast("int")).alias("faces"), (place(3) > 0.3).alias("is_utility"))
+    few = lambda n: F.pmod("vec_id", F.lit(n))
+    extra = [F.when(few(7) == 0, (few(3) - 1) * 3600).alias("offset"), F.when(few(3) > 0, few(3) * 0.25).alias("quality"), F.when(few(11) == 0, 0.95).otherwise(0.1).alias("clipped_low"), F.when(few(13) == 0, 0.92).otherwise(0.0).alias("clipped_high"), (few(17) == 0).alias("refused")]
+    return rows.select(*extra, F.format_string("/%08d", "vec_id").alias("path"), "vec_id", at.alias("at"), F.col("embedding").alias("print"), hashed.alias("phash"), F.round(place(1), 1).alias("aesthetic"), F.round(place(2), 1).alias("sharpness"), F.slice("embedding", 1, F.pmod("vec_id", F.lit(4)).cast("int")).alias("faces"), (place(3) > 0.3).alias("is_utility"))
 
 
 #: Vectors here are farther apart than pictures' are, so limits are wider.
@@ -529,11 +531,29 @@ def link_components(spark, sf_dir):
     return both.distinct()
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, CASE WHEN label <> 3 THEN vec_id + label * 86400 END AS w, CASE WHEN vec_id % 7 = 0 THEN (vec_id % 3 - 1) * 3600 END AS o,
+    CAST(embedding AS DOUBLE[]) AS e, (vec_id * 2654435761) & 1048575 AS h, round(embedding[1]::DOUBLE, 1) AS aes, round(embedding[2]::DOUBLE, 1) AS sharp FROM embeddings),
+  k AS (SELECT a.i, coalesce(a.o, (SELECT arg_min(b.o, abs(b.w - a.w) * 1000000 + b.i) FROM r b WHERE b.o IS NOT NULL AND b.w // 86400 = a.w // 86400)) AS o FROM r a WHERE a.w IS NOT NULL),
+  t AS (SELECT r.*, k.o AS utc, w - coalesce(k.o, 0) AS t FROM r LEFT JOIN k USING (i)),
+  p AS (SELECT a.i AS x, b.i AS y, list_distance(a.e, b.e) AS d, bit_count(xor(a.h, b.h)) AS bits FROM t a JOIN t b ON b.i > a.i AND coalesce(abs(a.t - b.t), 0) <= 120),
+  l AS (SELECT x, y, row_number() OVER (ORDER BY d, x, y) AS k FROM p WHERE d <= 1.0 OR (bits <= 7 AND d <= 1.19)),
+  n AS (SELECT (SELECT count(*) FROM r) AS n, (SELECT list(x * 1000000 + y) FROM l) AS pairs),
+  c(k, c) AS (SELECT 0, range(n) FROM n UNION ALL SELECT l.k, CASE WHEN c[x + 1] <> c[y + 1] AND
+      len(list_filter(pairs, lambda q: (c[q // 1000000 + 1] = c[x + 1] AND c[q % 1000000 + 1] = c[y + 1]) OR (c[q // 1000000 + 1] = c[y + 1] AND c[q % 1000000 + 1] = c[x + 1]))) = len(list_filter(c, lambda q: q = c[x + 1])) * len(list_filter(c, lambda q: q = c[y + 1]))
+      THEN list_transform(c, lambda q: CASE WHEN q = c[y + 1] THEN c[x + 1] ELSE q END) ELSE c END FROM c JOIN l ON l.k = c.k + 1, n),
+  m AS (SELECT unnest(c) AS c, unnest(range(len(c))) AS i FROM c ORDER BY k DESC LIMIT (SELECT count(*) FROM r)),
+  f AS (SELECT i, min(i) OVER (PARTITION BY c) AS first FROM m),
+  g AS (SELECT *, dense_rank() OVER (ORDER BY first) - 1 AS cluster FROM f JOIN t USING (i)),
+  b AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, i) > 14400 THEN 1 ELSE 0 END AS brk FROM g WHERE t IS NOT NULL),
+  v AS (SELECT i, CAST(sum(brk) OVER (ORDER BY t, i) AS BIGINT) AS event FROM b),
+  s AS (SELECT g.*, coalesce(event, (SELECT max(event) + 1 FROM v)) AS event, CAST(round(100.0 * count(*) OVER (ORDER BY aes) / count(*) OVER ()) AS INT) AS aes_pct, CAST(round(100.0 * count(*) OVER (ORDER BY sharp) / count(*) OVER ()) AS INT) AS sharp_pct,
+    e[3] > 0.3 OR vec_id % 17 = 0 AS skip, vec_id % 11 = 0 OR vec_id % 13 = 0 AS dark, CASE WHEN vec_id % 3 > 0 THEN vec_id % 3 * 0.25 ELSE -1 END AS q FROM g LEFT JOIN v USING (i)),
+  z AS (SELECT *, row_number() OVER (PARTITION BY cluster, skip ORDER BY dark, sharp_pct DESC, q DESC, aes_pct DESC, i) AS place FROM s)
+  SELECT printf('/%08d', vec_id) AS path, cluster AS near_dup_cluster, event AS event_cluster, aes_pct AS aesthetic_pct, sharp_pct AS sharpness_pct, CAST(vec_id % 4 AS INT) AS face_count, utc AS utc_offset_sec, NOT skip AND place = 1 AS kept FROM z""")
 def finalized(spark, sf_dir):
     """All that a set of records derives as a whole."""
-    out = finalize.finalized(_records(spark, sf_dir), **WIDE)
-    return out.select("path", "near_dup_cluster", F.col("event_cluster").cast("long").alias("event_cluster"), "aesthetic_pct", "sharpness_pct", "face_count", "kept")
+    out = finalize.finalized(_records(spark, sf_dir), offset="offset", quality="quality", clipped=("clipped_low", "clipped_high"), refused="refused", **WIDE)
+    return out.select("path", "near_dup_cluster", F.col("event_cluster").cast("long").alias("event_cluster"), "aesthetic_pct", "sharpness_pct", "face_count", "utc_offset_sec", "kept")
 
 
 SPEC = pr.PrintSpec(11.0, 8.5, 0.125, 0.5, 0.25, 200, 300)

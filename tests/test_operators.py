@@ -268,7 +268,106 @@ def test_finalized_by_hand(spark):
     assert {"/g"} in groups.values()
     assert not any({"/b", "/c"} <= g for g in groups.values())
     assert [got[p].event_cluster for p in ("/a", "/b", "/c", "/e", "/f", "/g", "/d")] == [0, 0, 0, 1, 1, 2, 3]
-    assert (got["/g"].aesthetic_pct, got["/g"].kept, got["/e"].kept, got["/f"].kept) == (100, False, True, False)
+    assert (got["/g"].aesthetic_pct, got["/g"].kept, got["/e"].kept, got["/f"].kept) == (100, False, False, True)
     assert [got[p].face_count for p in ("/a", "/c", "/d")] == [1, 0, 2]
     assert "phash" not in got["/a"].asDict()
     assert sum(r.kept for r in got.values()) == len(groups) - 1
+    assert sorted({r.near_dup_cluster for r in got.values()}) == list(range(len(groups))) and got["/a"].near_dup_cluster == 0
+    assert {r.status for r in got.values()} == {"ok"}
+
+
+RECORD = "path string, at long, offset int, print array<double>, phash long, aesthetic double, sharpness double, quality double, low double, high double, faces array<int>, is_utility boolean, refused boolean"
+
+
+def _finalized(spark, rows):
+    from sparkfolio.operators import finalize
+
+    frame = spark.createDataFrame(rows, RECORD).repartition(3)
+    return {r.path: r for r in finalize.finalized(frame, offset="offset", quality="quality", clipped=("low", "high"), refused="refused").collect()}
+
+
+@pytest.mark.parametrize(
+    ("better", "worse"),
+    [
+        # aesthetic, sharpness, quality, low, high: what decides, in its order
+        ((0.1, 0.1, None, 0.0, 0.9), (0.9, 0.9, 0.9, 0.95, 0.0)),
+        ((0.1, 0.1, None, 0.9, 0.0), (0.9, 0.9, 0.9, 0.0, 0.91)),
+        ((0.1, 0.9, None, 0.0, 0.0), (0.9, 0.1, 0.9, 0.0, 0.0)),
+        ((0.1, 0.5, 0.2, 0.0, 0.0), (0.9, 0.5, 0.1, 0.0, 0.0)),
+        ((0.1, 0.5, 0.0, 0.0, 0.0), (0.9, 0.5, None, 0.0, 0.0)),
+        ((0.9, 0.5, 0.5, 0.0, 0.0), (0.1, 0.5, 0.5, 0.0, 0.0)),
+    ],
+)
+def test_survivor_of_a_cluster(spark, better, worse):
+    def row(path, score):
+        aesthetic, sharpness, quality, low, high = score
+        return (path, 10, None, [0.0], 0, aesthetic, sharpness, quality, low, high, [], False, False)
+
+    for first, second in ((better, worse), (worse, better)):
+        got = _finalized(spark, [row("/a", first), row("/b", second)])
+        assert {p for p, r in got.items() if r.kept} == {"/a" if first is better else "/b"}
+
+
+def test_survivor_ties_refusals_and_overlooked_rows(spark):
+    same = (None, [0.0], 0, 0.5, 0.5, 0.5, 0.0, 0.0, [])
+    rows = [("/c", 10, *same, False, False), ("/b", 11, *same, False, False), ("/a", 12, *same, True, False), ("/0", 13, *same, False, True)]
+    got = _finalized(spark, rows)
+    assert {p for p, r in got.items() if r.kept} == {"/b"}
+    assert {r.near_dup_cluster for r in got.values()} == {0}
+
+
+def test_offsets_are_borrowed_and_instants_decide(spark):
+    other = ([0.0], 0, 0.5, 0.5, None, 0.0, 0.0, [], False, False)
+    far = ([99.0], 0, 0.5, 0.5, None, 0.0, 0.0, [], False, False)
+    rows = [("/a", 1000, 3600, *other), ("/b", 1100, None, *other), ("/c", 1200, -3600, *far), ("/d", 90_000, None, *far), ("/e", None, 7200, [50.0], *far[1:]), ("/f", 1000 - 3600, None, *far)]
+    got = _finalized(spark, rows)
+    # /b is as near to /a as to /c: the earlier path; /d has nobody on its day, /f lies on the day before
+    assert [got[p].utc_offset_sec for p in ("/a", "/b", "/c", "/d", "/e", "/f")] == [3600, 3600, -3600, None, None, None]
+    assert got["/a"].near_dup_cluster == got["/b"].near_dup_cluster
+    assert len({got[p].near_dup_cluster for p in ("/a", "/c", "/d", "/e", "/f")}) == 5
+    assert [got[p].event_cluster for p in ("/f", "/a", "/c", "/d", "/e")] == [0, 0, 0, 1, 2]
+
+
+def test_equal_links_merge_in_the_order_of_paths(spark):
+    # chains a-b-c by hash alone, whose ends differ by 8 bits: the first two paths join
+    rows = []
+    for k in range(12):
+        for j, bits in enumerate((0, 0b1111, 0b11111111)):
+            rows.append((f"/{k:02}{'abc'[(j + k) % 3]}", k * 1000, None, None, bits, 0.5, 0.5, None, 0.0, 0.0, [], False, False))
+    got = _finalized(spark, rows)
+    for k in range(12):
+        of = {r[0][-1]: r[4] for r in rows if r[0].startswith(f"/{k:02}")}
+        pairs = sorted((x, y) for x in of for y in of if x < y and bin(of[x] ^ of[y]).count("1") <= 4)
+        x, y = pairs[0]
+        alone = ({"a", "b", "c"} - {x, y}).pop()
+        number = {c: got[f"/{k:02}{c}"].near_dup_cluster for c in "abc"}
+        assert number[x] == number[y] != number[alone]
+
+
+def test_running_operators_follow_one_order(spark):
+    from sparkfolio.operators import running
+
+    draw = random.Random(9)
+    rows = [(i, draw.choice([None, 5, 5, 5, draw.randint(0, 900)]), draw.choice([None, float("nan"), 1.0, 1.0, draw.random()])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, at long, x double").repartition(5)
+    places = {r.id: r.place for r in running.placed(df, ["at", "id"]).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [places[r[0]] for r in order] == list(range(500))
+    dated, number, before, want = [r for r in order if r[1] is not None], 0, None, {}
+    for i, at, _ in dated:
+        number += before is not None and at - before > 3
+        before, want[i] = at, number
+    want |= {r[0]: number + 1 for r in rows if r[1] is None}
+    assert {r.id: r.session for r in running.gap_numbers(df, "at", 3, "id").collect()} == want
+    assert {r.session for r in running.gap_numbers(df.where("at IS NULL"), "at", 3, "id").collect()} == {0}
+    total, sums = 0, {}
+    for i, at, _ in dated:
+        total += at
+        sums[i] = total
+    assert {r.id: r.up for r in running.running_sum(df.where("at IS NOT NULL"), "at", ["id"], F.col("at"), "up").collect()} == sums
+    valid = [r[2] for r in rows if r[2] is not None and r[2] == r[2]]
+    pct = lambda x: 0 if x is None or x != x else int(100 * sum(v <= x for v in valid) / len(valid) + 0.5)
+    assert {r.id: r.pct for r in running.percentile_rank(df, "x", "pct").collect()} == {r[0]: pct(r[2]) for r in rows}
+    assert {r.pct for r in running.percentile_rank(df.where("x IS NULL"), "x", "pct").collect()} == {0}
+
+
