@@ -613,3 +613,6 @@ def placement_rules(spark, sf_dir):
     crop = pr.rect(F.lit(0.1), F.lit(0.0), F.lit(0.8), F.lit(1.0))
     verdict = pr.rejects(SPEC, 400 + F.col("l_orderkey") % 30 * 100, F.array(face), crop, F.col("slot"), F.col("side"))
     return rows.select("l_orderkey", "l_linenumber", F.coalesce(verdict, F.lit("stands")).alias("verdict"))
+
+
+from . import picks  # noqa: E402, F401  registers its queries
