@@ -7,15 +7,15 @@ of character classes, and between histograms of the language's most common
 words with all others as one more bin.  Short texts give noisy histograms, so
 each comparison has a least length under which it says nothing.
 
-References are learned from the corpus: words are counted once a language, and
-both histograms follow from that one table of counts.  A language has a
-reference of its own if it holds ``LEAST_SHARE`` of all words, so there are at
-most ``1 / LEAST_SHARE`` of them and their broadcast has a fixed bound; all
-other documents are compared with the counts of all languages together.
+References are learned from the corpus: one pass counts words by language, and a
+second measures every document, whose counts of classes are then added up by
+language.  A language has a reference of its own if it holds ``LEAST_SHARE`` of
+all words, so there are at most ``1 / LEAST_SHARE`` of them and their broadcast
+has a fixed bound; all other documents are compared with all languages together.
 
 Everything about one document is computed inside its row by array functions:
-no text is shuffled, and a task needs about 200 bytes of memory for each word of
-its longest text.  Only counts by language and word are.
+no text is shuffled, only counts are, and a task needs about 200 bytes of memory
+for each word of its longest text.
 """
 
 from __future__ import annotations
@@ -36,12 +36,12 @@ CLASSES = ("[a-z]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"""[.,;:'"()\-]+""", "[!
 #: Hard rules: fewest words, and the largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Common words in a language's reference, and the most bytes of one.
-COMMON, COMMON_BYTES = 32, 12
+COMMON, COMMON_BYTES = 32, 8
 #: Fewest characters and words that a histogram is compared from.
 LEAST_CHARS, LEAST_COUNTED = 200, 100
 #: Largest Jensen-Shannon distances of a document that is kept.
 MOST_CLASSES, MOST_WORDS = 0.22, 0.35
-#: Documents with a larger share of symbols or of capitals among their characters aren't counted in references.
+#: Documents with a larger share of symbols or of capitals aren't counted in references of classes.
 MOST_SYMBOLS, MOST_CAPITALS = 0.02, 0.3
 #: Share of all words that gives a language its own reference.
 LEAST_SHARE = 0.001
@@ -119,78 +119,92 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: int = COMMON, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """One row a language with a reference, and one of all languages together (``lang`` null).
+def _all_languages() -> Column:
+    return F.lit(None).cast("string").alias("lang")
 
-    ``classes`` are shares of character classes; ``words`` the most common words
-    (ties: smaller first) and ``shares`` theirs, after the share of all others.
-    Documents of fewer than ``least_words`` words, of many symbols or mostly
-    capitals aren't counted.
+
+def _joined(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """``rows`` with the other columns of ``refs`` (lang, null for all languages; at most 1 / LEAST_SHARE rows) of their ``_known``."""
+    return rows.join(F.broadcast(refs.withColumnRenamed("lang", "_lang")), F.col("_known").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+
+
+def word_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: int = COMMON, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """One row a language with a reference, and one of all languages together (``lang`` null), written.
+
+    ``words`` are the most common words with a letter (ties: smaller first) and
+    ``shares`` theirs, after the share of all others.  Documents of fewer than
+    ``least_words`` words aren't counted.
     """
-    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = rows.withColumn("letters", F.regexp_replace("text", SPACES, "")).withColumn("left", F.regexp_replace("letters", "[a-z]+", ""))
-    signs, capitals = F.length("left") - F.length(F.regexp_replace("left", SYMBOLS, "")), F.length("left") - F.length(F.regexp_replace("left", r"\p{Lu}+", ""))
-    rows = rows.where((signs <= MOST_SYMBOLS * F.length("letters")) & (capitals <= MOST_CAPITALS * F.length("letters")))
-    long_enough = F.regexp_count("text", F.lit(SPACES)) >= least_words - 1
-    listed = rows.where(long_enough).select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), words_of(F.col(f"`{text_col}`").cast("string")).alias("w")).where(F.size("w") >= least_words)
     short = F.when(F.octet_length("word") <= COMMON_BYTES, F.col("word"))  # all longer words are one row of counts
-    own = common.written(listed.groupBy("lang", short.alias("word")).agg(F.count("*").alias("n")), "words")
-    letters = with_classes(rows.where(long_enough).select("lang", "letters"), "letters").groupBy("lang").agg(*[F.sum(c).alias(c) for c in BINS])
-    classes = common.written(letters, "classes")
-    pooled = own.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n", F.lit(True).alias("pooled"))
+    own = common.written(rows.select("lang", F.explode("w").alias("word")).groupBy("lang", short.alias("word")).agg(F.count("*").alias("n")), "words")
+    pooled = own.groupBy("word").agg(F.sum("n").alias("n")).select(_all_languages(), "word", "n", F.lit(True).alias("pooled"))
     every = own.where("lang IS NOT NULL").withColumn("pooled", F.lit(False)).unionByName(pooled)
-    all_classes = classes.agg(*[F.sum(c).alias(c) for c in BINS]).select(F.lit(None).cast("string").alias("lang"), *BINS, F.lit(True).alias("pooled"))
-    classes = classes.where("lang IS NOT NULL").withColumn("pooled", F.lit(False)).unionByName(all_classes)
     totals = every.groupBy("lang", "pooled").agg(F.sum("n").alias("total"))
     place = F.row_number().over(W.partitionBy("lang", "pooled").orderBy(F.desc("n"), "word"))
-    tops = every.where("word IS NOT NULL").withColumn("place", place).where(F.col("place") <= common_words)
-    tops = tops.groupBy("lang", "pooled").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("tops"))
-    for other in (tops, classes):
-        other = other.withColumnRenamed("lang", "_lang").withColumnRenamed("pooled", "_pooled")
-        totals = totals.join(other, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("pooled") == F.col("_pooled"))).drop("_lang", "_pooled")
-    bins = F.array(*[F.col(c).cast("double") for c in BINS])
-    whole = F.aggregate(bins, F.lit(0.0), lambda a, b: a + b)
+    tops = every.where(F.col("word").rlike(r"\p{L}")).withColumn("place", place).where(F.col("place") <= common_words)
+    tops = tops.groupBy(F.col("lang").alias("_lang"), F.col("pooled").alias("_pooled")).agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("tops"))
+    made = totals.join(tops, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("pooled") == F.col("_pooled")))
     shares = F.transform("tops", lambda t: t["n"] / F.col("total"))
     rest = F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
-    made = totals.select("lang", "pooled", "total", F.transform(bins, lambda c: c / whole).alias("classes"), F.transform("tops", lambda t: t["word"]).alias("words"), F.concat(F.array(rest), shares).alias("shares"))
-    made = common.written(made, "references")
-    every_word = F.broadcast(made.where("pooled").select(F.col("total").alias("all")))  # one row
-    return made.join(every_word).where(F.col("pooled") | (F.col("total") >= least_share * F.col("all"))).drop("pooled", "all")
-
-
-def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_classes: float = MOST_CLASSES, most_words: float = MOST_WORDS) -> DataFrame:
-    """``docs`` with the measures, both distances, ``base_failed`` and ``kept`` (prefixed ``rule_``).
-
-    The prefix gets underscores in front while a column of ``docs`` has such a
-    name.  A distance is null where the text is too short for it or no document
-    is long enough for a reference; a null distance refuses nothing.  Null and
-    empty texts have no words and fail.  Repeated rows are judged one by one, and
-    they count each in the references.  A null or rare language is compared with
-    all languages together.  Very long texts are judged whole.  An empty table
-    gives an empty result.
+    made = common.written(made.select("lang", "pooled", "total", F.transform("tops", lambda t: t["word"]).alias("words"), F.concat(F.array(rest), shares).alias("shares")), "references")
+    whole = made.where("pooled").agg(F.sum("total")).first()[0] or 0
+    return made.where(F.col("pooled") | (F.col("total") >= F.lit(least_share) * F.lit(whole))).select("lang", "words", "shares")
+
+
+def class_references(measured: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``lang`` (null: all languages together) and ``classes``, the shares of character classes in it.
+
+    ``measured`` has ``_known``, ``_bins``, ``rule_n_words``, ``rule_n_symbols``
+    and ``rule_word_chars``.  Short documents, those of many symbols and those
+    mostly of capitals aren't counted.
+    """
+    chars = F.col("rule_word_chars")
+    plain = (F.col("rule_n_words") >= least_words) & (F.col("rule_n_symbols") <= MOST_SYMBOLS * chars) & (F.get("_bins", 1) <= MOST_CAPITALS * chars)
+    sums = measured.where(plain).groupBy("_known").agg(*[F.sum(F.get("_bins", k)).alias(c) for k, c in enumerate(BINS)])
+    sums = common.written(sums, "classes")  # a row for each language
+    rows = sums.where("_known IS NOT NULL").withColumnRenamed("_known", "lang").unionByName(sums.agg(*[F.sum(c).alias(c) for c in BINS]).select(_all_languages(), *BINS))
+    bins = F.array(*[F.col(c).cast("double") for c in BINS])
+    whole = F.aggregate(bins, F.lit(0.0), lambda a, b: a + b)
+    return rows.select("lang", F.when(whole > 0, F.transform(bins, lambda c: c / whole)).alias("classes"))
+
+
+def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, most_classes: float = MOST_CLASSES, most_words: float = MOST_WORDS) -> DataFrame:
+    """``docs`` (or only their columns ``keep``) with the measures, both distances, ``base_failed`` and ``kept`` (prefixed ``rule_``).
+
+    What is returned of a document is written once with its measures.  The prefix
+    gets underscores in front while a column kept has such a name.  A distance is
+    null where the text is too short for it or no document is long enough for a
+    reference; a null distance refuses nothing.  Null and empty texts have no
+    words and fail.  Repeated rows are judged one by one, and they count each in
+    the references.  A null or rare language is compared with all languages
+    together.  Very long texts are judged whole.  An empty table gives an empty
+    result.
     """
-    refs = references(docs, text_col, lang_col)
-    named = F.broadcast(refs.select(F.col("lang").alias("_lang"), F.col("classes").alias("_classes"), F.col("words").alias("_words"), F.col("shares").alias("_shares")))
+    kept = docs.columns if keep is None else keep
+    refs = word_references(docs, text_col, lang_col)
     known = F.broadcast(refs.where("lang IS NOT NULL").select(F.col("lang").alias("_known")))  # as many rows as references at most
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{lang_col}`").cast("string").alias("_own"), text)
-    rows = rows.join(known, F.col("_own") == F.col("_known"), "left").join(named, F.col("_known").eqNullSafe(F.col("_lang")), "left")
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{lang_col}`").cast("string").alias("_own"), text)
+    rows = _joined(rows.join(known, F.col("_own") == F.col("_known"), "left"), refs.withColumnRenamed("words", "_words").withColumnRenamed("shares", "_shares"))
     rows = rows.withColumn("_list", words_of(F.col("_text"))).withColumn("_letters", F.array_join("_list", ""))
     rows = with_classes(rows, "_letters").withColumn("_n", F.size("_list").cast("long")).withColumn("_chars", F.length("_letters").cast("long"))
-    hits = F.filter(F.transform("_list", lambda w: F.array_position(F.col("_words"), w)), lambda at: at > 0)
+    hits = F.array_remove(F.transform("_list", lambda w: F.array_position(F.col("_words"), w)), F.lit(0).cast("long"))
     counts = lambda h: F.concat(F.array(F.col("_n") - F.size(h)), F.transform(F.sequence(F.lit(1), F.size("_words")), lambda k: (F.size(h) - F.size(F.array_remove(h, k.cast("long")))).cast("long")))
     shares = lambda c, whole: F.transform(c, lambda x: x / whole)
     found = {"n_words": F.col("_n"), "word_chars": F.col("_chars"), "n_symbols": F.col("_signs"), "n_dup_lines": duplicate_lines(F.col("_text")), "n_repeat_words": repeated_words(F.col("_list"))}
-    by_class = F.when(F.col("_chars") >= LEAST_CHARS, distance(shares(F.array(*BINS), F.col("_chars")), F.col("_classes")))
     by_word = F.when(F.col("_n") >= LEAST_COUNTED, distance(shares(_let(hits, counts), F.col("_n")), F.col("_shares")))
-    rows = rows.select("_row", *[c.alias(f"rule_{k}") for k, c in found.items()], by_class.alias("rule_class_distance"), by_word.alias("rule_word_distance"))
+    rows = common.written(rows.select("_row", "_known", *[c.alias(f"rule_{k}") for k, c in found.items()], by_word.alias("rule_word_distance"), F.array(*BINS).alias("_bins")), "measured")
+    by_class = F.when(F.col("rule_word_chars") >= LEAST_CHARS, distance(shares(F.col("_bins"), F.col("rule_word_chars")), F.col("classes")))
+    rows = _joined(rows, class_references(rows)).withColumn("rule_class_distance", by_class)
     failed = (F.col("rule_n_words") < LEAST_WORDS) | (100 * F.col("rule_n_repeat_words") > MOST_REPEATED * F.col("rule_n_words"))
     near = F.coalesce(F.col("rule_class_distance") <= most_classes, F.lit(True)) & F.coalesce(F.col("rule_word_distance") <= most_words, F.lit(True))
     rows = rows.withColumn("rule_base_failed", failed).withColumn("rule_kept", ~failed & near)
-    names, prefix = rows.columns[1:], "rule_"
-    while {prefix + x.removeprefix("rule_") for x in names} & {c.lower() for c in docs.columns}:
+    names = [f"rule_{k}" for k in (*found, "class_distance", "word_distance", "base_failed", "kept")]
+    prefix = "rule_"
+    while {prefix + x.removeprefix("rule_") for x in names} & {c.lower() for c in kept}:
         prefix = "_" + prefix
-    return rows.select("_row.*", *[F.col(x).alias(prefix + x.removeprefix("rule_")) for x in names])
+    return rows.select(*[F.col(f"_row.`{c}`") for c in kept], *[F.col(x).alias(prefix + x.removeprefix("rule_")) for x in names])
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -199,7 +213,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def query(spark, sf_dir: str) -> DataFrame:
     """op13: every document by the hard rules and its distance from its language."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return judged(docs).select("doc_id", *[F.col(f"rule_{c}").alias(c) for c in COLUMNS])
+    return judged(docs, keep=["doc_id"]).select("doc_id", *[F.col(f"rule_{c}").alias(c) for c in COLUMNS])
 
 
 def _distance_sql(p: str, q: str) -> str:
@@ -219,20 +233,20 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_replace(coale
     twice AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM grams) WHERE n > 1),
     repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM twice GROUP BY 1),
     lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY 1),
-    used AS (SELECT * FROM m WHERE signs <= {MOST_SYMBOLS} * length(l0) AND length(l1) - length(l2) <= {MOST_CAPITALS} * length(l0) AND len(regexp_extract_all(text, '{SPACES}')) >= {LEAST_WORDS - 1}),
-    counted AS (SELECT lang, CASE WHEN strlen(w) <= {COMMON_BYTES} THEN w END AS word, count(*) AS n FROM (SELECT lang, unnest(words) AS w FROM used) GROUP BY ALL),
+    counted AS (SELECT lang, CASE WHEN strlen(w) <= {COMMON_BYTES} THEN w END AS word, count(*) AS n FROM (SELECT lang, unnest(words) AS w FROM d WHERE len(words) >= {LEAST_WORDS}) GROUP BY ALL),
     every AS (SELECT lang, FALSE AS pooled, word, n FROM counted WHERE lang IS NOT NULL UNION ALL SELECT NULL, TRUE, word, sum(n) FROM counted GROUP BY ALL),
     totals AS (SELECT lang, pooled, sum(n) AS total FROM every GROUP BY ALL),
     tops AS (SELECT lang, pooled, list(word ORDER BY place) AS words, list(n ORDER BY place) AS ns
-        FROM (SELECT *, row_number() OVER (PARTITION BY lang, pooled ORDER BY n DESC, word) AS place FROM every WHERE word IS NOT NULL) WHERE place <= {COMMON} GROUP BY ALL),
-    flat AS (SELECT lang, i, bins[i] AS n FROM used, range(1, {len(CLASSES) + 2}) r(i)),
-    sums AS (SELECT lang, FALSE AS pooled, i, sum(n) AS n FROM flat WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, TRUE, i, sum(n) FROM flat GROUP BY ALL),
-    classes AS (SELECT lang, pooled, list(n::DOUBLE / whole ORDER BY i) AS classes FROM (SELECT *, sum(n) OVER (PARTITION BY lang, pooled) AS whole FROM sums) GROUP BY ALL),
-    refs AS (SELECT totals.lang, pooled, classes, words, list_prepend(greatest(0, 1 - list_sum(list_transform(ns, lambda n: n::DOUBLE / total))), list_transform(ns, lambda n: n::DOUBLE / total)) AS shares
-        FROM totals JOIN tops USING (pooled) JOIN classes USING (pooled)
-        WHERE totals.lang IS NOT DISTINCT FROM tops.lang AND totals.lang IS NOT DISTINCT FROM classes.lang AND (pooled OR total >= {LEAST_SHARE} * (SELECT sum(total) FROM totals WHERE pooled))),
-    compared AS (SELECT m.*, classes, shares, list_prepend(len(m.words) - len(list_filter(m.words, lambda w: list_contains(refs.words, w))), list_transform(refs.words, lambda c: len(list_filter(m.words, lambda w: w = c)))) AS counts
-        FROM m LEFT JOIN refs ON CASE WHEN m.lang IN (SELECT lang FROM refs WHERE NOT pooled) THEN refs.lang = m.lang ELSE pooled END),
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, pooled ORDER BY n DESC, word) AS place FROM every WHERE regexp_matches(word, '\p{{L}}')) WHERE place <= {COMMON} GROUP BY ALL),
+    refs AS (SELECT totals.lang, pooled, words, list_prepend(greatest(0, 1 - list_sum(list_transform(ns, lambda n: n::DOUBLE / total))), list_transform(ns, lambda n: n::DOUBLE / total)) AS shares
+        FROM totals JOIN tops USING (pooled) WHERE totals.lang IS NOT DISTINCT FROM tops.lang AND (pooled OR total >= {LEAST_SHARE} * (SELECT sum(total) FROM totals WHERE pooled))),
+    o AS (SELECT m.*, k.lang AS own FROM m LEFT JOIN refs k ON k.lang = m.lang),
+    used AS (SELECT * FROM o WHERE signs <= {MOST_SYMBOLS} * length(l0) AND length(l1) - length(l2) <= {MOST_CAPITALS} * length(l0) AND len(words) >= {LEAST_WORDS}),
+    flat AS (SELECT own, i, bins[i] AS n FROM used, range(1, {len(CLASSES) + 2}) r(i)),
+    sums AS (SELECT own, FALSE AS pooled, i, sum(n) AS n FROM flat WHERE own IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, TRUE, i, sum(n) FROM flat GROUP BY ALL),
+    classes AS (SELECT own, list(n::DOUBLE / whole ORDER BY i) AS classes FROM (SELECT *, sum(n) OVER (PARTITION BY own, pooled) AS whole FROM sums) GROUP BY own),
+    compared AS (SELECT o.*, classes, shares, list_prepend(len(o.words) - len(list_filter(o.words, lambda w: list_contains(refs.words, w))), list_transform(refs.words, lambda c: len(list_filter(o.words, lambda w: w = c)))) AS counts
+        FROM o LEFT JOIN refs ON refs.lang IS NOT DISTINCT FROM o.own LEFT JOIN classes ON classes.own IS NOT DISTINCT FROM o.own),
     shared AS (SELECT *, list_transform(bins, lambda x: x / length(l0)) AS p, list_transform(counts, lambda x: x / len(words)) AS w FROM compared),
     judged AS (SELECT doc_id, len(words) AS n_words, length(l0) AS word_chars, signs, CASE WHEN length(l0) >= {LEAST_CHARS} THEN {_distance_sql("p", "classes")} END AS by_class,
         CASE WHEN len(words) >= {LEAST_COUNTED} THEN {_distance_sql("w", "shares")} END AS by_word FROM shared),
