@@ -1,15 +1,16 @@
 """Time-ordered target encoding: counts and hits of a value's past in other folds, by prefix sums of fold vectors.
 
 Rows carry a time, a fold, a count and hits, and a value in each encoded column.
-Every (column, value, time, row) is an entry; entries are sorted in ranges, so
-a range is a chunk of bounded size wherever a value, a time or a sale is hot.
-In a chunk the entries of one value and time are pivoted into one vector with a
+Every (column, value, time, row) is an entry; entries are sorted in ranges and
+each range is read in chunks, so a chunk has a bounded size wherever a value, a
+time or a sale is hot.  In a chunk the entries of one value and time are pivoted into one vector with a
 count and hits for each fold; a prefix scan adds the vectors of a value up, and
 an entry takes the total less its own fold's part at its latest strictly
 earlier vector.  A chunk also tells what its last value came to, so what the
 first value of a chunk missed is a prefix sum over those short rows: a tree of
 windows of ``FAN`` rows at most.  No task, broadcast or driver sees anything
-that grows with the input; the driver knows counts only.
+that grows with the input: the driver knows counts, and the bounds of at most
+``RANGES`` ranges from a sample of fixed size.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from pyspark.sql import types as T
 from . import common
 from .resampling import CRC_SQL
 
-#: Entries of a chunk on average, and most rows of a window of the tree above the chunks.
+#: Entries of a chunk, and most rows of a window of the tree above the chunks.
 CHUNK, FAN = 250_000, 1024
+#: Most ranges of the sort, and rows sampled for their bounds (Spark takes three times as many).
+RANGES = SAMPLED = 8192
+#: Chunks of a range are numbered by so many low bits.
+PIECE_BITS = 20
 FOLDS = 5
 #: Prior rate of all history in millionths, its weight in rows, and fewest rows of a rate of one's own.
 PRIOR, WEIGHT, LEAST = 500_000, 50, 1
@@ -88,9 +93,9 @@ def _scan(table: pa.Table, chunk: int, folds: int) -> Iterator[pa.RecordBatch]:
     nulls = lambda kind: pa.nulls(size, kind)
     edge_type, list_type = pa.struct([pa.field(f"{s}_{c}", k) for s in ("first", "last") for c, k in (("col", pa.int32()), ("str", pa.string()), ("num", pa.int64()), ("t", pa.int64()))]), pa.list_(pa.int64())
     names = ["chunk", "open", "id", "col", "fold", "n", "s", "edge", "earlier", "latest"]
-    main = [pa.array(np.full(size, chunk, dtype=np.int32)), pa.array(open_), table["id"].combine_chunks(), table["col"].combine_chunks(), table["fold"].combine_chunks(), pa.array(found[0]), pa.array(found[1]), nulls(edge_type), nulls(list_type), nulls(list_type)]
+    main = [pa.array(np.full(size, chunk, dtype=np.int64)), pa.array(open_), table["id"].combine_chunks(), table["col"].combine_chunks(), table["fold"].combine_chunks(), pa.array(found[0]), pa.array(found[1]), nulls(edge_type), nulls(list_type), nulls(list_type)]
     edge = {f"{side}_{c}": table[c][k].as_py() for side, k in (("first", 0), ("last", size - 1)) for c in (*KEY, "t")}
-    last = [pa.array([chunk], pa.int32()), pa.array([-1], pa.int32()), *[pa.nulls(1, x.type) for x in main[2:7]], pa.array([edge], edge_type), pa.array([before[-1].tolist()], list_type), pa.array([vectors[-1].tolist()], list_type)]
+    last = [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), *[pa.nulls(1, x.type) for x in main[2:7]], pa.array([edge], edge_type), pa.array([before[-1].tolist()], list_type), pa.array([vectors[-1].tolist()], list_type)]
     for arrays in (main, last):
         yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -115,16 +120,20 @@ def prefix_sums(rows: DataFrame, sums: list[str], top: int, fan: int = FAN) -> D
 def _carried(scanned: DataFrame, folds: int, fan: int) -> DataFrame:
     """For each chunk, counts and hits of other folds that its first value has in the chunks before: with the chunk's first time, and without."""
     edges = scanned.where("edge IS NOT NULL").select("chunk", "edge.*", "earlier", "latest")
+    low = F.col("chunk").bitwiseAND((1 << PIECE_BITS) - 1)
+    ranges, pieces = (x + 1 if x is not None else 1 for x in edges.agg(F.max(F.shiftright("chunk", PIECE_BITS)), F.max(low)).first())
+    edges = edges.withColumn("place", F.shiftright("chunk", PIECE_BITS) * pieces + low)
     sums = [f"v{k}" for k in range(2 * folds)]
     group = lambda side, tie: F.struct(F.lit(tie).alias("tie"), *[F.col(f"{side}_{c}").alias(c) for c in KEY], (F.col(f"{side}_t") if tie else F.lit(None).cast("long")).alias("t")).alias("group")
     parts = []
     for tie in (False, True):
         given = [(F.col("latest")[k] + (F.lit(0) if tie else F.col("earlier")[k])).alias(v) for k, v in enumerate(sums)]
-        parts.append(edges.select(group("last", tie), (2 * F.col("chunk") + 1).cast("long").alias("seq"), *given))
-        parts.append(edges.select(group("first", tie), (2 * F.col("chunk")).cast("long").alias("seq"), *[F.lit(0).cast("long").alias(v) for v in sums]))
+        parts.append(edges.select(group("last", tie), (2 * F.col("place") + 1).alias("seq"), *given))
+        parts.append(edges.select(group("first", tie), (2 * F.col("place")).alias("seq"), *[F.lit(0).cast("long").alias(v) for v in sums]))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    top = 2 * (edges.agg(F.max("chunk")).first()[0] or 0) + 2
-    found = prefix_sums(rows, sums, top, fan).where("seq % 2 = 0").select(F.floor(F.col("seq") / 2).cast("int").alias("chunk"), F.col("group.tie").alias("tie"), *sums)
+    place = F.shiftright("seq", 1)
+    chunk = F.shiftleft(F.floor(place / pieces), PIECE_BITS) + place % pieces
+    found = prefix_sums(rows, sums, 2 * ranges * pieces, fan).where("seq % 2 = 0").select(chunk.alias("chunk"), F.col("group.tie").alias("tie"), *sums)
     both = found.groupBy("chunk").agg(*[F.sum(F.when(~F.col("tie"), F.col(v))).alias(f"a{v}") for v in sums], *[F.sum(F.when(F.col("tie"), F.col(v))).alias(f"b{v}") for v in sums])
 
     def others(kind: int, tied: bool) -> Column:
@@ -146,16 +155,28 @@ def histories(rows: DataFrame, columns: list[str], folds: int = FOLDS, chunk: in
     frame, since they are read several times.  Null is a value like any other.
     """
     entries = _entries(rows, columns)
-    chunks = common.parts(rows.sparkSession, rows.count() * len(columns), chunk)
+    spark = rows.sparkSession
+    ranges = min(RANGES, common.parts(spark, rows.count() * len(columns), chunk))
     order = [*KEY, "t", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is not None:
-            yield from _scan(table, TaskContext.get().partitionId(), folds)
-
-    schema = f"chunk int, open int, id long, col int, fold int, n long, s long, edge struct<{_EDGE.replace(' int', ':int').replace(' string', ':string').replace(' long', ':long')}>, earlier array<long>, latest array<long>"
-    scanned = common.written(common.mapped(entries.repartitionByRange(chunks, *order).sortWithinPartitions(*order), run, schema), "scanned")
+        own, held = TaskContext.get().partitionId() << PIECE_BITS, []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= chunk:
+                yield from _scan(pa.Table.from_batches(held), own, folds)
+                own, held = own + 1, []
+        if sum(b.num_rows for b in held):
+            yield from _scan(pa.Table.from_batches(held), own, folds)
+
+    schema = f"chunk long, open int, id long, col int, fold int, n long, s long, edge struct<{_EDGE.replace(' int', ':int').replace(' string', ':string').replace(' long', ':long')}>, earlier array<long>, latest array<long>"
+    setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(max(1, SAMPLED // ranges)))
+    try:
+        scanned = common.written(common.mapped(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order), run, schema), "scanned")
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     carried = _carried(scanned, folds, fan)
     main = scanned.where("edge IS NULL").select("chunk", "open", "id", "col", "fold", "n", "s").join(carried, F.col("chunk") == F.col("_chunk"), "left")
     more = lambda k: F.when(F.col("open") == 1, F.get(f"{k}_tied", "fold")).when(F.col("open") == 2, F.get(f"{k}_all", "fold")).otherwise(F.lit(0))

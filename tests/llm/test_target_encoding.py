@@ -19,12 +19,15 @@ def brute(rows, col, row):
     return sum(r[3] for r in past), sum(r[4] for r in past)
 
 
-@pytest.mark.parametrize(("chunk", "fan"), [(10_000, 1024), (25, 3), (7, 2)])
-def test_histories(spark, chunk, fan):
+@pytest.mark.parametrize(("chunk", "fan", "ranges"), [(10_000, 1024, 8192), (25, 3, 8192), (7, 2, 3)])
+def test_histories(spark, monkeypatch, chunk, fan, ranges):
+    monkeypatch.setattr(te, "RANGES", ranges)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     draw = random.Random(chunk)
     rows = [(i, draw.choice([5, 5, 5, draw.randint(0, 9), draw.randint(0, 400)]), draw.randrange(5), draw.randint(0, 3), draw.randint(0, 2), draw.choice(["x", "x", "x", "y", None, "null"]), draw.choice([7, 7, -1, None, draw.randint(0, 3)])) for i in range(400)]
     df = spark.createDataFrame(rows, ROWS).repartition(3)
     got = {r.id: (r.a_n, r.a_s, r.b_n, r.b_s) for r in te.histories(df, ["a", "b"], chunk=chunk, fan=fan).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {r[0]: brute(rows, 5, r) + brute(rows, 6, r) for r in rows}
 
 
