@@ -27,11 +27,11 @@ def contains(outer: Column, inner: Column) -> Column:
 
 
 def intersect(a: Column, b: Column) -> Column:
-    """The shared rectangle, null where there is none."""
+    """The shared rectangle, null where there is none or a rectangle is unknown; least() and greatest() would pass over a null."""
     x, y = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
     w = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x
     h = F.least(a["y"] + a["h"], b["y"] + b["h"]) - y
-    return F.when((w > 0) & (h > 0), rect(x, y, w, h))
+    return F.when(a["x"].isNotNull() & b["x"].isNotNull() & (w > 0) & (h > 0), rect(x, y, w, h))
 
 
 def shared_area(a: Column, b: Column) -> Column:
@@ -80,7 +80,8 @@ def retention(crop: Column, box: Column, unknown: float = 0.5) -> Column:
 
 def gap_distance(a: Column, b: Column, saturates: float = 3600.0) -> Column:
     """Seconds between two times as 0 to 1; 0.5 where one is unknown."""
-    return F.coalesce(F.least(F.lit(1.0), F.abs(a - b) / saturates), F.lit(0.5))
+    gap = F.abs(a - b) / saturates
+    return F.when(gap.isNull(), F.lit(0.5)).otherwise(F.least(F.lit(1.0), gap))  # least() passes over nulls
 
 
 def colour_distance(a: Column, b: Column) -> Column:

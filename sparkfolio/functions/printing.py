@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geometry import area, contains, intersect, rect, shared_area
+from .scalar import once
 
 SLACK = 1e-9
 #: Rules of layouts have more room.
@@ -109,9 +110,9 @@ def face_rejection(spec: PrintSpec, faces: Column, crop: Column, slot: Column, s
     """What the first offending face breaks: 'clipped', 'gutter' or 'safe margin'; null if none does. Faces outside the crop don't count."""
 
     def broken(face: Column) -> Column:
-        page = in_page(face, crop, slot)
         cut = ~contains(crop, face)
-        return F.when(cut & intersect(face, crop).isNotNull(), "clipped").when(cut | page.isNull(), None).when(~clear_of_gutter(spec, page, side), "gutter").when(~in_safe_margin(spec, page, side), "safe margin")
+        lies = lambda page: F.when(page.isNull(), None).when(~clear_of_gutter(spec, page, side), "gutter").when(~in_safe_margin(spec, page, side), "safe margin")
+        return F.when(cut & intersect(face, crop).isNotNull(), "clipped").when(cut, None).otherwise(once(in_page(face, crop, slot), lies))
 
     return F.try_element_at(F.filter(F.transform(faces, broken), lambda b: b.isNotNull()), F.lit(1))
 
@@ -122,12 +123,16 @@ def rejects(spec: PrintSpec, width: Column, faces: Column, crop: Column, slot: C
 
 
 def face_quality(quality: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality)), F.lit(0.5))
+    return F.when(quality.isNull(), F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality)))  # least() passes over nulls
 
 
 def gutter_saliency(spec: PrintSpec, salient: Column, crop: Column, slot: Column, side: Column) -> Column:
     """The share of the visible salient box that stays out of the fold; 1 where there is none."""
-    page = in_page(intersect(salient, crop), crop, slot)
+    return fold_free(spec, in_page(intersect(salient, crop), crop, slot), side)
+
+
+def fold_free(spec: PrintSpec, page: Column, side: Column) -> Column:
+    """The share of a box of the page that stays out of the fold; 1 for none."""
     share = 1 - gutter_overlap_area(spec, page, side) / area(page)
     return F.coalesce(F.when(area(page) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))), F.lit(1.0))
 

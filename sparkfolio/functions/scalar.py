@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0088
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also inside array functions, where Spark shares no subexpressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def signed_bits(unsigned: Column) -> Column:
     """A decimal that holds an unsigned 64-bit number, as the long of the same bits."""
     wide = unsigned.cast("decimal(20,0)")

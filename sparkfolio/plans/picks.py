@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import firstcome
+from ..operators import firstcome, layouts
 from ..operators.running import percentile_of
-from .queries import LAT, LON, query, table
+from .queries import LAT, LON, SPEC, query, table
 
 PLACE_KM = 700.0
 
@@ -52,3 +54,91 @@ def event_order(spark, sf_dir):
     rows = rows.withColumn("at", F.row_number().over(W.partitionBy("label").orderBy((~F.col("fixed")).cast("int"), best, "vec_id")))
     seated = firstcome.look_alikes_last(rows, ["label"], "at", "embedding", "fixed", 1.0)
     return firstcome.cover_roles(seated, ["label"], "seat", "role", "pct").select("label", "vec_id", "included", "distinct", "seat")
+
+#: Templates of one to four slots: template, side, box and whether the slot is the hero's.
+LIBRARY = [
+    ("a1", "left", (0.1, 0.1, 0.8, 0.8), True),
+    ("b1", "right", (0.2, 0.1, 0.7, 0.5), False),
+    ("a2", "left", (0.1, 0.1, 0.8, 0.6), True),
+    ("a2", "right", (0.1, 0.1, 0.8, 0.6), False),
+    ("b2", "left", (0.1, 0.1, 0.4, 0.8), False),
+    ("b2", "left", (0.55, 0.1, 0.4, 0.8), False),
+    ("a3", "left", (0.1, 0.1, 0.8, 0.8), True),
+    ("a3", "right", (0.1, 0.1, 0.4, 0.4), False),
+    ("a3", "right", (0.55, 0.1, 0.4, 0.4), False),
+    ("b3", "left", (0.05, 0.05, 0.4, 0.4), False),
+    ("b3", "left", (0.05, 0.5, 0.4, 0.4), False),
+    ("b3", "right", (0.0, 0.0, 1.0, 1.0), True),
+    ("a4", "left", (0.1, 0.1, 0.35, 0.35), False),
+    ("a4", "left", (0.55, 0.1, 0.35, 0.35), False),
+    ("a4", "right", (0.1, 0.1, 0.35, 0.35), False),
+    ("a4", "right", (0.55, 0.1, 0.35, 0.35), False),
+    ("b4", "left", (0.1, 0.1, 0.8, 0.8), True),
+    ("b4", "right", (0.1, 0.1, 0.25, 0.6), False),
+    ("b4", "right", (0.4, 0.1, 0.25, 0.6), False),
+    ("b4", "right", (0.7, 0.1, 0.25, 0.6), False),
+]
+SEATS = [(t, sum(x[0] == t for x in LIBRARY[:i]), side, box, hero) for i, (t, side, box, hero) in enumerate(LIBRARY)]
+_SEATS_SQL = ", ".join(f"('{t}', {k}, '{side}', {x}::DOUBLE, {y}::DOUBLE, {w}::DOUBLE, {h}::DOUBLE, {hero})" for t, k, side, (x, y, w, h), hero in SEATS)
+_ORDERS_SQL = ", ".join(f"({n}, {list(p)})" for n in range(1, 5) for p in itertools.permutations(range(n)))
+_G = SPEC.gutter / SPEC.page_w
+
+
+@query(f"""WITH seats(template, slot, side, x, y, w, h, hero) AS (SELECT * FROM (VALUES {_SEATS_SQL}) v(a, b, c, d, e, f, g, i)),
+  orders_of(n, o) AS (SELECT * FROM (VALUES {_ORDERS_SQL}) v(a, b)),
+  l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, (2000 + 500 * (l_partkey % 7))::DOUBLE AS pw, (2000 + 500 * (l_suppkey % 5))::DOUBLE AS ph,
+    CASE WHEN l_linenumber % 3 > 0 THEN (l_linenumber % 3) * 0.4::DOUBLE END AS q, l_quantity::INT % 2 = 0 AS sal, (l_partkey % 5) / 10.0::DOUBLE AS sx, (l_suppkey % 4) / 10.0::DOUBLE AS sy, (l_partkey % 4) / 4.0::DOUBLE AS fx, l_quantity::INT * 2 AS score,
+    [l_linestatus, l_returnflag] AS tags, CASE WHEN l_partkey % 6 > 0 THEN (l_partkey % 100) * 60 END AS at, l_suppkey % 2 AS event FROM lineitem),
+  p AS (SELECT *, max(score) OVER (PARTITION BY k) AS best FROM l WHERE n <= 4),
+  t AS (SELECT *, count(*) OVER (PARTITION BY template) AS n, row_number() OVER (PARTITION BY template ORDER BY side <> 'left', x, y, slot) AS rp, max(w * h) OVER (PARTITION BY template) AS large FROM seats),
+  c AS (SELECT p.k, p.i, template, slot, side, x, y, w, h, hero, pw, q, sal, sx, sy, score, best, pw / ph AS a, w * 11.0::DOUBLE / (h * 8.5::DOUBLE) AS tgt, fx FROM p JOIN t USING (n)),
+  d AS (SELECT *, CASE WHEN a > tgt THEN tgt / a ELSE 1.0::DOUBLE END AS cw, CASE WHEN a > tgt THEN 1.0::DOUBLE ELSE a / tgt END AS ch FROM c),
+  e AS (SELECT *, greatest(0.0::DOUBLE, least(1 - cw, fx - cw / 2)) AS cx, greatest(0.0::DOUBLE, least(1 - ch, 0.5::DOUBLE - ch / 2)) AS cy, pw * cw / (w * 11.0::DOUBLE) AS dpi FROM d),
+  f AS (SELECT *, greatest(sx, cx) AS ix, greatest(sy, cy) AS iy, least(sx + 0.3::DOUBLE, cx + cw) - greatest(sx, cx) AS iw, least(sy + 0.4::DOUBLE, cy + ch) - greatest(sy, cy) AS ih FROM e),
+  m AS (SELECT *, x + (ix - cx) * (w / cw) AS mx, y + (iy - cy) * (h / ch) AS my, iw * (w / cw) AS mw, ih * (h / ch) AS mh FROM f),
+  z AS (SELECT k, i, template, slot, CASE WHEN dpi >= {SPEC.min_dpi} THEN least(tgt, a) / greatest(tgt, a)
+      + CASE WHEN sal THEN CASE WHEN iw > 0 AND ih > 0 THEN iw * ih ELSE 0.0::DOUBLE END / (0.3::DOUBLE * 0.4::DOUBLE) ELSE 0.5::DOUBLE END + 0.5::DOUBLE + coalesce(q, 0.5::DOUBLE)
+      + CASE WHEN hero AND best > 0 THEN score::DOUBLE / best ELSE 0.5::DOUBLE END + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (dpi - {SPEC.min_dpi}) / ({SPEC.warn_dpi} - {SPEC.min_dpi}::DOUBLE)))
+      + CASE WHEN sal AND iw > 0 AND ih > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - greatest(0.0::DOUBLE, CASE WHEN side = 'left' THEN least(mx + mw, {1.0 - _G + _G}::DOUBLE) - greatest(mx, {1.0 - _G}::DOUBLE) ELSE least(mx + mw, {_G}::DOUBLE) - greatest(mx, 0.0::DOUBLE) END)
+        * greatest(0.0::DOUBLE, least(my + mh, 1.0::DOUBLE) - greatest(my, 0.0::DOUBLE)) / (mw * mh))) ELSE 1.0::DOUBLE END END AS s FROM m),
+  pair AS (SELECT a.k, a.i, b.i AS j, (1 - len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))) + 0.5::DOUBLE + CASE WHEN a.at IS NULL OR b.at IS NULL THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, abs(a.at - b.at) / 3600.0::DOUBLE) END) / 3.0::DOUBLE AS far FROM p a JOIN p b ON a.k = b.k AND a.i < b.i),
+  far AS (SELECT k, list_reduce(list_prepend(0.0::DOUBLE, list(far ORDER BY i, j)), lambda a, b: a + b) / count(*) AS far FROM pair GROUP BY k),
+  g AS (SELECT k, max(n) AS n, CASE WHEN max(n) < 2 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (max(score) - (sum(score) - max(score))::DOUBLE / (max(n) - 1)) / 100.0::DOUBLE)) END AS stand FROM p GROUP BY k),
+  v AS (SELECT template, list_reduce(list_prepend(0.0::DOUBLE, list(w * h ORDER BY slot)), lambda a, b: a + b) AS whole, list_reduce(list_prepend(0.0::DOUBLE, list(CASE WHEN hero THEN w * h ELSE 0.0::DOUBLE END ORDER BY slot)), lambda a, b: a + b) AS hero, count(*) AS n FROM seats GROUP BY template),
+  whole AS (SELECT g.k, v.template, coalesce(far, 0.5::DOUBLE) AS far, CASE WHEN stand = 0 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE + 0.5::DOUBLE * stand * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (hero / whole - 1.0::DOUBLE / v.n) / (1.0::DOUBLE - 1.0::DOUBLE / v.n))) END AS hero, CASE WHEN g.k % 5 = 0 AND template = 'a' || g.n THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS other FROM g JOIN v USING (n) LEFT JOIN far USING (k)),
+  x AS (SELECT p.k, t.template, o, list(z.s ORDER BY t.slot) AS each, max(CASE WHEN p.i = 0 AND (rp = 1 OR w * h = large) THEN 1 ELSE 0 END) AS lead_, max(CASE WHEN p.i = t.n - 1 AND rp = t.n THEN 1 ELSE 0 END) AS tail_, min(CASE WHEN w * h = large THEN rp END) AS first_large, max(CASE WHEN p.i = 0 THEN rp END) AS lead_at, t.n AS n,
+      list({{'e': p.event, 'a': p.at}} ORDER BY rp) AS read FROM t JOIN orders_of USING (n) JOIN p ON p.n = t.n AND p.i = o[t.slot + 1] JOIN z ON z.k = p.k AND z.i = p.i AND z.template = t.template AND z.slot = t.slot GROUP BY p.k, t.template, o, t.n),
+  y AS (SELECT x.k, x.template, o, list_reduce(list_prepend(0.0::DOUBLE, each), lambda a, b: a + b) + 0.5::DOUBLE + far + hero + other AS score,
+      len(list_filter(range(1, x.n + 1), lambda i: len(list_filter(range(i + 1, x.n + 1), lambda j: read[i].e <> read[j].e AND coalesce(read[j].a < read[i].a, FALSE))) > 0)) = 0 AS in_time,
+      x.k % 3 = 0 OR lead_at = 1 OR lead_at = first_large AS leads, x.k % 4 = 0 OR tail_ = 1 AS ends FROM x JOIN whole ON whole.k = x.k AND whole.template = x.template WHERE len(list_filter(each, lambda s: s IS NULL)) = 0),
+  w AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY in_time DESC, leads DESC, ends DESC, score DESC) AS place FROM y),
+  u AS (SELECT k, round(any_value(score), 6) AS score, count(*) AS tied, list({{'t': template, 'o': o}} ORDER BY template, o) AS ties, (k::UHUGEINT * 7919 + {layouts.STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT AS s0 FROM w WHERE place = 1 GROUP BY k),
+  s AS (SELECT *, (xor(s0, s0 >> 30) * {layouts.MIX_A}::UHUGEINT) % 18446744073709551616::UHUGEINT AS s1 FROM u),
+  s2 AS (SELECT *, (xor(s1, s1 >> 27) * {layouts.MIX_B}::UHUGEINT) % 18446744073709551616::UHUGEINT AS s2 FROM s)
+  SELECT k AS l_orderkey, ties[(xor(s2, s2 >> 31) % tied::UHUGEINT)::INT + 1].t AS template, array_to_string(ties[(xor(s2, s2 >> 31) % tied::UHUGEINT)::INT + 1].o, ',') AS seats, score, tied FROM s2""")
+def best_spread(spark, sf_dir):
+    """The best template and assignment of the pictures of each small order, with the story's order first."""
+    m = lambda c, n: F.col(c) % n
+    box = lambda x, y, w, h: F.struct(*[v.cast("double").alias(c) for c, v in zip("xywh", (x, y, w, h), strict=True)])
+    salient = F.when(F.col("l_quantity").cast("int") % 2 == 0, box(m("l_partkey", 5) / 10, m("l_suppkey", 4) / 10, F.lit(0.3), F.lit(0.4)))
+    picture = {
+        "width": (2000 + 500 * m("l_partkey", 7)).cast("double"),
+        "height": (2000 + 500 * m("l_suppkey", 5)).cast("double"),
+        "faces": F.array().cast("array<struct<x:double,y:double,w:double,h:double>>"),
+        "quality": F.when(m("l_linenumber", 3) > 0, m("l_linenumber", 3) * F.lit(0.4)),
+        "salient": salient,
+        "focus_x": m("l_partkey", 4) / 4,
+        "focus_y": F.lit(0.5),
+        "score": F.col("l_quantity").cast("int") * 2,
+        "tags": F.array("l_linestatus", "l_returnflag"),
+        "colour": F.lit(None).cast("struct<r:double,g:double,b:double>"),  # sines differ in their last bits, and exact ties count
+        "at": F.when(m("l_partkey", 6) > 0, m("l_partkey", 100) * 60),
+        "event": m("l_suppkey", 2),
+    }
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("group")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.struct(*[c.alias(n) for n, c in picture.items()]).alias("p")))).alias("all"))
+    rows = rows.where(F.size("all") <= 4).withColumn("pictures", F.transform("all", lambda x: x["p"]))
+    n = F.size("pictures")
+    groups = rows.select("group", "pictures", F.when(m("group", 5) == 0, F.concat(F.lit("a"), n.cast("string"))).alias("previous"), (F.col("group") * 7919).alias("seed"), F.when(m("group", 3) > 0, F.lit(0)).alias("lead"), F.when(m("group", 4) > 0, n - 1).alias("tail"))
+    slots = spark.createDataFrame(SEATS, "template string, slot int, side string, rect struct<x:double,y:double,w:double,h:double>, hero boolean")
+    found = layouts.best_layouts(groups, slots, SPEC)
+    return found.select(F.col("group").alias("l_orderkey"), "template", F.concat_ws(",", F.transform("assignment", lambda x: x.cast("string"))).alias("seats"), F.round("score", 6).alias("score"), F.col("tied").cast("long").alias("tied"))
