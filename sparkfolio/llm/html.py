@@ -4,9 +4,12 @@ Every element's subtree (tags and text) is hashed; Spark counts on how many
 pages of its host each subtree stands, and those on many pages are the site's
 template: they are deleted before the text is read.  What a page marks as not
 its main text (navigation, footers, forms, adverts, comments and so on, by tag,
-role, class or id) goes as well, unless it holds the page's article; by role,
-class or id it goes only if it holds half of the page's text at most, reader
-comments at any length.  A name marks as a whole or with hyphens if all its parts
+role, class or id) goes as well; by role, class or id only if it holds half of the
+page's text at most, reader comments at any length.  Main text are the page's
+mains, else its articles, that no such part holds: an article in a sidebar, in an
+aside or among the comments is a part of those.  What holds main text stays.  On
+a page without main text tags mark by the same size, so a form around the whole
+page stays.  A name marks as a whole or with hyphens if all its parts
 are such names, so ``has-sidebar`` and ``share-price`` mark nothing.  Where a page
 marks its article, paragraphs within are text even if other pages repeat them:
 only containers of an article can be template.
@@ -50,7 +53,7 @@ NAMES = frozenset(
 OUTER_NAMES = frozenset("header footer".split())
 COMMENT_NAMES = frozenset("comment comments reply replies disqus respond".split())
 #: What a name with hyphens may hold beside such names.
-FILLER = frozenset("site page main top bottom left right box bar block area wrapper wrap container list section inner outer links buttons button slot unit form bottom text message thread".split())
+FILLER = frozenset("site page main top bottom left right box bar block area wrapper wrap container list section inner outer links buttons button slot unit form bottom text message thread body content item items author meta posts articles stories entries".split())
 MAIN = ("article", "main")
 #: What an opening tag closes, if it is open since the last border.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -61,15 +64,15 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W_]+")
 
 
 class Node:
-    """An element: ``marked`` tells how its page marks it; ``size`` counts its text, ``holds`` whether an article is inside."""
+    """An element: ``marked`` tells how its page marks it; ``size`` counts its text."""
 
-    __slots__ = ("tag", "marked", "parts", "digest", "size", "holds")
+    __slots__ = ("tag", "marked", "parts", "digest", "size")
 
     def __init__(self, tag: str, marked: int):
-        self.tag, self.marked, self.parts, self.digest, self.size, self.holds = tag, marked, [], 0, 0, False
+        self.tag, self.marked, self.parts, self.digest, self.size = tag, marked, [], 0, 0
 
 
-#: Marks: none; by tag; by tag, but not where an article is inside; by name; a name of comments.
+#: Marks: none; by a tag that never holds text; by tag; by name; a name of comments.
 NONE, RAW_TAG, TAG, NAME, COMMENTS = range(5)
 UNSEEN = frozenset("script style textarea title noscript iframe xmp noembed noframes head template svg math canvas object audio video select button".split())
 
@@ -99,8 +102,10 @@ def _marked(tag: str, attributes: str, in_article: bool) -> int:
         if m[1].lower() == "role":
             if value.strip().lower() in ROLES:
                 found = max(found, NAME)
-        elif tag != "article" or {"comment", "comments", "reply", "ad", "advert"}.intersection(value.lower().split()):
-            found = max(found, _named(value, in_article))
+        else:
+            named = _named(value, in_article)
+            if tag != "article" or named == COMMENTS or {"ad", "advert"}.intersection(value.lower().split()):
+                found = max(found, named)
     return found
 
 
@@ -117,7 +122,6 @@ def parsed(page: str) -> Node:
             if node.marked != RAW_TAG:
                 own = [p for p in node.parts if p.__class__ is Node]
                 node.size = sum([p.size for p in own]) + sum([len(p) for p in node.parts if p.__class__ is str and not p.isspace()])
-                node.holds = any([p.holds or (p.tag in MAIN and p.marked < NAME) for p in own])
             node.digest = xxhash.xxh3_64_intdigest(b"".join([node.tag.encode(), *(p.digest.to_bytes(8, "little") if p.__class__ is Node else xxhash.xxh3_64_digest(" ".join(p.split()).encode("utf-8", "replace")) for p in node.parts)]))
 
     for m in TOKEN.finditer(page):
@@ -180,28 +184,35 @@ def subtrees(root: Node) -> set[int]:
 def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
     """The text of what is left: blocks in the order of the page, one a line."""
 
+    def deleted(n: Node, inside: bool) -> bool:
+        return n.marked == RAW_TAG or (n.digest in template and (n.tag in CONTAINER if inside else n.tag not in ("html", "body", *MAIN)))
+
+    def small(n: Node) -> bool:
+        return n.marked != NONE and (n.marked == COMMENTS or 2 * n.size <= root.size)
+
+    # the outermost mains or else articles that no marked part holds, in the order of the page, and all that holds them
+    found: dict[str, list[tuple]] = {"main": [], "article": []}
+    todo: list[tuple] = [(root, None)]  # a node and the same of its parent
+    while todo:
+        path = todo.pop()
+        node = path[0]
+        if node.tag in found:
+            found[node.tag].append(path)
+        if node.tag not in MAIN:  # what is inside belongs to it
+            todo.extend((part, path) for part in reversed(node.parts) if part.__class__ is Node and not deleted(part, False) and not small(part))
+    paths = found["main"] or found["article"]
+    tops, holders = [p[0] for p in paths] or [root], set()
+    for path in paths:
+        while (path := path[1]) and id(path[0]) not in holders:
+            holders.add(id(path[0]))
+
     def gone(n: Node, inside: bool) -> bool:
-        if n.marked == RAW_TAG or (n.digest in template and (n.tag in CONTAINER if inside else n.tag not in ("html", "body", *MAIN))):
+        if deleted(n, inside):
             return True
-        if n.marked == NONE or n.holds:
+        if n.marked == NONE or id(n) in holders:
             return False
-        return n.marked != NAME or 2 * n.size <= root.size
+        return small(n) or (n.marked == TAG and bool(paths))
 
-    # the outermost mains or else articles, where the page has them
-    found: dict[str, list[Node]] = {"main": [], "article": []}
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        for part in reversed(node.parts):
-            if part.__class__ is Node and not gone(part, False):
-                if part.tag in found:
-                    found[part.tag].append(part)
-                if part.tag != "article":
-                    todo.append(part)
-    tops = [n for n in found["main"] if not any(n is not m and _inside(n, m) for m in found["main"])] if len(found["main"]) > 1 else found["main"]
-    tops = tops or found["article"] or [root]
-    if tops[0] is not root and len(tops) > 1:
-        tops = [n for n in _in_order(root) if any(n is t for t in tops)]
     lines: list[str] = []
     now: list[str] = []
 
@@ -231,18 +242,6 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(lines)
 
 
-def _inside(node: Node, other: Node) -> bool:
-    return any(n is node for n in _in_order(other))
-
-
-def _in_order(root: Node) -> Iterator[Node]:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        yield node
-        todo.extend(p for p in reversed(node.parts) if p.__class__ is Node)
-
-
 def host_of(url_col: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 

@@ -498,6 +498,38 @@ def test_html_marks():
     assert html.main_text(html.parsed("<main><p>m</p></main><article><p>other</p></article>")) == "m"
 
 
+BODY = "<p>" + "The article itself has a text of some length. " * 6 + "</p>"
+KEPT = " ".join(["The article itself has a text of some length."] * 6)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        # reader comments as articles, within the main text and beside it
+        f'<main>{BODY}<ol class="comment-list"><li class="comment even"><article id="div-comment-1" class="comment-body"><p>Nice post!</p></article></li></ol></main>',
+        f'<article>{BODY}</article><section id="comments"><article class="comment-body"><p>Nice post, and a long answer to it. </p></article></section>',
+        f'<main>{BODY}<article class="comment-body"><p>Nice post!</p></article></main>',
+        # articles in sidebars, asides and lists of related posts
+        f'<div class="sidebar"><article><p>Teaser</p></article></div><article>{BODY}</article>',
+        f'<main>{BODY}<aside><article><p>Teaser</p></article></aside></main>',
+        f'<article>{BODY}</article><section class="related-posts"><article><p>Teaser</p></article></section>',
+        f'<main>{BODY}<section class="related-posts"><article><p>Teaser</p></article></section></main>',
+        # a form around the page, with and without a marked main text
+        f'<body><form id="aspnetForm"><div class="content">{BODY}</div></form></body>',
+        f'<body><form id="aspnetForm"><nav>Home</nav><article>{BODY}</article><footer>2024</footer></form></body>',
+        f'<body><nav>Home</nav><div class="content">{BODY}</div><form class="search"><label>Find</label></form><aside>More</aside></body>',
+        f'<body><div class="content">{BODY}</div><aside><article><p>Teaser</p></article></aside></body>',
+    ],
+)
+def test_main_text_beside_other_articles(page):
+    assert html.main_text(html.parsed(page)) == KEPT
+
+
+def test_all_articles_of_a_page_are_text():
+    page = f"<div><article>{BODY}</article><section><article><p>Second, shorter.</p></article></section></div><nav><article>Menu</article></nav>"
+    assert html.main_text(html.parsed(page)) == f"{KEPT}\nSecond, shorter."
+
+
 def test_html_keeps_articles():
     text = lambda page: html.main_text(html.parsed(page))
     assert text('<div class="layout has-sidebar"><article><p>one</p></article></div>') == "one"
