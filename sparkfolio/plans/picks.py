@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import firstcome, layouts
 from ..operators.running import percentile_of
+from ..sources import ledger
+from ..sources.shared import written
 from .queries import LAT, LON, SPEC, query, table
 
 PLACE_KM = 700.0
+#: States kept by user; few, so that the oldest are trimmed.
+LEDGER_CAP = 8
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, radians({LAT}) AS la, radians({LON}) AS lo FROM customer
@@ -142,3 +146,22 @@ def best_spread(spark, sf_dir):
     slots = spark.createDataFrame(SEATS, "template string, slot int, side string, rect struct<x:double,y:double,w:double,h:double>, hero boolean")
     found = layouts.best_layouts(groups, slots, SPEC)
     return found.select(F.col("group").alias("l_orderkey"), "template", F.concat_ws(",", F.transform("assignment", lambda x: x.cast("string"))).alias("seats"), F.round("score", 6).alias("score"), F.col("tied").cast("long").alias("tied"))
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN event_id % 7 < 4 THEN 'commit' WHEN event_id % 7 < 6 THEN 'undo' ELSE 'redo' END AS action FROM events),
+  c AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::BIGINT AS low, NULL::BIGINT AS high FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+    SELECT a.user_id, a.k, CASE WHEN action = 'commit' THEN coalesce(seq, 0) + 1 WHEN action = 'undo' AND seq > low THEN seq - 1 WHEN action = 'redo' AND seq < high THEN seq + 1 ELSE seq END,
+      CASE WHEN action = 'commit' THEN greatest(coalesce(low, 0), coalesce(seq, 0) + 2 - {LEDGER_CAP}) ELSE low END, CASE WHEN action = 'commit' THEN coalesce(seq, 0) + 1 ELSE high END
+    FROM c JOIN a ON a.user_id = c.user_id AND a.k = c.k + 1),
+  e AS (SELECT user_id, arg_max(seq, k) FILTER (WHERE seq IS NOT NULL) AS seq, max(low) AS low, arg_max(high, k) FILTER (WHERE high IS NOT NULL) AS high FROM c GROUP BY 1),
+  s AS (SELECT a.user_id, seq, arg_max(event_id::VARCHAR, a.k) AS label FROM a JOIN c ON c.user_id = a.user_id AND c.k = a.k WHERE action = 'commit' GROUP BY 1, 2 UNION ALL SELECT user_id, 0, '' FROM e WHERE seq IS NOT NULL),
+  v AS (SELECT s.* FROM s JOIN e ON e.user_id = s.user_id WHERE s.seq BETWEEN e.low AND e.high)
+  SELECT e.user_id, e.seq, e.low, e.high, CASE WHEN b.label IS NOT NULL THEN n.label END AS undo, f.label AS redo FROM e LEFT JOIN v n ON n.user_id = e.user_id AND n.seq = e.seq
+    LEFT JOIN v b ON b.user_id = e.user_id AND b.seq = e.seq - 1 LEFT JOIN v f ON f.user_id = e.user_id AND f.seq = e.seq + 1""")
+def ledger_status(spark, sf_dir):
+    """What undo and redo offer each user, when events are commits, undos and redos."""
+    kind = F.when(F.col("event_id") % 7 < 4, ledger.COMMIT).when(F.col("event_id") % 7 < 6, ledger.UNDO).otherwise(ledger.REDO)
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("action"), F.col("event_id").cast("string").alias("label"))
+    replay = written(ledger.replayed(rows, "user_id", ["ts", "event_id"], "action", LEDGER_CAP), "replay")
+    ends, states = ledger.timelines(replay, "user_id", ["ts", "event_id"], "action", "label")
+    return ledger.status(ends, states, "user_id")
