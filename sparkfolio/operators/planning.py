@@ -292,41 +292,30 @@ def sums(sizes: list[int], most: int) -> list[bool]:
     return out
 
 
-def _preferred(options: list[int], *tests: Callable[[int], float]) -> list[int]:
-    """The options that each test in turn leaves as its best."""
-    for test in tests:
-        least = min(map(test, options))
-        options = [o for o in options if test(o) == least]
-    return options
+def group_sizes(count: int, allowance: int, start: int, slots: Slots) -> list[int]:
+    """How many of a chapter's photos each of its slots takes, from slot ``start`` on; 0 leaves a slot blank.
 
-
-def group_sizes(count: int, allowance: int, start: int, slots: Slots, swing: Callable[[int, int], int] = lambda done, of: 0) -> list[int]:
-    """How many of a chapter's photos each of its slots takes, from slot ``start`` on.
-
-    Wanted of each size, in this order: the later slots can take the rest, and
-    have enough of it; the rest is a sum of their sizes; it is as little outside
-    as can be; it is near the even share of what is left, with its swing; it is
-    large.  What later slots can take is added up once, from the last slot back.
+    A table over slots, from the last one back, and photos left: the fewest blank
+    slots, then the fewest photos that no slot takes, then the most even sizes
+    (least sum of squares), then larger sizes and blanks as late as can be.
     """
-    numbers = range(start, start + allowance)
-    behind: list[tuple[int, int, frozenset[int]]] = [(0, 0, frozenset())]  # least, most and sizes of the slots behind
-    for i in reversed(numbers):
-        (least, most, sizes), (low, high) = behind[-1], slots.bounds(i)
-        behind.append((least + low, most + high, sizes | set(slots.sizes(i))))
-    out: list[int] = []
-    for done, (number, (least, most, sizes)) in enumerate(zip(numbers, reversed(behind[:-1]), strict=True)):
-        options = [s for s in slots.sizes(number) if 0 < s <= count]
-        if not options:
-            break
-        top, of = max(0, count - least), allowance - done
-        bottom, reach = min(max(0, count - most), top), sums(sorted(sizes), count)
-        outside = lambda s, top=top, bottom=bottom: max(s - top, bottom - s, 0)
-        share = max(0, (2 * count + of) // (2 * of) + swing(done, allowance))
-        left = lambda s, reach=reach, count=count: not reach[count - s]
-        far = lambda s, share=share: abs(share - s)
-        out.append(max(_preferred(options, lambda s, outside=outside: outside(s) > 0, left, outside, far)))
-        count -= out[-1]
-    return out
+    best = [(0, left, 0, ()) for left in range(count + 1)]
+    for number in reversed(range(start, start + allowance)):
+        sizes = [s for s in slots.sizes(number) if s > 0]
+        table = []
+        for left in range(count + 1):
+            blank, over, uneven, rest = best[left]
+            ways = [(blank + 1, over, uneven, (0, *rest))]
+            for s in sizes:
+                if s <= left:
+                    blank, over, uneven, rest = best[left - s]
+                    ways.append((blank, over, uneven + s * s, (-s, *rest)))
+            table.append(min(ways))
+        best = table
+    found = [-s for s in best[count][3]]
+    while found and not found[-1]:
+        found.pop()
+    return found
 
 
 def packed(chapters: dict[int, list], slots: Slots, brief: set[int] = frozenset()) -> list[tuple[int, int, list]]:
@@ -335,11 +324,13 @@ def packed(chapters: dict[int, list], slots: Slots, brief: set[int] = frozenset(
         return []
     chapters = seated(carried(chapters, min(slots.spread, default=1), set(brief)), slots)
     out: list[tuple[int, int, list]] = []
+    number = 0
     for (key, photos), allowance in zip(chapters.items(), apportioned([len(v) for v in chapters.values()], slots), strict=True):
         at = 0
-        for size in group_sizes(len(photos), allowance, len(out), slots):
-            out.append((len(out), key, photos[at : at + size]))
-            at += size
+        for size in group_sizes(len(photos), allowance, number, slots):
+            if size:
+                out.append((number, key, photos[at : at + size]))
+            number, at = number + 1, at + size
     return out
 
 

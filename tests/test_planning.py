@@ -100,3 +100,18 @@ def test_books_in_parallel(spark):
     got = p.packed_books(rows, "book", "chapter", "t", "photo", 20, SIZES, 3)
     assert got.select("photo").distinct().count() == got.count() >= 100
     assert got.groupBy("book", "slot").count().count() <= 33
+
+
+def test_group_sizes_against_all_ways():
+    for pages, spread, half in ((6, [1, 2, 4], 1), (8, [2, 3], 2), (4, [3, 5], 1)):
+        slots = p.Slots.of_pages(pages, spread, half)
+        for start, allowance in itertools.product(range(slots.count), range(1, slots.count + 1)):
+            if start + allowance > slots.count:
+                continue
+            for count in range(9):
+                ways = itertools.product(*[[0, *[s for s in slots.sizes(i) if s > 0]] for i in range(start, start + allowance)])
+                cost = lambda w, count=count: (w.count(0), count - sum(w), sum(s * s for s in w), [-s for s in w])
+                best = list(min((w for w in ways if sum(w) <= count), key=cost))
+                while best and not best[-1]:
+                    best.pop()
+                assert p.group_sizes(count, allowance, start, slots) == best
