@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import firstcome, layouts
 from ..operators.running import percentile_of
-from ..sources import ledger
-from ..sources.shared import written
+from ..sources import ledger, snapshots
+from ..sources.shared import shared_dir, written
 from .queries import LAT, LON, SPEC, query, table
 
 PLACE_KM = 700.0
@@ -165,3 +166,17 @@ def ledger_status(spark, sf_dir):
     replay = written(ledger.replayed(rows, "user_id", ["ts", "event_id"], "action", LEDGER_CAP), "replay")
     ends, states = ledger.timelines(replay, "user_id", ["ts", "event_id"], "action", "label")
     return ledger.status(ends, states, "user_id")
+
+
+@query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS deleted_at FROM orders),
+  l AS (SELECT l_orderkey, count(*) AS n, sum(row_number) AS places FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS row_number FROM lineitem) GROUP BY 1)
+  SELECT o_orderkey, deleted_at, n AS photos, CAST(places AS BIGINT) AS places FROM p LEFT JOIN l ON l_orderkey = o_orderkey WHERE deleted_at IS NULL OR deleted_at > 700""")
+def project_purge(spark, sf_dir):
+    """Orders as projects with their lines as photos: saved in one snapshot, and those deleted long ago purged in the next."""
+    store = snapshots.Snapshots(spark, f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}")
+    projects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("deleted_at"))
+    photos = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project"), "l_partkey", "l_suppkey", "l_linenumber")
+    store.commit({"projects": projects, "photos": snapshots.positioned(photos, ["project"], [F.col(c) for c in ("l_partkey", "l_suppkey", "l_linenumber")])})
+    number = snapshots.purge(store, ["photos"], "projects", "project", "deleted_at", F.lit(700))
+    counts = store.read("photos", number).groupBy(F.col("project").alias("_p")).agg(F.count("*").alias("photos"), F.sum("position").alias("places"))
+    return store.read("projects", number).join(counts, F.col("project") == F.col("_p"), "left").select(F.col("project").alias("o_orderkey"), "deleted_at", "photos", "places")

@@ -44,8 +44,8 @@ def committed(history: DataFrame, version: DataFrame, project: str, seq: str, po
 
 
 def purged(projects: DataFrame, deleted_at: str, cutoff: Column) -> DataFrame:
-    """Projects that aren't deleted, or not longer ago than the cutoff."""
-    return projects.where(F.col(deleted_at).isNull() | (F.col(deleted_at) >= cutoff))
+    """Projects that aren't deleted, or were only after the cutoff."""
+    return projects.where(F.col(deleted_at).isNull() | (F.col(deleted_at) > cutoff))
 
 
 def export_items(pages: DataFrame) -> DataFrame:
