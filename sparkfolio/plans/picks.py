@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import firstcome, layouts
+from ..operators import cache, firstcome, layouts
 from ..operators.running import percentile_of
 from ..sources import ledger, snapshots
 from ..sources.shared import shared_dir, written
@@ -180,3 +180,35 @@ def project_purge(spark, sf_dir):
     number = snapshots.purge(store, ["photos"], "projects", "project", "deleted_at", F.lit(700))
     counts = store.read("photos", number).groupBy(F.col("project").alias("_p")).agg(F.count("*").alias("photos"), F.sum("position").alias("places"))
     return store.read("projects", number).join(counts, F.col("project") == F.col("_p"), "left").select(F.col("project").alias("o_orderkey"), "deleted_at", "photos", "places")
+
+
+@query("""SELECT '/f/' || o_orderkey AS path, CASE WHEN NOT known AND o_orderkey % 11 = 0 THEN NULL ELSE 'h' || CASE WHEN known THEN o_custkey ELSE o_custkey + 1 END END AS hash,
+    CASE WHEN NOT known AND o_orderkey % 11 = 0 THEN 'failed' WHEN (CASE WHEN known THEN o_custkey ELSE o_custkey + 1 END) % 4 < 2 AND (CASE WHEN known THEN o_custkey ELSE o_custkey + 1 END) % 16 <> 1
+      AND (CASE WHEN known THEN o_custkey ELSE o_custkey + 1 END) IN (SELECT c_custkey FROM customer) THEN 'hit' ELSE 'miss' END AS state, NOT known AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AS restamp
+  FROM (SELECT *, o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS known FROM orders)""")
+def cache_lookup(spark, sf_dir):
+    """Orders as files: stamps known for a third (some changed, some files unstamped), records known for half of the customers' hashes."""
+    orders = table(spark, sf_dir, "orders")
+    name, m = F.concat(F.lit("/f/"), F.col("o_orderkey").cast("string")), lambda n: F.col("o_orderkey") % n
+    files = orders.select(name.alias("path"), F.when(m(7) != 0, F.col("o_custkey")).alias("size"), F.col("o_orderkey").alias("modified"))
+    stamps = orders.where(m(3) == 0).select(name.alias("path"), F.col("o_custkey").alias("size"), (F.col("o_orderkey") - F.when(m(5) == 0, 1).otherwise(0)).alias("modified"), F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("hash"))
+    new = F.when(m(11) != 0, F.concat(F.lit("h"), (F.col("o_custkey") + 1).cast("string")))
+    content = orders.select(name.alias("_p"), new.alias("hash"), F.when(m(11) == 0, "denied").alias("error"))
+    records = table(spark, sf_dir, "customer").where("c_custkey % 4 < 2").select(F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("hash"), (F.col("c_custkey") % 16 != 1).alias("whole"))
+    found = cache.looked_up(files, stamps, records, lambda unread: unread.join(content, F.col("path") == F.col("_p")).select("path", "hash", "error"), F.col("whole"))
+    return found.select("path", "hash", "state", "restamp")
+
+
+@query("""WITH r AS (SELECT c_custkey AS h, c_custkey % 1000 AS b, c_custkey * 7919 % 10007 AS u, c_custkey % 9 > 0 AS cur FROM customer), t AS (SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS h, 500 + c_custkey % 7 AS b FROM customer WHERE c_custkey % 2 = 0),
+  p AS (SELECT DISTINCT CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS h FROM customer WHERE c_custkey % 13 = 0),
+  e AS (SELECT coalesce(r.h, t.h) AS h, coalesce(r.b, 0) + coalesce(t.b, 0) AS b, coalesce(u, 0) AS u, p.h IS NOT NULL AS pin, r.h IS NULL AND p.h IS NULL AS orphan FROM (SELECT * FROM r WHERE cur) r FULL JOIN t ON r.h = t.h LEFT JOIN p ON p.h = coalesce(r.h, t.h)),
+  k AS (SELECT *, (SELECT sum(b) FROM e WHERE NOT orphan) - sum(CASE WHEN pin THEN 0 ELSE b END) OVER (ORDER BY pin, u, h) + b > 200000 AS over FROM e WHERE NOT orphan)
+  SELECT h AS hash, b AS bytes, CASE WHEN over AND NOT pin THEN 'evicted' ELSE 'kept' END AS outcome FROM k UNION ALL SELECT h, b, 'orphan' FROM e WHERE orphan UNION ALL SELECT h, b, 'stale' FROM r WHERE NOT cur""")
+def cache_enforce(spark, sf_dir):
+    """Customers as cached rows with thumbnails, kept to a size."""
+    key, m = F.col("c_custkey"), lambda n: F.col("c_custkey") % n
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    cached = rows.select(key.alias("hash"), m(1000).alias("bytes"), (key * 7919 % 10007).alias("last_used"), F.when(m(9) > 0, 2).otherwise(1).alias("version"))
+    moved = lambda n: F.when(m(n) == 0, key + 1_000_000).otherwise(key)
+    thumbs, pinned = rows.where(m(2) == 0).select(moved(6).alias("hash"), (500 + m(7)).alias("bytes")), rows.where(m(13) == 0).select(moved(4).alias("hash"))
+    return cache.enforced(cached, thumbs, pinned, 2, 200_000)
