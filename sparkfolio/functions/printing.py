@@ -142,8 +142,16 @@ def hero_match(score: Column, best: Column, hero: Column) -> Column:
     return F.when(hero & (best > 0), score / best).otherwise(F.lit(0.5))
 
 
+def finite(r: Column) -> Column:
+    """Whether all numbers of a box are known and finite."""
+    good = F.lit(True)
+    for c in "xywh":
+        good &= F.coalesce(~F.isnan(r[c]) & (F.abs(r[c]) != float("inf")), F.lit(False))
+    return good
+
+
 def findings(spec: PrintSpec, r: Column, side: Column) -> Column:
-    """The print rules that a box breaks, in order: edges inside the bleed, an edge in the gutter, mostly hidden."""
+    """The print rules that a box breaks, in order: edges inside the bleed, an edge in the gutter, mostly hidden. Boxes that aren't finite break none."""
     u, v, g = spec.bleed / spec.page_w, spec.bleed / spec.page_h, spec.gutter / spec.page_w
     right, bottom = r["x"] + r["w"], r["y"] + r["h"]
     inside = lambda d, z: (d > ROOM) & (d < z - ROOM)
@@ -158,17 +166,13 @@ def findings(spec: PrintSpec, r: Column, side: Column) -> Column:
         F.when(inside(fold, g), F.lit("gutter")),
         F.when((seen_w < LEAST_BOX - ROOM) | (seen_h < LEAST_BOX - ROOM), F.lit("hidden")),
     ]
-    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+    return F.when(finite(r), F.filter(F.array(*rules), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def box_problem(r: Column) -> Column:
     """What is wrong with a box at any print size: 'not finite', 'off canvas' or 'too small'; null if nothing."""
-    finite = None
-    for c in "xywh":
-        good = r[c].isNotNull() & ~F.isnan(r[c]) & (F.abs(r[c]) != float("inf"))
-        finite = good if finite is None else finite & good
     on = (r["x"] >= -ROOM) & (r["y"] >= -ROOM) & (r["x"] + r["w"] <= 1 + ROOM) & (r["y"] + r["h"] <= 1 + ROOM)
-    return F.when(~finite, "not finite").when(~on, "off canvas").when((r["w"] < LEAST_BOX - ROOM) | (r["h"] < LEAST_BOX - ROOM), "too small")
+    return F.when(~finite(r), "not finite").when(~on, "off canvas").when((r["w"] < LEAST_BOX - ROOM) | (r["h"] < LEAST_BOX - ROOM), "too small")
 
 
 def overlapping(a: Column, b: Column) -> Column:

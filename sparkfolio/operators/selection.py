@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .running import running_sum
+from .running import placed, running_sum
 from .windows import winners
 
 
@@ -67,9 +66,9 @@ def highest_averages(groups: DataFrame, key: str, weight: str, seats: int, cap:
 def median_bar(groups: DataFrame, key: str, merit: str, featured: int) -> DataFrame:
     """``tier`` of each group: under the median of merits brief, the best ``featured`` of the others featured, else normal."""
     bar = groups.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{merit}`)")).first()[0]
-    place = F.row_number().over(W.orderBy(F.desc(merit), key))
     tier = F.when(F.col(merit) < F.lit(bar), "brief").when(F.col("_place") <= featured, "featured").otherwise("normal")
-    return groups.withColumn("_place", place).withColumn("tier", tier).drop("_place")
+    ordered = placed(groups, [F.desc(merit), F.col(key)], "_place").withColumn("_place", F.col("_place") + 1)
+    return ordered.withColumn("tier", tier).drop("_place")
 
 
 def select_to(rows: DataFrame, included: Column, order: list[Column], target: int) -> DataFrame:

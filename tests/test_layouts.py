@@ -166,3 +166,11 @@ def test_best_layouts(spark):
     assert seen == {1, 2}
     plan = layouts.best_layouts(spark.createDataFrame(groups, GROUPS), spark.createDataFrame(slots, SLOTS), SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "BatchEval" not in plan
+
+
+def test_boxes_that_are_not_finite_break_no_print_rule(spark):
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    boxes = [tuple(x if k == at else 0.5 for k in range(4)) for at in range(4) for x in odd] + [(0.0, 0.001, 0.5, 0.5), (0.2, 0.2, 0.01, 0.5)]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(boxes)], f"i int, r {BOX}").select("i", pr.findings(SPEC, F.col("r"), F.lit("left")).alias("found"), pr.box_problem(F.col("r")).alias("problem")).orderBy("i").collect()
+    assert [r.found for r in rows] == [[]] * 16 + [["bleed top"], ["hidden"]]
+    assert [r.problem for r in rows] == ["not finite"] * 16 + [None, "too small"]
