@@ -115,7 +115,7 @@ def base_name(path: Column) -> Column:
 
 def file_name(page: Column, z: Column, digest: Column) -> Column:
     """``p07-z1-`` and the first 8 characters of a digest."""
-    return F.concat(F.lit("p"), F.lpad(page.cast("string"), 2, "0"), F.lit("-z"), z.cast("string"), F.lit("-"), F.substring(digest, 1, 8))
+    return F.concat(F.lit("p"), F.when(page < 10, F.lit("0")).otherwise(F.lit("")), page.cast("string"), F.lit("-z"), z.cast("string"), F.lit("-"), F.substring(digest, 1, 8))
 
 
 def failure_key(size: Column, modified: Column) -> Column:
