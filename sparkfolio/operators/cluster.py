@@ -60,7 +60,11 @@ def complete_linkage(links: DataFrame, component: str = "component", a: str = "a
     return links.groupBy(component).applyInPandas(run, "node long, cluster long")
 
 
-def near_links(pairs: DataFrame, distance: str, bits: str, close: float = 0.35, near: float = 0.5, most_bits: int = 4) -> DataFrame:
+#: Limits of links: distances of close and of near vectors, and differing bits.
+CLOSE, NEAR, MOST_BITS = 0.35, 0.5, 4
+
+
+def near_links(pairs: DataFrame, distance: str, bits: str, close: float = CLOSE, near: float = NEAR, most_bits: int = MOST_BITS) -> DataFrame:
     """The pairs that are links: close vectors; or few differing bits and vectors that are near or unknown."""
     d, h = F.col(distance), F.col(bits)
     return pairs.where((d <= close) | ((h <= most_bits) & ((d <= near) | d.isNull())))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,85 @@ from .windows import nearest_same_bucket
 SPAN, EVENT_GAP, DAY = 120, 14_400, 86_400
 
 
-def similar_links(rows: DataFrame, id_col: str, at: str, vector: str, bits: str, span: float = SPAN, **limits: float) -> DataFrame:
-    """Links ``a`` < ``b`` with ``distance`` of near-duplicates, undated rows included; vectors may be null. ``limits`` are those of ``cluster.near_links``."""
-    pairs = joins.band_pairs(rows, id_col, at, span, [vector, bits])
+#: Rows of a side in one block of vectors, and pairs of which distances are held at a time.
+BLOCK, HELD = 4096, 1 << 20
+
+
+def near_in_block(some: pd.DataFrame, others: pd.DataFrame, id_col: str, vector: str, bits: str, most: float, most_bits: int, close: float) -> pd.DataFrame:
+    """Pairs ``a`` < ``b`` of two sides with ``distance`` and ``bits`` that can be links.
+
+    One product of matrices tells, with room for its rounding, which vectors are
+    far apart; of the others distances are summed place by place, as ``sc.l2`` does.
+    Where one is unknown (a null, other lengths), the bits alone tell.
+    """
+    ids, other_ids, hashes, other_hashes = (side[c].to_numpy() for c in (id_col, bits) for side in (some, others))
+    sizes = some["_size"].to_numpy(), others["_size"].to_numpy()
+    hashed, other_hashed, dated = some["_hashed"].to_numpy(dtype=bool), others["_hashed"].to_numpy(dtype=bool), others["_dated"].to_numpy(dtype=bool)
+    found = []
+    for size in np.unique(sizes[0]):
+        rows = np.flatnonzero(sizes[0] == size)
+        same = np.flatnonzero(sizes[1] == size) if size >= 0 else np.array([], dtype=int)
+        rest = np.setdiff1d(np.arange(len(others)), same)
+        a = np.array([*some[vector].to_numpy()[rows]], dtype="float64").reshape(len(rows), size) if len(same) else None
+        b = np.array([*others[vector].to_numpy()[same]], dtype="float64").reshape(len(same), size) if len(same) else None
+        with np.errstate(all="ignore"):
+            squares = ((a * a).sum(axis=1), (b * b).sum(axis=1)) if len(same) else None
+            step = max(1, HELD // len(others))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                for where, known in ((same, True), (rest, False)):
+                    if not len(where):
+                        continue
+                    if known:
+                        whole = squares[0][at : at + step, None] + squares[1][None]
+                        apart = whole - 2 * (a[at : at + step] @ b.T)
+                        i, j = np.nonzero(~(apart - 1e-9 * whole > most * most) & ~np.isnan(whole))  # an overflow is no proof
+                    else:
+                        i, j = np.nonzero((np.bitwise_count(hashes[part][:, None] ^ other_hashes[where][None]) <= most_bits) & hashed[part][:, None] & other_hashed[where][None])
+                    u, o = ids[part[i]], other_ids[where[j]]
+                    meet = (u < o) | (dated[where[j]] & (u > o))
+                    i, j, u, o = i[meet], j[meet], u[meet], o[meet]
+                    differ = np.where(hashed[part[i]] & other_hashed[where[j]], np.bitwise_count(hashes[part[i]] ^ other_hashes[where[j]]).astype("int32"), np.int32(1 << 20))
+                    far = np.full(len(i), np.nan)
+                    if known:
+                        total = np.zeros(len(i))
+                        for k in range(a.shape[1]):
+                            total += (a[at + i, k] - b[j, k]) ** 2
+                        far = np.sqrt(total)
+                        stay = (far <= close) | ((differ <= most_bits) & ~np.isnan(far))  # pandas can't tell NaN from null
+                        u, o, far, differ = u[stay], o[stay], far[stay], differ[stay]
+                    found.append(pd.DataFrame({"a": np.minimum(u, o), "b": np.maximum(u, o), "distance": far, "bits": differ, "known": known}))
+    return pd.concat(found)
+
+
+def undated_pairs(rows: DataFrame, id_col: str, at: str, vector: str, bits: str, close: float, near: float, most_bits: int) -> DataFrame | None:
+    """Pairs that can be links, of which a row has no time: ``a`` < ``b``, ``distance`` (null if unknown) and ``bits``; None if all rows have one."""
+    known = F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, lambda x: x.isNull()), F.lit(False))
+    hashes = F.coalesce(F.col(bits).cast("long"), F.lit(0).cast("long"))
+    sized = rows.select(F.col(id_col).cast("long").alias(id_col), at, vector, hashes.alias(bits), F.col(bits).isNotNull().alias("_hashed"), F.when(known, F.size(vector)).otherwise(F.lit(-1)).alias("_size"))
+    blocks = joins.undated_blocks(sized, id_col, at, [vector, bits, "_hashed", "_size"], BLOCK)
+    if not blocks:
+        return None
+    some, others = (side.groupBy("_row", "_column") for side in blocks)
+    most = max(close, near)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [0], "b": [0], "distance": [0.0], "bits": [0], "known": [False]})[:0]
+        return near_in_block(left, right, id_col, vector, bits, most, most_bits, close)
+
+    pairs = some.cogroup(others).applyInPandas(run, "a long, b long, distance double, bits int, known boolean")
+    return pairs.select("a", "b", F.when(F.col("known"), F.col("distance")).alias("distance"), "bits")
+
+
+def similar_links(rows: DataFrame, id_col: str, at: str, vector: str, bits: str, span: float = SPAN, close: float = cluster.CLOSE, near: float = cluster.NEAR, most_bits: int = cluster.MOST_BITS) -> DataFrame:
+    """Links ``a`` < ``b`` with ``distance`` of near-duplicates, undated rows included; vectors may be null. The limits are those of ``cluster.near_links``."""
+    pairs = joins.dated_pairs(rows, id_col, at, span, [vector, bits])
     known = F.col(f"a_{vector}").isNotNull() & F.col(f"b_{vector}").isNotNull()
     pairs = pairs.withColumn("distance", F.when(known, sc.l2(F.col(f"a_{vector}"), F.col(f"b_{vector}"))))
-    pairs = pairs.withColumn("bits", sc.hamming(F.col(f"a_{bits}"), F.col(f"b_{bits}")))
-    found = cluster.near_links(pairs, "distance", "bits", **limits)
+    pairs = pairs.select("a", "b", "distance", sc.hamming(F.col(f"a_{bits}"), F.col(f"b_{bits}")).alias("bits"))
+    loose = undated_pairs(rows, id_col, at, vector, bits, close, near, most_bits)
+    found = cluster.near_links(pairs.unionByName(loose) if loose else pairs, "distance", "bits", close, near, most_bits)
     # links without a distance come after all others
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 

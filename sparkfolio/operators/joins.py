@@ -50,24 +50,40 @@ def band_pairs(df: DataFrame, id_col: str, at: str, width: float, keep: list[str
     Only two rows with a time can be too far apart: one whose ``at`` is null pairs
     with every other row, a < b by id, in blocks of both sides.
     """
+    pairs = dated_pairs(df, id_col, at, width, keep)
+    blocks = undated_blocks(df, id_col, at, keep, BLOCK)
+    if not blocks:
+        return pairs
+    some, others = blocks
+    some = some.select("_row", "_column", F.col(id_col).alias("_u"), *[F.col(c).alias(f"u_{c}") for c in keep])
+    others = others.select("_row", "_column", F.col(id_col).alias("_o"), "_dated", *[F.col(c).alias(f"o_{c}") for c in keep])
+    met = some.join(others, ["_row", "_column"]).where((F.col("_u") < F.col("_o")) | (F.col("_dated") & (F.col("_u") > F.col("_o"))))
+    first = F.col("_u") < F.col("_o")
+    sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for c in keep for x, y, name in ((f"u_{c}", f"o_{c}", f"a_{c}"), (f"o_{c}", f"u_{c}", f"b_{c}"))]
+    ends = [F.least("_u", "_o").alias("a"), F.greatest("_u", "_o").alias("b")]
+    return pairs.unionByName(met.select(*ends, *sides))
+
+
+def dated_pairs(df: DataFrame, id_col: str, at: str, width: float, keep: list[str]) -> DataFrame:
+    """The pairs of ``band_pairs`` of which both rows have a time."""
     left = df.select(F.col(id_col).alias("a"), F.col(at).alias("_ta"), *[F.col(c).alias(f"a_{c}") for c in keep]).withColumn("_band", F.floor(F.col("_ta") / width))
     right = df.select(F.col(id_col).alias("b"), F.col(at).alias("_tb"), *[F.col(c).alias(f"b_{c}") for c in keep]).withColumn("_own", F.floor(F.col("_tb") / width))
     later = (F.col("_tb") > F.col("_ta")) | ((F.col("_tb") == F.col("_ta")) & (F.col("b") > F.col("a")))
     banded = right.withColumn("_band", F.explode(F.array(F.col("_own"), F.col("_own") - 1))).drop("_own")
-    pairs = left.join(banded, "_band").where(later & (F.col("_tb") - F.col("_ta") <= width)).drop("_band", "_ta", "_tb")
+    return left.join(banded, "_band").where(later & (F.col("_tb") - F.col("_ta") <= width)).drop("_band", "_ta", "_tb")
+
+
+def undated_blocks(df: DataFrame, id_col: str, at: str, keep: list[str], block: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows without a time, and all rows (``_dated``), each in every block (``_row``, ``_column``) where it meets the other side; None without such rows."""
     undated, every = df.agg(F.count_if(F.col(at).isNull()), F.count("*")).first()
     if not undated:
-        return pairs
-    rows, columns = -(-undated // BLOCK), -(-every // BLOCK)
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        return None
+    rows, columns = -(-undated // block), -(-every // block)
+    part = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    some = df.where(F.col(at).isNull()).select(F.col(id_col).alias("_u"), *[F.col(c).alias(f"u_{c}") for c in keep]).withColumn("_row", part("_u", rows)).withColumn("_column", spread(columns))
-    others = df.select(F.col(id_col).alias("_o"), F.col(at).alias("_to"), *[F.col(c).alias(f"o_{c}") for c in keep]).withColumn("_column", part("_o", columns)).withColumn("_row", spread(rows))
-    met = some.join(others, ["_row", "_column"]).where((F.col("_u") < F.col("_o")) | (F.col("_to").isNotNull() & (F.col("_u") > F.col("_o"))))
-    first = F.col("_u") < F.col("_o")
-    sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for c in keep for x, y, name in ((f"u_{c}", f"o_{c}", f"a_{c}"), (f"o_{c}", f"u_{c}", f"b_{c}"))]
-    ends = [F.least("_u", "_o").alias("a"), F.greatest("_u", "_o").alias("b")]
-    return pairs.unionByName(met.select(*ends, *sides))
+    some = df.where(F.col(at).isNull()).select(id_col, *keep, part(rows).alias("_row")).withColumn("_column", spread(columns))
+    others = df.select(id_col, F.col(at).isNotNull().alias("_dated"), *keep, part(columns).alias("_column")).withColumn("_row", spread(rows))
+    return some, others
 
 
 def difference(before: DataFrame, after: DataFrame, on: list[str], values: list[str]) -> DataFrame:

@@ -223,6 +223,26 @@ def test_band_pairs_of_rows_without_a_time(spark, monkeypatch):
     assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got.collect()) == want
 
 
+def test_similar_links_of_odd_rows_without_rows_for_pairs(spark, monkeypatch):
+    from sparkfolio.functions import scalar as sc
+    from sparkfolio.operators import finalize
+
+    monkeypatch.setattr(finalize, "BLOCK", 17)
+    monkeypatch.setattr(finalize, "HELD", 40)
+    draw = random.Random(5)
+    odd = [None, [], [0.0], [None, 1.0, 0.0], [float("nan"), 0.0, 0.0], [float("inf"), 0.0, 0.0], [1e200, 0.0, 0.0]]
+    vector = lambda: draw.choice(odd) if draw.random() < 0.3 else [draw.choice([0.0, 0.2, 0.35, 0.5]) for _ in range(3)]
+    rows = [(i, draw.choice([None, draw.randrange(2000)]), vector(), draw.choice([None, *[draw.randrange(1 << 8) for _ in range(6)]])) for i in range(90)]
+    frame = spark.createDataFrame(rows, "id long, t long, v array<double>, h long")
+    got = finalize.similar_links(frame, "id", "t", "v", "h", most_bits=2)
+    pairs = joins.band_pairs(frame, "id", "t", finalize.SPAN, ["v", "h"]).withColumn("d", sc.l2(F.col("a_v"), F.col("b_v"))).withColumn("bits", sc.hamming(F.col("a_h"), F.col("b_h")))
+    want = {(min(r.a, r.b), max(r.a, r.b)): float("inf") if r.d is None else r.d for r in cluster.near_links(pairs, "d", "bits", most_bits=2).collect()}
+    found = got.collect()
+    assert len(found) == len(want) > 100 and {(r.a, r.b): r.distance for r in found} == want
+    assert "CoGroups" in got._jdf.queryExecution().toString()
+    assert finalize.similar_links(frame.where("t IS NOT NULL"), "id", "t", "v", "h").where("a >= b").count() == 0
+
+
 def test_scan_takes_names_with_underscores(spark, tmp_path):
     for name in ("_DSC1.ARW", "_sub/b.jpg", "_sub/_deep/c.JPEG", ".hidden/d.jpg", "._e.jpg", "f.txt", "g.png"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
