@@ -81,7 +81,8 @@ def undated_blocks(df: DataFrame, id_col: str, at: str, keep: list[str], block:
     rows, columns = -(-undated // block), -(-every // block)
     part = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    some = df.where(F.col(at).isNull()).select(id_col, *keep, part(rows).alias("_row")).withColumn("_column", spread(columns))
+    own = [F.col(c).alias(c) for c in (id_col, *keep)]  # columns of its own, since the other side is of the same rows
+    some = df.where(F.col(at).isNull()).select(*own, part(rows).alias("_row")).withColumn("_column", spread(columns))
     others = df.select(id_col, F.col(at).isNotNull().alias("_dated"), *keep, part(columns).alias("_column")).withColumn("_row", spread(rows))
     return some, others
 
