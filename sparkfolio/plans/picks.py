@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -125,23 +126,28 @@ def best_spread(spark, sf_dir):
     """The best template and assignment of the pictures of each small order, with the story's order first."""
     m = lambda c, n: F.col(c) % n
     box = lambda x, y, w, h: F.struct(*[v.cast("double").alias(c) for c, v in zip("xywh", (x, y, w, h), strict=True)])
-    salient = F.when(F.col("l_quantity").cast("int") % 2 == 0, box(m("l_partkey", 5) / 10, m("l_suppkey", 4) / 10, F.lit(0.3), F.lit(0.4)))
-    picture = {
-        "width": (2000 + 500 * m("l_partkey", 7)).cast("double"),
-        "height": (2000 + 500 * m("l_suppkey", 5)).cast("double"),
-        "faces": F.array().cast("array<struct<x:double,y:double,w:double,h:double>>"),
-        "quality": F.when(m("l_linenumber", 3) > 0, m("l_linenumber", 3) * F.lit(0.4)),
-        "salient": salient,
-        "focus_x": m("l_partkey", 4) / 4,
-        "focus_y": F.lit(0.5),
-        "score": F.col("l_quantity").cast("int") * 2,
-        "tags": F.array("l_linestatus", "l_returnflag"),
-        "colour": F.lit(None).cast("struct<r:double,g:double,b:double>"),  # sines differ in their last bits, and exact ties count
-        "at": F.when(m("l_partkey", 6) > 0, m("l_partkey", 100) * 60),
-        "event": m("l_suppkey", 2),
-    }
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("group")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.struct(*[c.alias(n) for n, c in picture.items()]).alias("p")))).alias("all"))
-    rows = rows.where(F.size("all") <= 4).withColumn("pictures", F.transform("all", lambda x: x["p"]))
+
+    def picture(l: Column) -> Column:
+        of = lambda c, n: l[c] % n
+        fields = {
+            "width": (2000 + 500 * of("l_partkey", 7)).cast("double"),
+            "height": (2000 + 500 * of("l_suppkey", 5)).cast("double"),
+            "faces": F.array().cast("array<struct<x:double,y:double,w:double,h:double>>"),
+            "quality": F.when(of("l_linenumber", 3) > 0, of("l_linenumber", 3) * F.lit(0.4)),
+            "salient": F.when(l["l_quantity"].cast("int") % 2 == 0, box(of("l_partkey", 5) / 10, of("l_suppkey", 4) / 10, F.lit(0.3), F.lit(0.4))),
+            "focus_x": of("l_partkey", 4) / 4,
+            "focus_y": F.lit(0.5),
+            "score": l["l_quantity"].cast("int") * 2,
+            "tags": F.array(l["l_linestatus"], l["l_returnflag"]),
+            "colour": F.lit(None).cast("struct<r:double,g:double,b:double>"),  # sines differ in their last bits, and exact ties count
+            "at": F.when(of("l_partkey", 6) > 0, of("l_partkey", 100) * 60),
+            "event": of("l_suppkey", 2),
+        }
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    lines = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("group")).agg(F.sort_array(F.collect_list(lines)).alias("all"))
+    rows = rows.where(F.size("all") <= 4).withColumn("pictures", F.transform("all", picture))
     n = F.size("pictures")
     groups = rows.select("group", "pictures", F.when(m("group", 5) == 0, F.concat(F.lit("a"), n.cast("string"))).alias("previous"), (F.col("group") * 7919).alias("seed"), F.when(m("group", 3) > 0, F.lit(0)).alias("lead"), F.when(m("group", 4) > 0, n - 1).alias("tail"))
     slots = spark.createDataFrame(SEATS, "template string, slot int, side string, rect struct<x:double,y:double,w:double,h:double>, hero boolean")
