@@ -21,12 +21,25 @@ SPAN, EVENT_GAP, DAY = 120, 14_400, 86_400
 BLOCK, HELD = 4096, 1 << 20
 
 
+def _flat(vectors: np.ndarray, left: bool) -> np.ndarray:
+    """Vectors of a side with two places more: a product of both sides' rows is minus half their squared distance or more.
+
+    The room is over what single precision rounds away; where squares could
+    overflow the product is NaN.
+    """
+    squares = (vectors * vectors).sum(axis=1)
+    half = np.where(squares < 1e30, -0.5 * (1 - (vectors.shape[1] + 8) * 2.0**-22) * squares, np.nan)
+    more = (half, np.ones(len(half))) if left else (np.ones(len(half)), half)
+    return np.column_stack([vectors, *more]).astype("float32")
+
+
 def near_in_block(some: pd.DataFrame, others: pd.DataFrame, id_col: str, vector: str, bits: str, most: float, most_bits: int, close: float) -> pd.DataFrame:
     """Pairs ``a`` < ``b`` of two sides with ``distance`` and ``bits`` that can be links.
 
     One product of matrices tells, with room for its rounding, which vectors are
-    far apart; of the others distances are summed place by place, as ``sc.l2`` does.
-    Where one is unknown (a null, other lengths), the bits alone tell.
+    far apart; of the others that are close or have few differing bits, distances
+    are summed place by place, as ``sc.l2`` does.  Where one is unknown (a null,
+    other lengths), the bits alone tell.
     """
     ids, other_ids, hashes, other_hashes = (side[c].to_numpy() for c in (id_col, bits) for side in (some, others))
     sizes = some["_size"].to_numpy(), others["_size"].to_numpy()
@@ -39,7 +52,7 @@ def near_in_block(some: pd.DataFrame, others: pd.DataFrame, id_col: str, vector:
         a = np.array([*some[vector].to_numpy()[rows]], dtype="float64").reshape(len(rows), size) if len(same) else None
         b = np.array([*others[vector].to_numpy()[same]], dtype="float64").reshape(len(same), size) if len(same) else None
         with np.errstate(all="ignore"):
-            squares = ((a * a).sum(axis=1), (b * b).sum(axis=1)) if len(same) else None
+            flat = (_flat(a, True), _flat(b, False).T) if len(same) else None
             step = max(1, HELD // len(others))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -47,9 +60,11 @@ def near_in_block(some: pd.DataFrame, others: pd.DataFrame, id_col: str, vector:
                     if not len(where):
                         continue
                     if known:
-                        whole = squares[0][at : at + step, None] + squares[1][None]
-                        apart = whole - 2 * (a[at : at + step] @ b.T)
-                        i, j = np.nonzero(~(apart - 1e-9 * whole > most * most) & ~np.isnan(whole))  # an overflow is no proof
+                        below = flat[0][at : at + step] @ flat[1]  # half of what the squared distance is under zero, at most
+                        i, j = np.divmod(np.flatnonzero(~(below < -most * most / 2 - size * 1e-37)), len(where))
+                        few = (np.bitwise_count(hashes[part[i]] ^ other_hashes[where[j]]) <= most_bits) & hashed[part[i]] & other_hashed[where[j]]
+                        few |= ~(below[i, j] < -close * close / 2 - size * 1e-37)
+                        i, j = i[few], j[few]
                     else:
                         i, j = np.nonzero((np.bitwise_count(hashes[part][:, None] ^ other_hashes[where][None]) <= most_bits) & hashed[part][:, None] & other_hashed[where][None])
                     u, o = ids[part[i]], other_ids[where[j]]
@@ -101,13 +116,13 @@ def similar_links(rows: DataFrame, id_col: str, at: str, vector: str, bits: str,
 
 
 def similar_clusters(rows: DataFrame, id_col: str, at: str, vector: str, bits: str, span: float = SPAN, **limits: float) -> DataFrame:
-    """``node`` and ``cluster`` (its smallest node) of the rows in clusters of which every two are linked.
+    """``node`` and ``cluster`` (its smallest node) of the rows in clusters of which every two are linked; rows alone may be left out.
 
     Links merge clusters by rising distance, then by their smaller and larger
     node; so ids should be numbers in the order that breaks ties.
     """
     links = written(similar_links(rows, id_col, at, vector, bits, span, **limits), "links")
-    return cluster.complete_linkage(cluster.connected(links))
+    return cluster.complete_clusters(links)
 
 
 def resolved_times(rows: DataFrame, id_col: str, wall: str, offset: str) -> DataFrame:

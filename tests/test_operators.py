@@ -243,6 +243,50 @@ def test_similar_links_of_odd_rows_without_rows_for_pairs(spark, monkeypatch):
     assert finalize.similar_links(frame.where("t IS NOT NULL"), "id", "t", "v", "h").where("a >= b").count() == 0
 
 
+def test_block_distances_have_room_for_rounding():
+    import numpy as np
+    import pandas as pd
+
+    from sparkfolio.operators import finalize
+
+    draw = np.random.default_rng(3)
+    vectors = [*(draw.normal(size=(60, 8)) * 10.0 ** draw.integers(-25, 25, size=(60, 1))), *np.full((2, 8), np.nan), *np.full((2, 8), 1e300)]
+    vectors += [v + w for v in vectors[:60] for w in (np.full(8, 0.5 / 8**0.5), np.zeros(8))]  # at the limit or equal
+    side = pd.DataFrame({"id": range(len(vectors)), "v": vectors, "h": draw.integers(0, 64, len(vectors)), "_size": 8, "_hashed": draw.random(len(vectors)) < 0.8, "_dated": False})
+    got = finalize.near_in_block(side[::2], side, "id", "v", "h", 0.5, 2, 0.35)
+    got = {(a, b): d for a, b, d, bits in zip(got.a, got.b, got.distance, got.bits) if d <= 0.35 or (bits <= 2 and d <= 0.5)}
+    want = {}
+    for a in range(0, len(vectors), 2):
+        for b in range(a + 1, len(vectors)):
+            total = 0.0
+            with np.errstate(all="ignore"):
+                for x, y in zip(vectors[a], vectors[b], strict=True):
+                    total += (x - y) ** 2
+                d = np.sqrt(total)
+            if d <= 0.35 or (d <= 0.5 and side._hashed[a] and side._hashed[b] and (int(side.h[a]) ^ int(side.h[b])).bit_count() <= 2):
+                want[a, b] = d
+    assert got == want and len(want) > 60
+
+
+@pytest.mark.parametrize("kind", ["distances", "few distances", "copies"])
+def test_clusters_merge_in_rounds_as_one_by_one(spark, monkeypatch, kind):
+    monkeypatch.setattr(cluster, "LEFT", 20)
+    rounds, once = [], cluster.merged_once
+    monkeypatch.setattr(cluster, "merged_once", lambda pairs: rounds.append(1) or once(pairs))
+    draw = random.Random(kind)
+    if kind == "copies":
+        links = [(0.0, a, b) for g in range(4) for a in range(10 * g, 10 * g + 10) for b in range(a + 1, 10 * g + 10)] + [(0.5, a, a + 10) for a in range(30)]
+    else:
+        groups = [draw.sample(range(120), 9) for _ in range(40)]
+        pairs = {(min(a, b), max(a, b)) for g in groups for a in g for b in g if a != b and draw.random() < 0.95}
+        links = [(draw.random() if kind == "distances" else draw.choice([0.1, 0.2, float("inf")]), a, b) for a, b in pairs]
+    want = cluster.linkage(links, sorted({n for _, a, b in links for n in (a, b)}))
+    frame = spark.createDataFrame([(b, a, d) for d, a, b in links], "a long, b long, distance double").repartition(3)
+    got = {r.node: r.cluster for r in cluster.complete_clusters(frame).collect()}
+    assert {n: got.get(n, n) for n in want} == want and set(got) <= set(want)
+    assert rounds
+
+
 def test_scan_takes_names_with_underscores(spark, tmp_path):
     for name in ("_DSC1.ARW", "_sub/b.jpg", "_sub/_deep/c.JPEG", ".hidden/d.jpg", "._e.jpg", "f.txt", "g.png"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
