@@ -524,11 +524,8 @@ def similar_links(spark, sf_dir):
 def link_components(spark, sf_dir):
     """The connected components that near-duplicates form."""
     from ..operators import cluster
-    from ..sources.shared import written
 
-    links = cluster.connected(written(finalize.similar_links(_records(spark, sf_dir), "vec_id", "at", "print", "phash", **WIDE), "links"))
-    both = links.select(F.col("a").alias("node"), "component").unionByName(links.select(F.col("b").alias("node"), "component"))
-    return both.distinct()
+    return cluster.components(finalize.similar_links(_records(spark, sf_dir), "vec_id", "at", "print", "phash", **WIDE))
 
 
 @query("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, CASE WHEN label <> 3 THEN vec_id + label * 86400 END AS w, CASE WHEN vec_id % 7 = 0 THEN (vec_id % 3 - 1) * 3600 END AS o,

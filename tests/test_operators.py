@@ -268,6 +268,45 @@ def test_block_distances_have_room_for_rounding():
     assert got == want and len(want) > 60
 
 
+def _least_reached(links):
+    of = {}
+    for a, b in links:
+        x, y = of.setdefault(a, {a}), of.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            for n in y:
+                of[n] = x
+    return {n: min(group) for n, group in of.items()}
+
+
+def test_components_of_dense_links_take_few_rounds(spark, monkeypatch):
+    rounds, write = [], cluster.written
+    monkeypatch.setattr(cluster, "written", lambda df, name: rounds.append(name) or write(df, name))
+    draw = random.Random(4)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(3000)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(30)] + [(3001, 3000)] * 2 + [(5000, 5000)]
+    want = _least_reached((a, b) for a, b in links if a != b)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(4)
+    assert {r.node: r.component for r in cluster.components(frame).collect()} == want
+    rounds.clear()
+    dense = spark.createDataFrame(links[:3000], "a long, b long").repartition(4)
+    found = cluster.connected(dense).collect()
+    assert len(found) == 3000 and all(r.component == want[r.a] for r in found)
+    assert len(rounds) <= 2  # stars alternated four times and more before
+    assert cluster.components(frame.where("a < 0")).count() == 0
+
+
+def test_stars_go_piece_by_piece(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(cluster, "PIECE", 7)
+    draw = random.Random(8)
+    links = [(draw.randrange(60), draw.randrange(60)) for _ in range(50)]
+    links = [(a, b) for a, b in links if a != b]
+    parts = [pd.DataFrame(links[i : i + 3], columns=["u", "v"]) for i in range(0, len(links), 3)]
+    got = [(int(u), int(v)) for part in cluster._in_stars(iter(parts)) for u, v in zip(part.u, part.v, strict=True)]
+    assert all(u > v for u, v in got) and _least_reached(got) == _least_reached(links)
+
+
 @pytest.mark.parametrize("kind", ["distances", "few distances", "copies"])
 def test_clusters_merge_in_rounds_as_one_by_one(spark, monkeypatch, kind):
     monkeypatch.setattr(cluster, "LEFT", 20)
